@@ -88,3 +88,21 @@ class RollingHash:
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix64((self.prefix[ends] - self.prefix[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+
+def separated(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts with a space after each, and n + 1 offsets that count those spaces in."""
+    data, offsets = text_buffer(texts)
+    n = len(offsets) - 1
+    starts = offsets + np.arange(n + 1)
+    out = np.full(len(data) + n, 32, np.uint8)
+    inside = np.ones(len(out), bool)
+    inside[starts[1:] - 1] = False
+    out[inside] = data
+    return out, starts
+
+
+def word_bounds(is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of word bytes; the last byte must not be one."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], is_word]).view(np.int8)))
+    return edge[::2], edge[1::2]
