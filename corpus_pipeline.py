@@ -1,10 +1,63 @@
-"""A training-data pipeline over `documents`, stage by stage."""
+"""A training-data pipeline over `documents`: five stages, each on all that the one before kept."""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from palimpsest.llm import bpe, decontamination, simhash, suffix_dedup, toxicity
+from palimpsest.llm.common import table, written
+from palimpsest.llm.queries import fold
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold stay."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    return toxicity.reject(docs, model)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id stays of each group of near-duplicates, and one row of rows that repeat its id."""
+    found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component")))
+    kept = found.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("n_rows"))
+    once = docs.join(kept.where("n_rows = 1"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    again = docs.join(kept.where("n_rows > 1"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    first = again.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
+    return once.unionByName(first.where("__nth = 1").drop("__nth"))
+
+
+def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings that occur elsewhere too are cut out of the texts; every document stays."""
+    return suffix_dedup.strip(docs).withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast("long")).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a word window of a test item stay."""
+    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts, and digests of the ids and of what they decode to."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.digests(bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("simhash", keep_one_of_each),
+    ("suffix_array", strip_repeats),
+    ("decontamination", decontaminate),
+    ("byte_bpe", encode),
+]
+
+#: The stages train, link and replay: SQL cannot express them.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage before it is written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
