@@ -30,3 +30,17 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_
        sha256(coalesce(n.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN named n USING (doc_id)
 """
+
+#: Base32 of a SHA-1: five hexadecimal digits are four letters.
+WARC = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS digest FROM p),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS newest FROM d)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                ((('0x' || substr(digest, (k // 4 * 5 + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * (k % 4))::BIGINT) & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = newest THEN NULL ELSE newest END AS refers_to
+FROM r
+"""

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, decontamination, oracles, simhash, suffix_dedup, toxicity
-from palimpsest.llm.common import table
+from palimpsest.llm import bpe, decontamination, oracles, sharding, simhash, suffix_dedup, toxicity, warc
+from palimpsest.llm.common import table, written
 
 
 def fold(id_col: str, parts: int) -> Column:
@@ -35,6 +35,23 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(ids, ranks))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = written(warc.archives(table(spark, sf_dir, "pages")), "warc")
+    return warc.read(stored).select(
+        F.col("page_id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
@@ -61,8 +78,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op3_byte_bpe": op3_byte_bpe, "op8_suffix_array": op8_suffix_array, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
+    return {"op1_decontamination": op1_decontamination, "op3_byte_bpe": op3_byte_bpe, "op4_sharding": op4_sharding, "op6_warc": op6_warc, "op8_suffix_array": op8_suffix_array, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": oracles.DECONTAMINATION}
+    return {"op1_decontamination": oracles.DECONTAMINATION, "op6_warc": oracles.WARC}
