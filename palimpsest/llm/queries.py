@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, decontamination, oracles, sharding, simhash, suffix_dedup, toxicity, warc
+from palimpsest.llm import bpe, decontamination, html_extraction, language_id, oracles, perplexity, sharding, simhash, suffix_dedup, toxicity, warc
 from palimpsest.llm.common import table, written
 
 
@@ -29,6 +29,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judged(table(spark, sf_dir, "documents")).select(
+        "doc_id", *perplexity.COUNTS, "base_failed", "kept", "log_perplexity", "lower", "upper"
+    )
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     ids = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -41,6 +47,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extraction.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = written(warc.archives(table(spark, sf_dir, "pages")), "warc")
     return warc.read(stored).select(
@@ -52,6 +63,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.train(docs, fold("doc_id", 4) != 2))
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
@@ -78,7 +95,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op3_byte_bpe": op3_byte_bpe, "op4_sharding": op4_sharding, "op6_warc": op6_warc, "op8_suffix_array": op8_suffix_array, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
+    return {
+        f.__name__: f
+        for f in (op1_decontamination, op2_perplexity, op3_byte_bpe, op4_sharding, op5_tag_paths, op6_warc, op7_language_id, op8_suffix_array, op9_toxicity, op10_simhash)
+    }
 
 
 def oracle_sql() -> dict[str, str]:
