@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.plans import history
+from palimpsest.plans import changes, history, reporting
 
 
 class Query(NamedTuple):
@@ -15,7 +15,7 @@ class Query(NamedTuple):
     sql: str | None
 
 
-MODULES = (history,)
+MODULES = (history, changes, reporting)
 
 
 def _all() -> dict[str, Query]:

@@ -78,13 +78,13 @@ def tree(spark: SparkSession, sf_dir: str, drop: int, edit: int | None = None) -
     o = table(spark, sf_dir, "orders")
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
     content = F.when(F.col("o_orderkey") % edit == 0, cents + drop).otherwise(cents) if edit else cents
-    return o.where(F.col("o_orderkey") % drop != 0).select(F.col("o_orderkey").alias("path"), content.alias("content"))
+    return o.where(F.col("o_orderkey") % drop != 0).select(F.col("o_orderkey").alias("path"), content.cast("string").alias("content"))
 
 
 def tree_sql(name: str, drop: int, edit: int | None = None) -> str:
     cents = "round(o_totalprice * 100)::BIGINT"
     content = f"CASE WHEN o_orderkey % {edit} = 0 THEN {cents} + {drop} ELSE {cents} END" if edit else cents
-    return f"{name} AS (SELECT o_orderkey AS path, {content} AS content FROM orders WHERE o_orderkey % {drop} <> 0)"
+    return f"{name} AS (SELECT o_orderkey AS path, ({content})::VARCHAR AS content FROM orders WHERE o_orderkey % {drop} <> 0)"
 
 
 BASE, CURRENT, SOURCE = (10, None), (7, 3), (11, 4)
@@ -125,12 +125,12 @@ def swatches(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     colour = F.col("p_size").cast("bigint")
     if side == "new":
         colour = F.when(F.col("p_partkey") % 4 == 0, colour + 1).otherwise(colour)
-    return p.select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"), colour.alias("colour"))
+    return p.select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"), colour.cast("string").alias("colour"))
 
 
-SWATCHES = """old_s AS (SELECT p_brand AS file, p_partkey AS pos, p_name AS name, p_size::BIGINT AS colour FROM part WHERE p_partkey % 3 <> 0),
+SWATCHES = """old_s AS (SELECT p_brand AS file, p_partkey AS pos, p_name AS name, p_size::VARCHAR AS colour FROM part WHERE p_partkey % 3 <> 0),
 new_s AS (SELECT p_brand AS file, p_partkey AS pos, p_name AS name,
-          p_size::BIGINT + CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END AS colour FROM part WHERE p_partkey % 5 <> 0)"""
+          (p_size::BIGINT + CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END)::VARCHAR AS colour FROM part WHERE p_partkey % 5 <> 0)"""
 
 
 def pixels(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
