@@ -15,6 +15,7 @@ import base64
 import heapq
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import blocks
 
 #: Bytes of text whose distinct pieces are replayed together.
-REPLAYED_BYTES = 24 << 20
+REPLAYED_BYTES = 6 << 20
 #: Pieces that a task remembers between blocks; beyond it the memory starts anew.
-REMEMBERED_PIECES = 400_000
+REMEMBERED_PIECES = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -48,7 +49,7 @@ class MergeReplay:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = rank
-        self.pairs = pairs
+        self.tokens = {rank: token for token, rank in ranks.items()}
         self.keys = np.array(sorted(pairs), np.int64)
         self.made = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
 
@@ -151,19 +152,23 @@ class MergeReplay:
         token = self.single[np.frombuffer(piece, np.uint8)].tolist()
         n = len(token)
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        queue = [(made, i) for i in range(n - 1) if (made := self.pairs.get(token[i] << 32 | token[i + 1], -1)) >= 0]
+
+        def makes(left: int, right: int) -> int:
+            return self.ranks.get(self.tokens[left] + self.tokens[right], -1)
+
+        queue = [(made, i) for i in range(n - 1) if (made := makes(token[i], token[i + 1])) >= 0]
         heapq.heapify(queue)
         while queue:
             made, i = heapq.heappop(queue)
             j = after[i]
-            if j < 0 or token[i] < 0 or self.pairs.get(token[i] << 32 | token[j]) != made:
+            if j < 0 or token[i] < 0 or makes(token[i], token[j]) != made:
                 continue
             token[i], token[j] = made, -1
             after[i], after[j] = after[j], -1
             if after[i] >= 0:
                 before[after[i]] = i
             for a in (i, before[i]):
-                if a >= 0 and after[a] >= 0 and (new := self.pairs.get(token[a] << 32 | token[after[a]], -1)) >= 0:
+                if a >= 0 and after[a] >= 0 and (new := makes(token[a], token[after[a]])) >= 0:
                     heapq.heappush(queue, (new, a))
         return [t for t in token if t >= 0]
 
@@ -188,6 +193,14 @@ def piece_cutter(pattern: str) -> Callable[[str], list[str]]:
     return lambda text: full(text) if beyond(text) else quick(text)
 
 
+class _Numbering(dict):
+    """Numbers pieces from 0 on, in the order in which they turn up."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = new = len(self)
+        return new
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): the token ids of every whole text, as little-endian unsigned 32-bit integers.
 
@@ -197,16 +210,16 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay, cut = MergeReplay(ranks), piece_cutter(pattern)
-        known: dict[str, bytes] = {}
+        number = _Numbering()
+        known: list[bytes] = []
         for block in blocks(batches, 1, REPLAYED_BYTES):
-            texts = [cut(text) if text else [] for text in block.column(1).to_pylist()]
             if len(known) > REMEMBERED_PIECES:
+                number.clear()
                 known.clear()
-            new = list({piece for pieces in texts for piece in pieces}.difference(known))
-            for piece, ids in zip(new, replay.encode([piece.encode() for piece in new]), strict=True):
-                known[piece] = ids
-            ids = [b"".join(map(known.__getitem__, pieces)) for pieces in texts]
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(ids, pa.binary())], names=[id_col, "ids"])
+            texts = [np.fromiter(map(number.__getitem__, cut(text.as_py() or "")), np.uint32) for text in block.column(1)]
+            known += replay.encode([piece.encode() for piece in islice(number, len(known), None)])
+            ids = pa.array((b"".join(map(known.__getitem__, pieces.tolist())) for pieces in texts), pa.binary())
+            yield pa.RecordBatch.from_arrays([block.column(0), ids], names=[id_col, "ids"])
 
     return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {id_type}, ids binary")
 
