@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 
 def pack(data: bytes) -> bytes:
@@ -71,32 +72,32 @@ def unpack(data: bytes, size: int) -> bytes | None:
     return bytes(out) if len(out) == size else None
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def lzf_compress(data: pd.Series) -> pd.Series:
     return data.map(pack, na_action="ignore")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def lzf_decompress(data: pd.Series, size: pd.Series) -> pd.Series:
     return pd.Series([None if d is None else unpack(d, int(n)) for d, n in zip(data, size, strict=True)], dtype=object)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def planar_to_rgba(planes: pd.Series) -> pd.Series:
     """Planes of blue, green, red and alpha, one after another, to red, green, blue, alpha by pixel."""
     return planes.map(lambda p: np.frombuffer(p, np.uint8).reshape(4, -1)[[2, 1, 0, 3]].T.tobytes() if len(p) % 4 == 0 else None, na_action="ignore")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def rgba_to_planar(pixels: pd.Series) -> pd.Series:
     return pixels.map(lambda p: np.frombuffer(p, np.uint8).reshape(-1, 4).T[[2, 1, 0, 3]].tobytes() if len(p) % 4 == 0 else None, na_action="ignore")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def zstd_compress(data: pd.Series) -> pd.Series:
     return data.map(zstandard.ZstdCompressor(3).compress, na_action="ignore")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def zstd_decompress(data: pd.Series) -> pd.Series:
     return data.map(zstandard.ZstdDecompressor().decompress, na_action="ignore")
