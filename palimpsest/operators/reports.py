@@ -49,7 +49,7 @@ def lanes(commits: DataFrame) -> DataFrame:
     """(repo, id, row, lane): the lane of each commit in a history drawn newest first.
 
     `commits` is (repo, seq, id, parents). A commit takes the leftmost lane that waits for it, or a free
-    one; its first parent goes on in that lane and other parents take free ones. Which lane is
+    one; its first parent goes on in that lane, other parents in a lane that waits for them or a free one. Which lane is
     free depends on all rows before, so a repository is one group.
     """
     return commits.groupBy("repo").applyInPandas(_lanes, "repo long, id long, row long, lane long")
@@ -70,11 +70,10 @@ def _lanes(rows: pd.DataFrame) -> pd.DataFrame:
         lane = take(ident) if lane is None else lane
         waiting[:] = [None if w == ident else w for w in waiting]
         for k, parent in enumerate(parents):
-            if parent not in waiting:
-                if k == 0:
-                    waiting[lane] = parent
-                else:
-                    take(parent)
+            if k == 0:
+                waiting[lane] = parent
+            elif parent not in waiting:
+                take(parent)
         out.append((ident, row, lane))
     found = pd.DataFrame(out, columns=["id", "row", "lane"])
     found.insert(0, "repo", rows["repo"].iloc[0])
