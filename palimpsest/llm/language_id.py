@@ -94,7 +94,7 @@ def train(docs: DataFrame, learn_from: Column, per_language: int = PER_LANGUAGE,
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, per_language / n) * (1 << 30)))])
     some = known.where(drawn < share[F.col(lang_col)])
     rows = some.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"), drawn.alias("drawn"))
-    return fit(rows.mapInArrow(_features, "slots binary, lang string, drawn long").toPandas())
+    return fit(rows.mapInArrow(_features, "slots binary, lang string, drawn long").toArrow().to_pandas())
 
 
 def fit(rows: pd.DataFrame) -> Model:
@@ -132,7 +132,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 values = np.concatenate([kernels(p, landmarks) @ weights for p in presences(texts)])
                 top = values.argmax(axis=1)
                 best = np.where(letters, np.array(languages, object)[top], UNKNOWN)
-                score = np.where(letters, np.clip(values[np.arange(len(top)), top], 0, 1), 0).astype(np.float64)
+                score = np.where(letters, np.clip(values[np.arange(len(top)), top], 0, 1), 0).astype(np.float64).round(5)  # matrix products differ in the last digits with the batch
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {id_type}, lang_pred string, score double")
