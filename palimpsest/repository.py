@@ -259,15 +259,19 @@ class Repository:
             return self._record(state, changed, message, author, [tip] if tip else [])
 
     def create_branch(self, name: str, base: str | None = None) -> None:
+        """Makes a branch at the tip of `base` (or the current branch) and goes to it; only another base needs a clean tree."""
         name = name.strip()
         if not 1 <= len(name.encode()) <= 60 or any(c in INVALID or ord(c) < 32 or ord(c) == 127 for c in name):
             raise RepositoryError(f"not a branch name: {name!r}")
         with self._locked() as state:
             if name in state["tips"]:
                 raise RepositoryError(f"{name} is there already")
-            if base is not None and self.commits().where(F.col("id") == base).isEmpty():
-                raise NotFound(f"no commit {base}")
-            state["tips"][name] = base or state["tips"][state["current"]]
+            tip = self._tip(base)
+            if base not in (None, state["current"]):
+                self._require_clean()
+                self._restore(diff.tree_changes(self.tree(self._tip()), self.tree(tip)))
+            state["tips"][name] = tip
+            state["current"] = name
 
     def delete_branch(self, name: str) -> None:
         with self._locked() as state:

@@ -32,6 +32,7 @@ def test_commits_branches_and_merges(repo):
     with pytest.raises(NothingToDo):
         repo.commit("again", "me")
     repo.create_branch("feature")
+    repo.switch("main")
     repo.put("a.gpl", b"main-a")
     repo.commit("edit a", "me")
     repo.switch("feature")
@@ -71,14 +72,13 @@ def test_undo_discard_and_stash(repo):
     assert repo.get("a.gpl") == b"two" and repo.stashes().count() == 0
     with pytest.raises(DirtyTree):
         repo.create_branch("x")
-        repo.switch("x")
+        repo.switch("main")
 
 
 def test_garbage_goes_and_history_stays(repo):
     repo.put("a.gpl", b"keep")
     repo.commit("keep", "me")
     repo.create_branch("side")
-    repo.switch("side")
     repo.put("a.gpl", b"lose this one")
     repo.commit("lose", "me")
     repo.switch("main")
