@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import blocks, mix64, text_buffer
+from palimpsest.llm.common import blocks, cut_lineage, mix64, text_buffer
 
 LENGTHS = (4, 6, 8)
 SLOT_BITS = 20
 #: Labelled documents of each class that the fit uses at most.
 PER_CLASS = 2500
-#: A slot whose ratio is nearer to zero than so many standard errors carries no weight.
-LEAST_SIGMAS = 3.5
+#: A slot that is not more unevenly spread over the classes than so many standard errors carries no weight.
+LEAST_SIGMAS = 6.0
 THRESHOLD = 0.7
 
 #: What a byte counts as: A-Z are lower-cased, ASCII punctuation and control characters are spaces.
@@ -95,29 +95,60 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int
     none = Model(np.zeros(1 << SLOT_BITS, np.float32), prior)
     if not toxic or not clean:
         return none
-    ids = chosen.toPandas()
-    near = docs.sparkSession.createDataFrame(ids, schema=chosen.schema)  # at most 2 * per_class ids: a bounded broadcast
+    near = docs.sparkSession.createDataFrame(chosen.toArrow(), schema=chosen.schema)  # at most 2 * per_class ids: a bounded broadcast
     texts = docs.join(F.broadcast(near), id_col).select(F.col(text_col).cast("string").alias("text"), "toxic")
-    found = texts.mapInArrow(_features, "slots binary, toxic int").toPandas()
-    return fit(found, prior) if found["toxic"].nunique() == 2 else none
-
-
-def fit(found: pd.DataFrame, prior: float, rounds: int = 120, penalty: float = 0.02) -> Model:
-    """Logistic regression on presence times r, by full-batch Adam; classes weigh the same."""
-    size = 1 << SLOT_BITS
+    found = cut_lineage(texts.mapInArrow(_features, "slots binary, toxic int"))
+    counts = found.mapInArrow(_counted, "slot int, toxic long, clean long").groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    by_class = {r["toxic"]: r["n"] for r in found.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(by_class) < 2:
+        return none
+    ratio = ratios(cut_lineage(counts), by_class[1], by_class[0])
+    telling = ratio != 0
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [s[telling[s]].astype("<i4").tobytes() for s in (np.frombuffer(b.as_py(), "<i4") for b in batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), batch.column(1)], names=["slots", "toxic"])
+
+    rows = found.mapInArrow(narrowed, "slots binary, toxic int").toArrow().to_pandas()
+    return fit(rows, ratio, prior)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many toxic and other documents hold each slot."""
+    counts = np.zeros((2, 1 << SLOT_BITS), np.int64)
+    for batch in batches:
+        for slots, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            counts[toxic][np.frombuffer(slots.as_py(), "<i4")] += 1
+    seen = np.flatnonzero(counts.sum(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(counts[1][seen]), pa.array(counts[0][seen])], names=["slot", "toxic", "clean"])
+
+
+def ratios(counts: DataFrame, n_toxic: int, n_clean: int) -> np.ndarray:
+    """The log ratio of each slot's smoothed share of toxic documents' slots to its share of the others'.
+
+    Zero where the shares of documents that hold the slot differ by less than LEAST_SIGMAS standard errors; only
+    the other slots reach the driver.
+    """
+    all_toxic, all_clean = counts.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("clean"), F.lit(0))).first()
+    ratio = F.log((F.col("toxic") + 1.0) / (all_toxic + (1 << SLOT_BITS))) - F.log((F.col("clean") + 1.0) / (all_clean + (1 << SLOT_BITS)))
+    share = (F.col("toxic") + F.col("clean")) / float(n_toxic + n_clean)
+    error = F.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_clean))
+    apart = F.abs(F.col("toxic") / float(n_toxic) - F.col("clean") / float(n_clean)) > LEAST_SIGMAS * error
+    beyond = counts.select("slot", ratio.alias("ratio")).where(apart).toArrow()
+    out = np.zeros(1 << SLOT_BITS)
+    out[beyond.column("slot").to_numpy()] = beyond.column("ratio").to_numpy()
+    return out
+
+
+def fit(found: pd.DataFrame, ratio: np.ndarray, prior: float, rounds: int = 120, penalty: float = 0.02) -> Model:
+    """Logistic regression on presence times ratio, by full-batch Adam; classes weigh the same."""
     slots = [np.frombuffer(s, "<i4") for s in found["slots"]]
     y = found["toxic"].to_numpy(np.float64)
     rows = np.repeat(np.arange(len(y)), [len(s) for s in slots])
-    cols = np.concatenate(slots) if slots else np.zeros(0, np.int32)
-    toxic = np.bincount(cols[y[rows] == 1], minlength=size) + 1.0
-    clean = np.bincount(cols[y[rows] == 0], minlength=size) + 1.0
-    ratio = np.log(toxic / toxic.sum()) - np.log(clean / clean.sum())
-    noise = np.sqrt(1 / toxic + 1 / clean)
-    ratio[np.abs(ratio) < LEAST_SIGMAS * noise] = 0
+    cols = np.concatenate(slots)
     kept = np.flatnonzero(ratio)
-    use = ratio[cols] != 0
-    rows, values = rows[use], ratio[cols[use]]
-    cols, n = np.searchsorted(kept, cols[use]), len(kept)
+    values, cols, n = ratio[cols], np.searchsorted(kept, cols), len(kept)
     weigh = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     w, b = np.zeros(n), 0.0
     m, v, mb, vb = np.zeros(n), np.zeros(n), 0.0, 0.0
@@ -131,7 +162,7 @@ def fit(found: pd.DataFrame, prior: float, rounds: int = 120, penalty: float = 0
         rate = 0.03 / (1 - 0.9**step) * np.sqrt(1 - 0.999**step)
         w -= rate * m / (np.sqrt(v) + 1e-8)
         b -= rate * mb / (np.sqrt(vb) + 1e-8)
-    weights = np.zeros(size, np.float32)
+    weights = np.zeros(1 << SLOT_BITS, np.float32)
     weights[kept] = w * ratio[kept]
     return Model(weights, float(b + prior))
 
