@@ -1,11 +1,14 @@
 """Quality rules: base counts of each text, and perplexity bands of a Kneser-Ney model by language.
 
-The model is of characters folded to 32 classes, in n-grams of order 4. Spark counts them over
-all texts, a sum by language and n-gram that combines in each task first; the count table has at
-most 2 to the 20th rows a language, whatever the corpus. From it, modified Kneser-Ney estimates (three
-discounts an order, continuation counts below the highest) go into hash arrays: the hashes of the
-n-grams seen, sorted, beside log-probabilities, and those of contexts beside log back-off weights.
-A lookup is a binary search, an order lower with the context's weight where nothing is found.
+The model is of words, in n-grams of order 3: runs of letters and digits are words, every mark and every
+character of three or four bytes (as in scripts without spaces) is a word of its own. Spark counts distinct
+n-grams over all texts, and modified Kneser-Ney estimates (three discounts an order, continuation
+counts below the highest) are joined order by order, so the model grows with the corpus and is never gathered.
+The lowest order falls back to spelling: a model of characters of a fixed size, 32 classes in n-grams
+of order 4, whose hash arrays hold at most 2 to the 20th n-grams a language.
+
+Texts are dealt into two folds by a hash, and each is scored by the model of the other fold: a text does not
+vouch for its own words, nor do its copies.
 
 A text is rejected when its log-perplexity lies outside its language's band: the median of all texts of
 the language that meet the base rules, and WIDTH times the distance of the quartile on that side.
@@ -22,10 +25,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import RollingHash, blocks, cut_lineage, mix64, separated, text_buffer, word_bounds
+from palimpsest.llm.common import RollingHash, blocks, cut_lineage, mix64, row_identity, separated, text_buffer, word_bounds, written
 
 ORDER = 4
 CLASSES = 32
@@ -38,6 +41,10 @@ SYMBOLS = b"#*$%&|<>"
 BLOCK = 1 << 18
 #: Languages whose counts a task holds before it passes them on.
 HELD_LANGUAGES = 8
+FOLDS = 2
+#: What stands before the first word and after the last one.
+BEGIN, END = np.uint64(1), np.uint64(2)
+SPACE, WORD, ALONE = 0, 1, 2
 
 
 def _class(b: int) -> int:
@@ -53,6 +60,11 @@ def _class(b: int) -> int:
 
 
 FOLDED = np.array([_class(b) for b in range(256)], np.int32)
+#: Bytes that share a class: a byte has this share of the class's probability. Upper case does not come up in words.
+SHARED_BY = np.maximum(1, np.bincount(np.delete(FOLDED, np.arange(65, 91)), minlength=CLASSES))
+LOWERED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+#: Of a character, by its first byte.
+KIND = np.array([SPACE if b <= 32 or b == 127 else WORD if 192 <= b < 224 or b < 128 and chr(b).isalnum() else ALONE for b in range(256)], np.int8)
 IS_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 IS_SYMBOL = np.array([b in SYMBOLS for b in range(256)])
 
@@ -176,12 +188,118 @@ def kneser_ney(ngram: np.ndarray, n: np.ndarray) -> HashArrays:
     return HashArrays(grams, contexts)
 
 
-def model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, HashArrays]:
-    """The hash arrays of each language, from counts over all of `docs`; at most 2 to the 20th n-grams a language."""
+def spelling(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, HashArrays]:
+    """The hash arrays of characters of each language, from counts over all of `docs`; at most 2 to the 20th n-grams a language."""
     rows = counted(docs, text_col, lang_col).toArrow().to_pandas()
     return {lang: kneser_ney(own["ngram"].to_numpy(), own["n"].to_numpy()) for lang, own in rows.groupby("lang")}
 
 
+def spelled(words: list[bytes], arrays: HashArrays) -> np.ndarray:
+    """Log-probabilities of the spelling of each word, its end included."""
+    texts = pa.array(words, pa.binary()).cast(pa.string())
+    key, row = ngrams(texts)
+    distinct, at = np.unique(key, return_inverse=True)
+    own = arrays.log2(distinct) - np.where(distinct % CLASSES > 0, np.log2(SHARED_BY[distinct % CLASSES]), 0)
+    return np.bincount(row, weights=own[at], minlength=len(words))
+
+
+def word_ngrams(texts: pa.Array, rolling: RollingHash) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """Hashes of the three words that end at each word, and after the last one, of every text; the text of
+    each; all distinct words; and which of these is the last of the three."""
+    data, offsets = separated(texts)
+    data, n, place = LOWERED[data], len(offsets) - 1, np.arange(len(data))
+    lead = np.maximum.accumulate(np.where(data & 0xC0 == 0x80, 0, place))
+    kind = KIND[data[lead]]
+    begins = (lead == place) & ((kind == ALONE) | (kind == WORD) & (np.concatenate([[SPACE], kind[:-1]]) != WORD))
+    starts, stops = np.flatnonzero(begins), np.flatnonzero(begins | (kind == SPACE))
+    ends = stops[np.searchsorted(stops, starts, side="right")]
+    of = np.searchsorted(offsets, starts, side="right") - 1
+    rolling.load(data)
+    word = rolling.of(starts, ends)
+    size = np.bincount(of, minlength=n) + 3
+    at = np.concatenate([[0], np.cumsum(size)])
+    line, row = np.full(at[-1], BEGIN), np.repeat(np.arange(n), size)
+    line[np.arange(len(word)) + 3 * of + 2] = word
+    line[at[1:] - 1] = END
+    own = np.arange(at[-1]) - at[row] >= 2
+    last = np.flatnonzero(own)
+    _, first, code = np.unique(line[last], return_index=True, return_inverse=True)
+    nth = np.cumsum(own & (line != END)) - 1
+    held = data.tobytes()
+    words = [b"" if line[k] == END else held[starts[nth[k]] : ends[nth[k]]] for k in last[first].tolist()]
+    return np.stack([line[last - 2], line[last - 1], line[last]]), row[last], words, code
+
+
+def counted_words(docs: DataFrame, arrays: dict[str, HashArrays], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(row, lang, fold, u, v, w, spelled, n): the distinct n-grams of every row, and the log-probability of w's spelling."""
+    sent = docs.sparkSession.sparkContext.broadcast(arrays)
+    names = ["row", "lang", "fold", "u", "v", "w", "spelled", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = RollingHash()
+        for block in blocks(batches, 3, BLOCK):
+            langs = np.array(block.column(1).to_pylist(), object).astype(str)
+            for lang in np.unique(langs).tolist():
+                own = block.filter(pa.array(langs == lang))
+                grams, row, words, code = word_ngrams(own.column(3), rolling)
+                mixed = row.astype(np.uint64)
+                for part in grams:
+                    mixed = mix64(mixed + part)
+                _, first, n = np.unique(mixed, return_index=True, return_counts=True)
+                row, ids = row[first], [pa.array(g[first].view(np.int64)) for g in grams]
+                bits = spelled(words, sent.value[lang])[code[first]]
+                columns = [own.column(0).take(pa.array(row)), pa.array([lang] * len(row), pa.string()), own.column(2).take(pa.array(row)), *ids, pa.array(bits), pa.array(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    text = F.col(text_col).cast("string")
+    rows = docs.select(_row(id_col, text_col, lang_col), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int").alias("fold"), text.alias("text"))
+    return rows.mapInArrow(run, "row long, lang string, fold int, u long, v long, w long, spelled double, n long")
+
+
+def _row(id_col: str, text_col: str, lang_col: str) -> Column:
+    return F.xxhash64(row_identity(id_col, text_col), F.coalesce(F.col(lang_col), F.lit(""))).alias("row")
+
+
+def _estimates(rows: DataFrame, words: list[str]) -> DataFrame:
+    """`rows` (lang, model, words, c, wanted, ...) that are wanted, with the discounted `share` of the last word after
+    the others, and the `spare` share that goes to the order below."""
+    key = ["lang", "model"]
+    seen = rows.where("c > 0")
+    discounts = seen.groupBy(key).agg(*[F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
+    discounts = discounts.selectExpr(
+        *key,
+        "n1 = 0 OR n2 = 0 AS few",
+        "least(greatest(1 - 2 * n1 / (n1 + 2 * n2) * n2 / nullif(n1, 0), 0.05), 1) AS d1",
+        "least(greatest(2 - 3 * n1 / (n1 + 2 * n2) * n3 / nullif(n2, 0), 0.05), 2) AS d2",
+        "least(greatest(coalesce(3 - 4 * n1 / (n1 + 2 * n2) * n4 / nullif(n3, 0), 1.5), 0.05), 3) AS d3",
+    )
+    rows = rows.join(F.broadcast(discounts), key, "left")
+    off = F.expr("CASE WHEN c = 0 THEN 0D WHEN few THEN 0.5D WHEN c = 1 THEN d1 WHEN c = 2 THEN d2 ELSE d3 END")
+    rows = rows.withColumn("off", F.coalesce(off, F.lit(0.0))).drop("few", "d1", "d2", "d3")
+    context = key + words[:-1]
+    totals = rows.where("c > 0").groupBy(context).agg(F.sum("c").alias("total"), F.sum("off").alias("all_off"))
+    found = rows.where("wanted").join(totals if words[:-1] else F.broadcast(totals), context, "left")
+    return found.withColumn("share", F.coalesce((F.col("c") - F.col("off")) / F.col("total"), F.lit(0.0))).withColumn("spare", F.coalesce(F.col("all_off") / F.col("total"), F.lit(1.0)))
+
+
+#: Of `share`, `spare` and the log-probability `low` of the order below, which may be too small for a power of 2.
+LOG2 = "CASE WHEN share = 0 THEN log2(spare) + low ELSE log2(share + spare * power(2, low)) END AS log2"
+
+
+def word_model(grams: DataFrame) -> DataFrame:
+    """(lang, model, u, v, w, log2): for every n-gram of a fold, its log-probability under the model of the other fold."""
+    by_fold = [F.sum(F.when(F.col("fold") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(FOLDS)]
+    threes = grams.groupBy("lang", "u", "v", "w").agg(*by_fold, F.max("spelled").alias("spelled"))
+    threes = cut_lineage(threes.selectExpr("lang", "u", "v", "w", "spelled", "inline(array(struct(0 AS model, n1 AS c, n0 > 0 AS wanted), struct(1 AS model, n0 AS c, n1 > 0 AS wanted)))"))
+    below = [F.count_if(F.col("c") > 0).alias("c"), F.max("wanted").alias("wanted"), F.max("spelled").alias("spelled")]
+    twos = cut_lineage(threes.groupBy("lang", "model", "v", "w").agg(*below))
+    ones = cut_lineage(twos.groupBy("lang", "model", "w").agg(*below))
+    one = _estimates(ones, ["w"]).withColumnRenamed("spelled", "low").selectExpr("lang", "model", "w", LOG2)
+    two = _estimates(twos, ["v", "w"]).join(one.withColumnRenamed("log2", "low"), ["lang", "model", "w"]).selectExpr("lang", "model", "v", "w", LOG2)
+    three = _estimates(threes, ["u", "v", "w"]).join(two.withColumnRenamed("log2", "low"), ["lang", "model", "v", "w"])
+    return written(three.selectExpr("lang", "model", "u", "v", "w", LOG2), "ngrams")
+
+
 def base_counts(texts: pa.Array, rolling: RollingHash) -> list[np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
     data, offsets = separated(texts)
@@ -228,40 +346,28 @@ def base_counts(texts: pa.Array, rolling: RollingHash) -> list[np.ndarray]:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measured(docs: DataFrame, arrays: dict[str, HashArrays], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, lang, the base counts, log_perplexity): bits for each byte under the model of the row's language."""
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(id, lang, the base counts, log_perplexity): bits for each word under the model of the row's language and the other fold."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(arrays)
+    grams = cut_lineage(counted_words(docs, spelling(docs, text_col, lang_col), id_col, text_col, lang_col))
+    model = word_model(grams).withColumnRenamed("model", "fold")
+    bits = grams.join(model, ["lang", "fold", "u", "v", "w"]).groupBy("row").agg((-F.sum(F.col("n") * F.col("log2")) / F.sum("n")).alias("log_perplexity"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = RollingHash()
-        looked: dict[str, np.ndarray] = {}  # log-probabilities found so far, by n-gram
-        for block in blocks(batches, 2, BLOCK):
-            key, row = ngrams(block.column(2))
-            langs = np.array(block.column(1).to_pylist(), object).astype(str)
-            value = np.zeros(len(key), np.float32)
-            for lang in np.unique(langs).tolist():
-                if lang not in looked:
-                    if len(looked) >= HELD_LANGUAGES:
-                        looked.clear()
-                    looked[lang] = np.full(CLASSES**ORDER, np.nan, np.float32)
-                known = looked[lang]
-                own = (langs == lang)[row]
-                new = np.unique(key[own][np.isnan(known[key[own]])])
-                known[new] = sent.value[lang].log2(new)
-                value[own] = known[key[own]]
-            bits = -np.bincount(row, weights=value, minlength=block.num_rows) / np.maximum(1, np.bincount(row, minlength=block.num_rows))
-            columns = [pa.array(c, pa.int64()) for c in base_counts(block.column(2), rolling)]
-            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), *columns, pa.array(bits)], names=[id_col, "lang", *COUNTS, "log_perplexity"])
-
-    rows = docs.select(id_col, F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text"))
+        for block in blocks(batches, 3, BLOCK):
+            columns = [pa.array(c, pa.int64()) for c in base_counts(block.column(3), rolling)]
+            yield pa.RecordBatch.from_arrays([*block.columns[:3], *columns], names=["row", id_col, "lang", *COUNTS])
+
+    rows = docs.select(_row(id_col, text_col, lang_col), id_col, F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     counts = ", ".join(f"{c} long" for c in COUNTS)
-    return rows.mapInArrow(run, f"`{id_col}` {id_type}, lang string, {counts}, log_perplexity double")
+    counted = rows.mapInArrow(run, f"row long, `{id_col}` {id_type}, lang string, {counts}")
+    return counted.join(bits, "row", "left").drop("row")
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = WIDTH) -> DataFrame:
     """Counts and log-perplexity of every row, with base_failed and kept."""
-    rows = cut_lineage(measured(docs, model(docs, text_col, lang_col), id_col, text_col, lang_col))
+    rows = cut_lineage(measured(docs, id_col, text_col, lang_col))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     quartiles = F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000)

@@ -59,3 +59,38 @@ def test_gibberish_is_outside_its_band(spark):
 
 def test_empty_table(spark):
     assert p.judged(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_order_and_letters_of_any_script_count(spark):
+    rng = random.Random(2)
+    names = {"en": [f"{a}{b}" for a in "bdgkm" for b in ("an", "el", "ost", "urn")], "ru": [f"{a}{b}" for a in "бдгкм" for b in ("ан", "ел", "ост", "урн")]}
+    rows = []
+    for lang, words in names.items():
+        after = {w: rng.sample(words, 2) for w in words}
+        for k in range(120):
+            said = [rng.choice(words)]
+            while len(said) < 100:
+                said.append(rng.choice(after[said[-1]]))
+            mixed = rng.sample(said, len(said))
+            letters = ["".join(rng.sample(w, len(w))) for w in said]
+            kind, said = {118: ("mixed", mixed), 119: ("letters", letters)}.get(k, ("real", said))
+            rows.append((f"{lang} {kind} {k}", " ".join(said), lang))
+    got = {r.doc_id: r for r in p.measured(spark.createDataFrame(rows, "doc_id string, text string, lang string")).collect()}
+    for lang in names:
+        real = max(r.log_perplexity for k, r in got.items() if k.startswith(f"{lang} real"))
+        assert got[f"{lang} mixed 118"].log_perplexity > real + 0.5
+        assert got[f"{lang} letters 119"].log_perplexity > real + 0.5
+
+
+def test_word_probabilities_sum_to_one_and_a_text_does_not_vouch_for_itself(spark):
+    rows = [(0, 0, 5, 6, 7, 3), (0, 0, 5, 6, 8, 1), (0, 0, 9, 6, 7, 1), (0, 0, 9, 6, 9, 2)] + [(1, 1, 5, 6, w, 1) for w in (7, 8, 9)]
+    grams = spark.createDataFrame([(*r[:1], "en", *r[1:5], -float(np.log2(3)), r[5]) for r in rows], "row long, lang string, fold int, u long, v long, w long, spelled double, n long")
+    found = {(r.u, r.v, r.w): r.log2 for r in p.word_model(grams).where("model = 1").collect()}
+    assert abs(sum(2.0**x for x in found.values()) - 1) < 1e-9
+    alone = p.word_model(grams.where("fold = 1")).collect()
+    assert all(abs(r.log2 + np.log2(3)) < 1e-9 for r in alone)
+
+
+def test_words_of_any_script():
+    *_, words, _ = p.word_ngrams(pa.array(["Née, 東京 12a", None, ""]), RollingHash())
+    assert sorted(words) == sorted(w.encode() for w in ["née", ",", "東", "京", "12a", ""])
