@@ -11,11 +11,15 @@ Texts are dealt into two folds by a hash, and each is scored by the model of the
 vouch for its own words, nor do its copies.
 
 A text is rejected when its log-perplexity lies outside its language's band: the median of all texts of
-the language that meet the base rules, and WIDTH times the distance of the quartile on that side.
+the language that meet the base rules, and so many distances of the quartile on that side. How many is set
+for each language and side by labelled texts: the width at which the share of bad texts outside exceeds that
+of good texts by most while at most MOST_GOOD of these leave; or WIDTH where no width rejects more of the bad
+texts, or fewer than LEAST_LABELLED texts of either kind are labelled.
 
 Edge cases: a null or empty text has no words and fails the base rules; null languages form a
 language of their own; texts that repeat count each time; an empty table gives an empty result;
-a language with equal quartiles has a band of at least LEAST_WIDTH on either side.
+a quartile distance below LEAST_DISTANCE counts as that, so equal quartiles leave room for rounding only;
+a text whose labels disagree is bad.
 """
 
 from __future__ import annotations
@@ -33,7 +37,11 @@ from palimpsest.llm.common import RollingHash, blocks, cut_lineage, mix64, row_i
 ORDER = 4
 CLASSES = 32
 WIDTH = 8.0
-LEAST_WIDTH = 0.25
+LEAST_DISTANCE = 1e-6
+LEAST_LABELLED = 20
+#: What widths are chosen from, and the share of a language's good texts that may leave on a side.
+WIDTHS = [k / 2 for k in range(2, 33)]
+MOST_GOOD = 0.1
 MIN_WORDS = 50
 MOST_REPEATED = 50  # per cent of all words
 SYMBOLS = b"#*$%&|<>"
@@ -365,18 +373,42 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return counted.join(bits, "row", "left").drop("row")
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = WIDTH) -> DataFrame:
-    """Counts and log-perplexity of every row, with base_failed and kept."""
-    rows = cut_lineage(measured(docs, id_col, text_col, lang_col))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed)
+def _widths(rows: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
+    """(lang, lower_width, upper_width) from the labelled rows of `rows` (id, lang, side, away)."""
+    bad = labels.where("quality is not null").groupBy(id_col).agg((F.min("quality") == 0).alias("bad"))
+    labelled = rows.join(bad, id_col)
+    out = labelled.withColumn("width", F.explode(F.array(*map(F.lit, WIDTHS))))
+    counts = [F.count_if(F.col("bad") & (F.col("away") > F.col("width"))).alias("bad_out"), F.count_if(~F.col("bad") & (F.col("away") > F.col("width"))).alias("good_out")]
+    out = out.groupBy("lang", "side", "width").agg(*counts)
+    of = labelled.groupBy("lang").agg(F.count_if("bad").alias("n_bad"), F.count_if(~F.col("bad")).alias("n_good"))
+    out = out.join(of.where(f"n_bad >= {LEAST_LABELLED} and n_good >= {LEAST_LABELLED}"), "lang")
+    gain = F.round(F.col("bad_out") / F.col("n_bad") - F.col("good_out") / F.col("n_good"), 9)
+    allowed = (gain > 0) & (F.col("good_out") <= MOST_GOOD * F.col("n_good"))
+    best = [F.max_by("width", F.when(allowed & (F.col("side") == side), F.struct(gain, F.col("width")))).alias(f"{side}_width") for side in ("lower", "upper")]
+    return out.groupBy("lang").agg(*best)
+
+
+def banded(rows: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", width: float = WIDTH) -> DataFrame:
+    """`rows` (id, lang, base_failed, log_perplexity, ...) with lower, upper and kept; `labels` are (id, quality 0 or 1)."""
     quartiles = F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000)
     bands = rows.where(~F.col("base_failed")).groupBy("lang").agg(quartiles.alias("q"))
-    least = F.lit(LEAST_WIDTH)
-    bands = bands.select(
-        "lang",
-        (F.col("q")[1] - F.greatest(least, (F.col("q")[1] - F.col("q")[0]) * width)).alias("lower"),
-        (F.col("q")[1] + F.greatest(least, (F.col("q")[2] - F.col("q")[1]) * width)).alias("upper"),
-    )
+    distance = [F.greatest(F.lit(LEAST_DISTANCE), F.col("q")[k + 1] - F.col("q")[k]).alias(name) for k, name in enumerate(("below", "above"))]
+    bands = bands.select("lang", F.col("q")[1].alias("mid"), *distance)
+    if labels is None:
+        bands = bands.withColumn("lower_width", F.lit(width)).withColumn("upper_width", F.lit(width))
+    else:
+        bands = cut_lineage(bands)
+        off = F.col("log_perplexity") - F.col("mid")
+        placed = rows.where(~F.col("base_failed")).join(F.broadcast(bands), "lang")
+        placed = placed.select(id_col, "lang", F.when(off < 0, "lower").otherwise("upper").alias("side"), F.when(off < 0, -off / F.col("below")).otherwise(off / F.col("above")).alias("away"))
+        bands = bands.join(_widths(placed, labels, id_col), "lang", "left").fillna(width, ["lower_width", "upper_width"])
+    bands = bands.selectExpr("lang", "mid - below * lower_width AS lower", "mid + above * upper_width AS upper")
     within = F.col("log_perplexity").between(F.col("lower"), F.col("upper"))
-    return rows.join(bands, "lang", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(False)))
+    return rows.join(F.broadcast(bands), "lang", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(False)))
+
+
+def judged(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = WIDTH) -> DataFrame:
+    """Counts and log-perplexity of every row, with base_failed and kept."""
+    rows = cut_lineage(measured(docs, id_col, text_col, lang_col))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    return banded(rows.withColumn("base_failed", failed), labels, id_col, width)

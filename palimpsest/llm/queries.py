@@ -30,7 +30,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return perplexity.judged(table(spark, sf_dir, "documents")).select(
+    return perplexity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", *perplexity.COUNTS, "base_failed", "kept", "log_perplexity", "lower", "upper"
     )
 

@@ -94,3 +94,14 @@ def test_word_probabilities_sum_to_one_and_a_text_does_not_vouch_for_itself(spar
 def test_words_of_any_script():
     *_, words, _ = p.word_ngrams(pa.array(["Née, 東京 12a", None, ""]), RollingHash())
     assert sorted(words) == sorted(w.encode() for w in ["née", ",", "東", "京", "12a", ""])
+
+
+def test_bands_have_no_floor_and_follow_the_labels(spark):
+    flat = [(k, "flat", False, 2.0) for k in range(40)] + [(40, "flat", False, 2.1)]
+    wide = [(100 + k, "wide", False, 5 + 0.01 * (k % 21 - 10)) for k in range(210)]
+    bad = [(400 + k, "wide", False, 5.16) for k in range(30)]
+    rows = spark.createDataFrame(flat + wide + bad, "doc_id long, lang string, base_failed boolean, log_perplexity double")
+    labels = spark.createDataFrame([(r[0], 1) for r in wide] + [(r[0], 0) for r in bad], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in p.banded(rows, labels).collect()}
+    assert [k for k, v in sorted(kept.items()) if not v] == [40] + [r[0] for r in bad]
+    assert [r.doc_id for r in p.banded(rows).where("not kept").collect()] == [40]
