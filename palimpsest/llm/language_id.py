@@ -1,11 +1,15 @@
 """Language identification by string kernels with Nystroem landmarks and kernel ridge regression.
 
 The kernel of two texts is the share of n-grams that both hold, of all lengths together (a blended
-spectrum of presences): k(x, y) = |S(x) & S(y)| / sqrt(|S(x)| |S(y)|), with n-grams hashed to a
-fixed number of slots. Some training texts of each language are landmarks; kernels with them,
-whitened, are the features of a ridge regression of each language against the rest. Scoring is
-two matrix products a batch: presences by landmarks, kernels by languages. The model's size
-is fixed by the parameters and the number of languages.
+spectrum of presences): k(x, y) = |S(x) & S(y)| / sqrt(|S(x)| |S(y)|), with n-grams hashed to
+2 to the SLOT_BITS slots. Some training texts of each language are landmarks; kernels with them,
+whitened, are the features of a ridge regression of each language against the rest. Both steps are
+linear in the presences, so the model is one weight for each slot of a landmark and language, and
+scoring sums the weights of the slots that a text holds. The model's size is bounded by the
+parameters and the number of languages.
+
+A text is scored in stretches of at most STRETCH bytes, and its values are the mean of theirs by length:
+presences of a long text would fill up, until it held the n-grams of every language.
 
 Training takes about `per_language` texts of each language, drawn by a hash of the id.
 
@@ -28,14 +32,15 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import blocks, mix64, separated
 
 LENGTHS = (2, 3, 4)
-SLOT_BITS = 13
+SLOT_BITS = 18
 SLOTS = 1 << SLOT_BITS
 #: Training texts and landmarks of each language.
 PER_LANGUAGE = 400
 LANDMARKS = 24
 PENALTY = 1e-2
-#: Texts in one matrix product.
-BATCH_ROWS = 512
+#: Bytes of a text that are scored together, and bytes of text that a task works on at once.
+STRETCH = 1 << 13
+BLOCK = 1 << 20
 UNKNOWN = "und"
 
 #: ASCII letters lower-cased, other ASCII characters as spaces, so case, digits and marks do not count.
@@ -44,34 +49,50 @@ FOLDED = np.array([b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalpha()
 
 class Model(NamedTuple):
     languages: list[str]
-    landmarks: np.ndarray  # slots by landmarks
-    weights: np.ndarray  # landmarks by languages
-
-
-def presences(texts: pa.Array) -> Iterator[np.ndarray]:
-    """For up to BATCH_ROWS texts at a time: which slots each one holds, as 0 and 1."""
-    for at in range(0, len(texts), BATCH_ROWS):
-        data, offsets = separated(texts.slice(at, BATCH_ROWS))
-        folded = FOLDED[data].astype(np.uint64)
-        out = np.zeros((len(offsets) - 1, SLOTS), np.float32)
-        row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        for length in LENGTHS:
-            n = len(folded) - length + 1
-            if n <= 0:
-                continue
-            key = np.zeros(n, np.uint64)
-            for k in range(length):
-                key = key << np.uint64(8) | folded[k : n + k]
-            slot = (mix64(key + np.uint64(length << 40)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-            own = row[:n] == row[length - 1 :]
-            out[row[:n][own], slot[own]] = 1
-        yield out
-
-
-def kernels(present: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
-    """Kernels of texts with landmarks; `landmarks` are scaled to unit length already."""
-    size = np.sqrt(np.maximum(present.sum(axis=1, keepdims=True), 1))
-    return (present @ landmarks) / size
+    slots: np.ndarray  # of all landmarks, sorted
+    weights: np.ndarray  # slots by languages
+
+
+def presences(texts: pa.Array, stretch: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The text and the length of each stretch; and the stretches and slots that go together, in order. A text is
+    one stretch if no length is given; an n-gram belongs to the stretch that it starts in."""
+    data, offsets = separated(texts)
+    folded, n = FOLDED[data].astype(np.uint64), len(offsets) - 1
+    size = np.diff(offsets)
+    pieces = np.ones(n, np.int64) if stretch is None else -(-size // stretch)
+    row = np.repeat(np.arange(n), size)
+    piece = row if stretch is None else (np.cumsum(pieces) - pieces)[row] + (np.arange(len(data)) - offsets[row]) // stretch
+    found = []
+    for length in LENGTHS:
+        m = len(folded) - length + 1
+        if m <= 0:
+            continue
+        key = np.zeros(m, np.uint64)
+        for k in range(length):
+            key = key << np.uint64(8) | folded[k : m + k]
+        slot = (mix64(key + np.uint64(length << 40)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        own = row[:m] == row[length - 1 :]
+        found.append((piece[:m] << SLOT_BITS | slot)[own])
+    both = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+    return np.repeat(np.arange(n), pieces), np.bincount(piece, minlength=pieces.sum()), both >> SLOT_BITS, both & (SLOTS - 1)
+
+
+def _weighed(slot: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of `slot` are among the sorted `slots`, and where these stand."""
+    at = np.minimum(np.searchsorted(slots, slot), len(slots) - 1)
+    known = slots[at] == slot
+    return known, at[known]
+
+
+def values(texts: pa.Array, model: Model) -> np.ndarray:
+    """The regression's values, texts by languages."""
+    text, length, piece, slot = presences(texts, STRETCH)
+    held = np.sqrt(np.maximum(1, np.bincount(piece, minlength=len(text))))
+    known, at = _weighed(slot, model.slots)
+    share = length / held / np.bincount(text, weights=length, minlength=len(texts))[text]
+    of, share = text[piece[known]], share[piece[known]]
+    return np.stack([np.bincount(of, weights=w[at] * share, minlength=len(texts)) for w in model.weights.T], axis=1)
 
 
 def _has_letter(text: str | None) -> bool:
@@ -79,8 +100,9 @@ def _has_letter(text: str | None) -> bool:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches, 0):
-        found = [np.flatnonzero(p).astype("<i2").tobytes() for present in presences(block.column(0)) for p in present]
+    for block in blocks(batches, 0, BLOCK):
+        text, _, piece, slot = presences(block.column(0))
+        found = [p.astype("<i4").tobytes() for p in np.split(slot, np.searchsorted(piece, np.arange(1, len(text))))]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), block.column(1), block.column(2)], names=["slots", "lang", "drawn"])
 
 
@@ -89,7 +111,7 @@ def train(docs: DataFrame, learn_from: Column, per_language: int = PER_LANGUAGE,
     known = docs.where(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
     if not counts:
-        return Model([], np.zeros((SLOTS, 0), np.float32), np.zeros((0, 0), np.float32))
+        return Model([], np.zeros(0, np.int64), np.zeros((0, 0)))
     drawn = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, per_language / n) * (1 << 30)))])
     some = known.where(drawn < share[F.col(lang_col)])
@@ -100,20 +122,24 @@ def train(docs: DataFrame, learn_from: Column, per_language: int = PER_LANGUAGE,
 def fit(rows: pd.DataFrame) -> Model:
     rows = rows.sort_values(["lang", "drawn", "slots"]).reset_index(drop=True)
     languages = sorted(rows["lang"].unique())
-    present = np.zeros((len(rows), SLOTS), np.float32)
-    for k, slots in enumerate(rows["slots"]):
-        present[k, np.frombuffer(slots, "<i2")] = 1
+    held = [np.frombuffer(slots, "<i4").astype(np.int64) for slots in rows["slots"]]
     nth = rows.groupby("lang").cumcount().to_numpy()
-    marks = present[nth < LANDMARKS]
-    landmarks = (marks / np.sqrt(np.maximum(marks.sum(axis=1, keepdims=True), 1))).T
-    among = kernels(marks, landmarks).astype(np.float64)
-    values, vectors = np.linalg.eigh((among + among.T) / 2)
-    kept = values > 1e-6 * values.max()
-    whiten = vectors[:, kept] / np.sqrt(values[kept])
-    features = kernels(present, landmarks) @ whiten
+    marks = [held[k] for k in np.flatnonzero(nth < LANDMARKS)]
+    slots = np.unique(np.concatenate(marks))
+    if not len(slots):
+        return Model([], np.zeros(0, np.int64), np.zeros((0, 0)))
+    landmarks = np.zeros((len(slots), len(marks)), np.float32)
+    for k, mark in enumerate(marks):
+        landmarks[np.searchsorted(slots, mark), k] = 1 / np.sqrt(max(1, len(mark)))
+    kernels = np.stack([landmarks[_weighed(h, slots)[1]].sum(axis=0, dtype=np.float64) / np.sqrt(max(1, len(h))) for h in held])
+    among = kernels[nth < LANDMARKS]
+    spread, vectors = np.linalg.eigh((among + among.T) / 2)
+    kept = spread > 1e-6 * spread.max()
+    whiten = vectors[:, kept] / np.sqrt(spread[kept])
+    features = kernels @ whiten
     wanted = (rows["lang"].to_numpy()[:, None] == np.array(languages)[None, :]).astype(np.float64)
-    gram = features.T @ features + PENALTY * len(rows) / len(landmarks.T) * np.eye(kept.sum())
-    return Model(languages, landmarks, (whiten @ np.linalg.solve(gram, features.T @ wanted)).astype(np.float32))
+    gram = features.T @ features + PENALTY * len(rows) / len(marks) * np.eye(kept.sum())
+    return Model(languages, slots, (landmarks @ (whiten @ np.linalg.solve(gram, features.T @ wanted))).astype(np.float64))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,17 +148,17 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, landmarks, weights = sent.value
-        for block in blocks(batches, 1):
+        languages = sent.value.languages
+        for block in blocks(batches, 1, BLOCK):
             texts = block.column(1)
             letters = np.array([_has_letter(t.as_py()) for t in texts])
             if not languages:
                 best, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             else:
-                values = np.concatenate([kernels(p, landmarks) @ weights for p in presences(texts)])
-                top = values.argmax(axis=1)
+                found = values(texts, sent.value)
+                top = found.argmax(axis=1)
                 best = np.where(letters, np.array(languages, object)[top], UNKNOWN)
-                score = np.where(letters, np.clip(values[np.arange(len(top)), top], 0, 1), 0).astype(np.float64).round(5)  # matrix products differ in the last digits with the batch
+                score = np.where(letters, np.clip(found[np.arange(len(top)), top], 0, 1), 0).round(5)  # sums differ in the last digits with the batch
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {id_type}, lang_pred string, score double")

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from palimpsest.llm import language_id as li
@@ -22,3 +24,23 @@ def test_odd_texts_and_nothing_to_learn(docs):
     assert li.predict(docs([]), model).count() == 0
     nothing = li.train(table, F.lit(False))
     assert {r.lang_pred for r in li.predict(table, nothing).collect()} == {"und"}
+
+
+def test_long_texts_of_rich_vocabulary(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = li.train(table, ~held_out)
+    rng, words = random.Random(3), {}
+    for r in table.where(held_out & F.col("text").isNotNull()).select("lang", "text").collect():
+        words.setdefault(r.lang, []).extend(r.text.split())
+    junk = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    rows = []
+    for lang, held in sorted(words.items()):
+        for size, share in ((1_000_000, 0.02), (100_000, 0.1), (3_000_000, 0.1)):
+            said, n = [], 0
+            while n < size:
+                said.append(junk() if rng.random() < share else rng.choice(held))
+                n += len(said[-1]) + 1
+            rows.append((lang, " ".join(said)))
+    found = li.predict(spark.createDataFrame(rows, "doc_id string, text string"), model).collect()
+    assert len(rows) == 12 and [r.lang_pred for r in found] == [r.doc_id for r in found] and min(r.score for r in found) > 0.3
