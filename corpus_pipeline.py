@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe, decontamination, simhash, suffix_dedup, toxicity
-from palimpsest.llm.common import table, written
+from palimpsest.llm.common import cut_lineage, row_identity, table, written
 from palimpsest.llm.queries import fold
 
 
@@ -18,13 +18,16 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id stays of each group of near-duplicates, and one row of rows that repeat its id."""
-    found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component")))
-    kept = found.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("n_rows"))
-    once = docs.join(kept.where("n_rows = 1"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    again = docs.join(kept.where("n_rows > 1"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    first = again.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return once.unionByName(first.where("__nth = 1").drop("__nth"))
+    """One row stays of each group of near-duplicates: that of the smallest id, null last, and then of the smallest hash of id and text."""
+    rows = docs.withColumn("__row", row_identity("doc_id", "text"))
+    whole = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("__row").alias("row"))
+    found = simhash.near_duplicates(rows.select(whole.alias("__whole"), "text"), "__whole")
+    kept = found.where("__whole <=> component").groupBy(F.col("__whole.row").alias("__row")).agg(F.count(F.lit(1)).alias("n_rows"))
+    kept = cut_lineage(kept)
+    once = rows.join(kept.where("n_rows = 1"), "__row", "left_semi").select(*docs.columns)
+    again = rows.join(kept.where("n_rows > 1"), "__row", "left_semi")
+    first = again.groupBy("__row").agg(F.min(F.struct(*docs.columns)).alias("first")).select("first.*")
+    return once.unionByName(first)
 
 
 def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

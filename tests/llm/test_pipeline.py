@@ -28,6 +28,14 @@ def test_repeated_ids_leave_one_row(spark):
     assert sorted((r.doc_id or 0) for r in corpus_pipeline.keep_one_of_each(spark, table, SF).collect()) == [0, 1]
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    one, two, three = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(None, one), (None, two), (None, two), (5, three), (5, one), (3, three), (3, "quite another text of some words"), (None, None)]
+    got = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    want = [(5, one), (None, two), (3, three), (3, "quite another text of some words"), (None, None)]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
 def test_every_operator_has_one_query():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
     assert set(queries.oracle_sql()) <= set(queries.queries())
