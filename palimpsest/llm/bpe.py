@@ -5,8 +5,13 @@ block, and replays the merges over all of them at once: an inverted index leads
 that a pair makes to the positions of that pair, the lowest rank goes first, and a merge looks
 only at the two neighbours it touches. Texts are then read off piece by piece.
 
-Edge cases: a null or empty text has no ids; a text of one long piece costs n log n; rows that
-repeat are encoded alike; an empty table gives an empty result; other columns are ignored.
+The tables that follow from the ranks are made once on the driver and broadcast: their size is that of a
+vocabulary file, not of the data. A task works on REPLAYED_BYTES of text at a time and remembers
+pieces of at most REMEMBERED_BYTES.
+
+Edge cases: a null or empty text has no ids; a very long text is a block of its own, and one of a single
+long piece costs n log n; there are no ties, since ranks differ and the leftmost place of a rank goes first; rows
+that repeat are encoded alike; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -15,20 +20,24 @@ import base64
 import heapq
 import re
 from collections.abc import Callable, Iterator
+from functools import cache
+from hashlib import sha256
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import blocks
 
 #: Bytes of text whose distinct pieces are replayed together.
-REPLAYED_BYTES = 6 << 20
-#: Pieces that a task remembers between blocks; beyond it the memory starts anew.
-REMEMBERED_PIECES = 100_000
+REPLAYED_BYTES = 2 << 20
+#: Bytes of pieces that a task remembers between blocks; beyond it the memory starts anew. A piece costs PIECE_BYTES besides its own.
+REMEMBERED_BYTES = 24 << 20
+PIECE_BYTES = 250
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -76,6 +85,10 @@ class MergeReplay:
             out[rest[k]] = np.array(self._in_turn(pieces[rest[k]]), "<u4").tobytes()
         return out
 
+    def decode(self, ids: bytes | None) -> bytes:
+        """The bytes that ids stand for."""
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+
     def _replay(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens by position, which positions still start one, and positions in pieces whose ranks fell.
 
@@ -173,6 +186,7 @@ class MergeReplay:
         return [t for t in token if t >= 0]
 
 
+@cache
 def piece_cutter(pattern: str) -> Callable[[str], list[str]]:
     """Finds the matches of a pattern in a text.
 
@@ -201,47 +215,67 @@ class _Numbering(dict):
         return new
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids): the token ids of every whole text, as little-endian unsigned 32-bit integers.
+class Codec:
+    """Encodes the texts of a task block by block."""
 
-    `ranks` travels with the tasks: its size is that of a vocabulary file, not of the data.
-    """
-    id_type = docs.schema[id_col].dataType.simpleString()
+    def __init__(self, replay: MergeReplay, pattern: str) -> None:
+        self.replay, self.cut = replay, piece_cutter(pattern)
+        self.number = _Numbering()
+        self.known: list[bytes] = []
+        self.held = 0
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        if self.held > REMEMBERED_BYTES:
+            self.number.clear()
+            self.known.clear()
+            self.held = 0
+        pieces = [np.fromiter(map(self.number.__getitem__, self.cut(text.as_py() or "")), np.uint32) for text in texts]
+        new = [piece.encode() for piece in islice(self.number, len(self.known), None)]
+        self.known += self.replay.encode(new)
+        self.held += sum(map(len, new)) + PIECE_BYTES * len(new)
+        return [b"".join(map(self.known.__getitem__, own.tolist())) for own in pieces]
+
+
+def _sent(df: DataFrame, ranks: dict[bytes, int]) -> Broadcast:
+    return df.sparkSession.sparkContext.broadcast(MergeReplay(ranks))
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids): the token ids of every whole text, as little-endian unsigned 32-bit integers."""
+    id_type, sent = docs.schema[id_col].dataType.simpleString(), _sent(docs, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay, cut = MergeReplay(ranks), piece_cutter(pattern)
-        number = _Numbering()
-        known: list[bytes] = []
+        codec = Codec(sent.value, pattern)
         for block in blocks(batches, 1, REPLAYED_BYTES):
-            if len(known) > REMEMBERED_PIECES:
-                number.clear()
-                known.clear()
-            texts = [np.fromiter(map(number.__getitem__, cut(text.as_py() or "")), np.uint32) for text in block.column(1)]
-            known += replay.encode([piece.encode() for piece in islice(number, len(known), None)])
-            ids = pa.array((b"".join(map(known.__getitem__, pieces.tolist())) for pieces in texts), pa.binary())
-            yield pa.RecordBatch.from_arrays([block.column(0), ids], names=[id_col, "ids"])
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(codec.encode(block.column(1)), pa.binary())], names=[id_col, "ids"])
 
-    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {id_type}, ids binary")
+    return docs.select(id_col, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, f"`{id_col}` {id_type}, ids binary")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id") -> DataFrame:
     """(id, ids, decoded): the bytes that the ids stand for; null ids decode to no bytes."""
-    id_type = encoded.schema[id_col].dataType.simpleString()
+    id_type, sent = encoded.schema[id_col].dataType.simpleString(), _sent(encoded, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = {rank: token for token, rank in ranks.items()}.__getitem__
         for batch in batches:
-            out = [b"".join(map(tokens, np.frombuffer(ids or b"", "<u4").tolist())) for ids in batch.column(1).to_pylist()]
+            out = [sent.value.decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=[id_col, "ids", "decoded"])
 
     return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {id_type}, ids binary, decoded binary")
 
 
-def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts and SHA-256 digests of ids and decoded bytes."""
-    return decoded.select(
-        id_col,
-        F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of every whole text: encoded and decoded in one task, so that only digests leave it."""
+    id_type, sent = docs.schema[id_col].dataType.simpleString(), _sent(docs, ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(sent.value, pattern)
+        for block in blocks(batches, 1, REPLAYED_BYTES):
+            ids = codec.encode(block.column(1))
+            counts = pa.array([len(own) // 4 for own in ids], pa.int64())
+            digests = [pa.array([sha256(b).hexdigest() for b in found], pa.string()) for found in (ids, map(sent.value.decode, ids))]
+            yield pa.RecordBatch.from_arrays([block.column(0), counts, *digests], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    schema = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select(id_col, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
