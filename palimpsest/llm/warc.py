@@ -8,9 +8,10 @@ Archives are rows (archive, warc) of a table, so they lie in any store that Spar
 `read` takes any such rows, in whatever chunks an archive's bytes come in. The reader inflates
 member by member as far as it needs, frames blocks by Content-Length, and checks both digests.
 
-Edge cases: a null or empty text is a payload of no bytes, equal to any other such; rows that repeat
+Edge cases: a null or empty text is a payload of no bytes, equal to any other such; a very long text is one record,
+in an archive of its own size; ties do not occur, as the largest id of equal payloads is the response; rows that repeat
 id and payload are all responses; null ids and urls come back as null; an empty table gives no
-archive; other columns are ignored.
+archive; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 #: Payload bytes after which a task begins a new archive.
 ARCHIVE_BYTES = 8 << 20
 #: Compressed bytes that the reader inflates at a time.
-CHUNK = 1 << 16
+CHUNK = 1 << 14
 LEVEL = 4
 ID = "<urn:x-page:%s>"
 END = b"\r\n\r\n"
@@ -72,28 +73,32 @@ class Reader:
 
     def __init__(self, chunks: Iterator[bytes]) -> None:
         self.chunks = chunks
-        self.rest = b""
+        self.chunk = memoryview(b"")
+        self.at = 0  # what is read of the chunk
         self.inflate = None
 
+    def _waiting(self) -> bool:
+        """Whether bytes are left, in this chunk or the next one."""
+        while self.at == len(self.chunk):
+            following = next(self.chunks, None)
+            if following is None:
+                return False
+            self.chunk, self.at = memoryview(following), 0
+        return True
+
     def _more(self, ready: bytearray) -> bool:
         """Adds inflated bytes of this member to `ready`; false at the member's end."""
         if self.inflate.eof:
             return False
-        if not self.rest:
-            self.rest = next(self.chunks, b"")
-            if not self.rest:
-                raise ValueError("the archive ends inside a member")
-        piece, self.rest = self.rest[:CHUNK], self.rest[CHUNK:]
+        if not self._waiting():
+            raise ValueError("the archive ends inside a member")
+        piece = self.chunk[self.at : self.at + CHUNK]
         ready += self.inflate.decompress(piece)
-        self.rest = self.inflate.unused_data + self.rest
+        self.at += len(piece) - len(self.inflate.unused_data)
         return True
 
     def __iter__(self) -> Iterator[Record]:
-        while True:
-            while not self.rest:
-                self.rest = next(self.chunks, None)
-                if self.rest is None:
-                    return
+        while self._waiting():
             self.inflate = zlib.decompressobj(31)
             ready = bytearray()
             while (head := ready.find(END)) < 0:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import gzip
+import time
 
 import pytest
 
@@ -31,3 +32,20 @@ def test_archives_of_a_table(spark):
     got = sorted(((r.page_id or "", r.record_type, r.payload_bytes, r.refers_to) for r in warc.read(warc.archives(pages)).collect()), key=repr)
     assert got == sorted([("1", "revisit", 4, "2"), ("2", "response", 4, None), ("2", "response", 4, None), ("3", "revisit", 0, "4"), ("4", "response", 0, None), ("5", "response", 18, None), ("", "response", 7, None)], key=repr)
     assert warc.read(warc.archives(pages.limit(0))).count() == 0
+
+
+def test_an_archive_in_one_chunk_is_read_in_linear_time():
+    one = warc.member(1, "u", b"some text, again and again" * 20, None)
+    began = time.process_time()
+    assert sum(1 for _ in read_all(one * 1000, 1 << 30)) == 1000
+    few = time.process_time() - began
+    began = time.process_time()
+    assert sum(1 for _ in read_all(one * 8000, 1 << 30)) == 8000
+    assert time.process_time() - began < 20 * few + 0.5
+
+
+def test_long_payloads_and_clashing_columns(spark):
+    html = "long page " * 500_000
+    pages = spark.createDataFrame([(1, "u", html, "a", "b"), (2, "u", html, "a", "b")], "page_id long, url string, html string, digest string, response string")
+    got = sorted((r.page_id, r.record_type, r.payload_bytes, r.refers_to) for r in warc.read(warc.archives(pages)).collect())
+    assert got == [("1", "revisit", len(html), "2"), ("2", "response", len(html), None)]
