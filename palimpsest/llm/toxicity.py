@@ -2,21 +2,26 @@
 
 Features are the distinct byte n-grams of the lower-cased text, hashed to a fixed number of
 slots. For each slot, r is the log ratio of its smoothed share among toxic documents to that
-among the others; a logistic regression is fitted on presence times r. A fixed model of one
-weight a slot goes to the tasks, and each whole text is scored where it lies: no shuffle.
-
-Training takes at most `per_class` labelled documents of either class, those of the smallest
-hash of their id; the class shares for the intercept count all labelled training rows.
-
-Edge cases: a null or empty text has no features and scores the intercept; a document with
-several label rows counts as toxic if any says so; null labels and ids are not learned from; with
-labels of one class only, or none, every score is that class's smoothed share; rows that repeat
-are scored alike; an empty table gives an empty result; other columns are ignored or carried on.
+among the others; a logistic regression is fitted on presence times r, in which both classes weigh the same, so a score
+is the probability of a toxic text where either class is as likely. It uses the TELLING slots that are spread most unevenly
+over the classes, of those that chance would not bring: beyond so many standard errors that fewer than one
+of all slots is expected there. A fixed model of one weight a slot goes to the tasks, and each whole text is
+scored where it lies: no shuffle.
+
+Training takes at most `per_class` labelled documents of either class, those of the smallest hash of their id.
+
+Edge cases: a null or empty text has no features and scores the intercept; a very long text is scored as a block of its own;
+a document with several label rows counts as toxic if any says so, and one with several texts gives the text of the
+smallest hash; null labels and ids are not learned from; with labels of one class only, or none, every score is that
+class's smoothed share; slots spread alike go by their number; rows that repeat are scored alike; scores are
+rounded, as sums differ in the last digits with the order; an empty table gives an empty result; other columns, whatever
+their names, are ignored or carried on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 from typing import NamedTuple
 
 import numpy as np
@@ -31,8 +36,12 @@ LENGTHS = (4, 6, 8)
 SLOT_BITS = 20
 #: Labelled documents of each class that the fit uses at most.
 PER_CLASS = 2500
-#: A slot that is not more unevenly spread over the classes than so many standard errors carries no weight.
-LEAST_SIGMAS = 6.0
+#: Slots that carry weight at most.
+TELLING = 2000
+#: Standard errors beyond which less than one of all slots falls by chance.
+LEAST_SIGMAS = -NormalDist().inv_cdf(0.5 / (1 << SLOT_BITS))
+PENALTY = 3e-4
+DIGITS = 9
 THRESHOLD = 0.7
 
 #: What a byte counts as: A-Z are lower-cased, ASCII punctuation and control characters are spaces.
@@ -96,7 +105,8 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int
     if not toxic or not clean:
         return none
     near = docs.sparkSession.createDataFrame(chosen.toArrow(), schema=chosen.schema)  # at most 2 * per_class ids: a bounded broadcast
-    texts = docs.join(F.broadcast(near), id_col).select(F.col(text_col).cast("string").alias("text"), "toxic")
+    texts = docs.select(id_col, F.col(text_col).cast("string").alias("__text")).join(F.broadcast(near), id_col)
+    texts = texts.groupBy(id_col, "toxic").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text")).select("__text", "toxic")
     found = cut_lineage(texts.mapInArrow(_features, "slots binary, toxic int"))
     counts = found.mapInArrow(_counted, "slot int, toxic long, clean long").groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     by_class = {r["toxic"]: r["n"] for r in found.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -111,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), batch.column(1)], names=["slots", "toxic"])
 
     rows = found.mapInArrow(narrowed, "slots binary, toxic int").toArrow().to_pandas()
-    return fit(rows, ratio, prior)
+    return fit(rows.sort_values(["toxic", "slots"], ignore_index=True), ratio)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,21 +137,22 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def ratios(counts: DataFrame, n_toxic: int, n_clean: int) -> np.ndarray:
     """The log ratio of each slot's smoothed share of toxic documents' slots to its share of the others'.
 
-    Zero where the shares of documents that hold the slot differ by less than LEAST_SIGMAS standard errors; only
-    the other slots reach the driver.
+    Zero but for the TELLING slots whose shares of documents differ by most standard errors, and by more than LEAST_SIGMAS;
+    only these reach the driver.
     """
     all_toxic, all_clean = counts.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("clean"), F.lit(0))).first()
     ratio = F.log((F.col("toxic") + 1.0) / (all_toxic + (1 << SLOT_BITS))) - F.log((F.col("clean") + 1.0) / (all_clean + (1 << SLOT_BITS)))
     share = (F.col("toxic") + F.col("clean")) / float(n_toxic + n_clean)
-    error = F.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_clean))
-    apart = F.abs(F.col("toxic") / float(n_toxic) - F.col("clean") / float(n_clean)) > LEAST_SIGMAS * error
-    beyond = counts.select("slot", ratio.alias("ratio")).where(apart).toArrow()
+    error = F.lit(1e-12) + F.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_clean))
+    apart = F.abs(F.col("toxic") / float(n_toxic) - F.col("clean") / float(n_clean)) / error
+    beyond = counts.select("slot", ratio.alias("ratio"), apart.alias("apart")).where(F.col("apart") > LEAST_SIGMAS)
+    beyond = beyond.orderBy(F.desc("apart"), "slot").limit(TELLING).toArrow()
     out = np.zeros(1 << SLOT_BITS)
     out[beyond.column("slot").to_numpy()] = beyond.column("ratio").to_numpy()
     return out
 
 
-def fit(found: pd.DataFrame, ratio: np.ndarray, prior: float, rounds: int = 120, penalty: float = 0.02) -> Model:
+def fit(found: pd.DataFrame, ratio: np.ndarray, rounds: int = 120, penalty: float = PENALTY) -> Model:
     """Logistic regression on presence times ratio, by full-batch Adam; classes weigh the same."""
     slots = [np.frombuffer(s, "<i4") for s in found["slots"]]
     y = found["toxic"].to_numpy(np.float64)
@@ -155,7 +166,7 @@ def fit(found: pd.DataFrame, ratio: np.ndarray, prior: float, rounds: int = 120,
     for step in range(1, rounds + 1):
         z = np.bincount(rows, weights=values * w[cols], minlength=len(y)) + b
         off = weigh * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        g = np.bincount(cols, weights=values * off[rows], minlength=n) + penalty * w / len(y)
+        g = np.bincount(cols, weights=values * off[rows], minlength=n) + penalty * w
         gb = off.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -164,7 +175,7 @@ def fit(found: pd.DataFrame, ratio: np.ndarray, prior: float, rounds: int = 120,
         b -= rate * mb / (np.sqrt(vb) + 1e-8)
     weights = np.zeros(1 << SLOT_BITS, np.float32)
     weights[kept] = w * ratio[kept]
-    return Model(weights, float(b + prior))
+    return Model(weights, float(b))
 
 
 def _scores(texts: pa.Array, model: Model) -> np.ndarray:
@@ -179,7 +190,7 @@ def _scores(texts: pa.Array, model: Model) -> np.ndarray:
     pairs = np.unique(np.concatenate(found))  # presence: once for each text
     weights = model.weights[pairs & (1 << SLOT_BITS) - 1]
     total = np.bincount(pairs >> SLOT_BITS, weights=weights, minlength=len(offsets) - 1) + model.intercept
-    return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
+    return np.round(1 / (1 + np.exp(-np.clip(total, -40, 40))), DIGITS)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

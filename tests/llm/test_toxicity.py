@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from palimpsest.llm import toxicity as t
@@ -33,3 +34,29 @@ def test_nothing_to_learn_and_empty_tables(spark, docs):
         assert len(scores) == 1
     model = t.train(docs([]), labels, F.lit(True))
     assert t.score(docs([]), model).count() == 0
+
+
+def test_scores_match_a_plain_version(spark, docs):
+    table, labels = tables(spark, docs)
+    model = t.train(table, labels, F.lit(True))
+    assert 0 < (model.weights != 0).sum() <= t.TELLING
+    for row in t.score(table, model).join(table.select("doc_id", "text"), "doc_id").collect():
+        folded = "".join(c.lower() if c.isalnum() else " " for c in row.text or "").encode()
+        line = b" " + folded + b" "
+        held = set()
+        for length in t.LENGTHS:
+            for k in range(len(line) - length + 1):
+                key = (int.from_bytes(line[k : k + length], "big") + length) & (1 << 64) - 1
+                held.add(int(t.mix64(np.array([key], np.uint64))[0]) >> 64 - t.SLOT_BITS)
+        total = model.intercept + sum(float(model.weights[s]) for s in held)
+        assert abs(row.score - 1 / (1 + np.exp(-total))) < 1e-6
+
+
+def test_repeats_long_texts_clashing_columns_and_partitions(spark, docs):
+    table, labels = tables(spark, docs)
+    odd = table.withColumn("score", F.lit("x")).withColumn("slots", F.lit("y")).withColumn("toxic", F.lit("z"))
+    odd = odd.unionByName(spark.createDataFrame([(0, "you utter grobnik, go away 0", "x", "y", "z")] * 500 + [(900, "calm words " * 300_000 + "grobnik", "x", "y", "z")], "doc_id long, text string, score string, slots string, toxic string"), allowMissingColumns=True)
+    found = [t.score(odd.repartition(n), t.train(odd.repartition(n), labels, F.lit(True))).distinct() for n in (1, 7)]
+    one, two = ({r.doc_id: r.score for r in f.collect()} for f in found)
+    assert one == two and one[900] >= 0.5
+    assert "toxic" in t.reject(odd, t.train(odd, labels, F.lit(True))).columns
