@@ -1,8 +1,8 @@
 """SimHash near-duplicates: exact links between fingerprints by tiled comparison.
 
 Fingerprints come from four-word shingles. Equal ones are merged first, so a group of copies is
-one fingerprint. By the pigeonhole principle two fingerprints within `radius` bits agree on one
-of radius + 1 bands of bits, so those that share a band form a tile: rows in order of their
+one fingerprint. The bits are cut into radius + AGREEING pieces: two fingerprints within `radius` bits agree on
+at least AGREEING of them, so those that share any AGREEING pieces (a band of some 27 bits) form a tile: rows in order of their
 population count, compared by exclusive-or and bit counts in square tiles, of which those whose
 population counts differ beyond the radius are skipped. A band value with more than TILE_ROWS
 fingerprints is split into cells by population count and hash, and every pair of cells within
@@ -12,13 +12,15 @@ A task reports the links of a tile as stars (member, smallest member), which kee
 reachable and never grow with the square of a group.
 
 Edge cases: a null or empty text, or one of spaces only, has fingerprint zero and is linked like
-any other; fewer than four words are one shingle; null ids are never a component's smallest;
-rows that repeat share their fingerprint; an empty table gives an empty result.
+any other; fewer than four words are one shingle; a very long text is hashed in stretches; a bit set in exactly half of the
+shingles is 0; null ids are never a component's smallest; rows that repeat share their fingerprint; an empty table gives an
+empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ from palimpsest.llm.components import components
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
+#: Pieces of bits that linked fingerprints agree on at least; more make narrower tiles, and more of them.
+AGREEING = 3
 #: Fingerprints of one band value that a single task compares.
 TILE_ROWS = 4096
 #: Side of the square tiles inside a task.
@@ -130,11 +134,18 @@ def _star_batch(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
 
 
+def masks(radius: int, agreeing: int = AGREEING) -> list[int]:
+    """The bits of each band, as signed numbers: every choice of `agreeing` of the pieces."""
+    pieces = radius + agreeing
+    edges = [64 * k // pieces for k in range(pieces + 1)]
+    bits = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:], strict=False)]
+    chosen = [sum(own) for own in combinations(bits, agreeing)]
+    return [m - (1 << 64) if m >> 63 else m for m in chosen]
+
+
 def links(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(src, dst): stars that join exactly the distinct fingerprints `fp` reachable by steps within the radius."""
-    bands = radius + 1
-    edges = [64 * k // bands for k in range(bands + 1)]
-    keys = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1).alias("value")) for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
+    keys = [F.struct(F.lit(k).alias("band"), F.col("fp").bitwiseAND(F.lit(mask)).alias("value")) for k, mask in enumerate(masks(radius))]
     rows = prints.select("fp", F.bit_count("fp").alias("bits"), F.explode(F.array(*keys)).alias("key")).select("key.band", "key.value", "bits", "fp")
     cells = rows.groupBy("band", "value", "bits").agg(F.count(F.lit(1)).alias("n"))
     large = cells.groupBy("band", "value").agg(F.sum("n").alias("all_rows")).where(F.col("all_rows") > tile_rows)
