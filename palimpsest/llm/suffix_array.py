@@ -27,6 +27,19 @@ def suffix_array(text: list[int]) -> list[int]:
     end = n - 1
     while end >= 0:
         first = group[place[end]]
+        if first == end:  # a group of its own, as most are
+            s = place[end]
+            p = s - 1
+            while p >= 0 and group[p] >= first:
+                p = smaller[p]
+            smaller[s] = p
+            if p >= 0 and (old := group[p]) != (tail := last[old]):
+                k, other = at[p], place[tail]
+                place[k], at[other] = other, k
+                place[tail], at[p] = p, tail
+                last[old], last[tail], group[p] = tail - 1, tail, tail
+            end -= 1
+            continue
         hits: dict[int, int] = {}
         for s in sorted(place[first : end + 1]):
             p = s - 1

@@ -6,20 +6,25 @@ together by anchors: of the 100-byte grams in a 200-byte window, the one with th
 windows that could be equal meet under one key, wherever they lie. Consecutive windows with the same
 anchor make one segment. Grams that anchor one segment only cannot repeat and leave early.
 
-Equal segments are merged with their count, which settles every segment that occurs twice. Keys with
-different segments go to suffix arrays: a task cuts the segments into 8-byte symbols on the grid of
-their anchor, builds one suffix array over many of them, reads off the runs of suffixes that share
-24 symbols, and compares the up to 8 bytes around them, so the result is exact to the byte. A key with more
-than MOST_SEGMENTS different segments is dealt out by whole windows instead.
-
-Edge cases: a null or empty text has no bytes; texts under 200 bytes lose nothing; a document can
-repeat within itself; rows that repeat are documents of their own, so their text repeats; an
-empty table gives an empty result; other columns are carried on or ignored.
+Equal segments of a key are merged with their count, and all of them go to suffix arrays: a task cuts the segments into
+8-byte symbols on the grid of their anchor, builds one suffix array over many of them, reads off the runs of suffixes that
+share 24 symbols, compares the up to 8 bytes around them, and adds up the counts. What it finds to repeat within a segment
+is then cut out of every occurrence of that segment. The merging goes by hashes, so each span carries a digest of
+the bytes that the array compared, and is cut only where a text's own bytes have it; any other outcome raises.
+
+A key with more than MOST_SEGMENTS different segments is split by what surrounds the anchor: windows that begin
+farther before it share more bytes on that side, others on the other side. Halves are merged and counted anew,
+and halved again until they are small or hold windows of one distance only, which are all equal.
+
+Edge cases: a null or empty text has no bytes; texts under 200 bytes lose nothing; a very long text is a block of its
+own; a document can repeat within itself; of equally small hashes the leftmost anchors; rows that repeat are documents of
+their own, so their text repeats; an empty table gives an empty result; other columns, whatever their names, are carried on or ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +40,7 @@ SYMBOL = 8
 #: Symbols that every window holds whole, wherever the grid lies.
 CORE = (LENGTH - SYMBOL + 1) // SYMBOL
 #: Different segments of one key that one task compares.
-MOST_SEGMENTS = 20_000
+MOST_SEGMENTS = 4096
 #: Symbols in one suffix array; the segments of a key stay together.
 ARRAY_SYMBOLS = 100_000
 
@@ -82,7 +87,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_windows(segments: list[bytes], before: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each segment that occurs once: the starts of its windows that occur again in these segments.
+    """For each segment: the starts of its windows that occur twice or more in these segments, by their counts.
 
     Segments that can share a window must be given together; `before` is the distance to the anchor.
     """
@@ -112,7 +117,7 @@ def repeated_windows(segments: list[bytes], before: np.ndarray, counts: np.ndarr
     for k in range(1, len(order), 4096):
         own = where[order[k - 1 : k + 4096]]
         equal[k : k + 4096] = (cores[own[1:]] == cores[own[:-1]]).all(axis=1)
-    shared = equal.copy()
+    shared = equal | (counts[owner[order]] > 1)
     shared[:-1] |= equal[1:]
     group = np.cumsum(~equal)[shared]
     order = order[shared]
@@ -136,8 +141,6 @@ def repeated_windows(segments: list[bytes], before: np.ndarray, counts: np.ndarr
         hit_segment.append(segment[fits][by][hit])
         hit_start.append(begin[fits][by][hit])
     hit_segment, hit_start = np.concatenate(hit_segment), np.concatenate(hit_start)
-    once = counts[hit_segment] == 1
-    hit_segment, hit_start = hit_segment[once], hit_start[once]
     by = np.lexsort((hit_start, hit_segment))
     hit_segment, hit_start = hit_segment[by], hit_start[by]
     found, cuts = np.unique(hit_segment, return_index=True)
@@ -145,102 +148,136 @@ def repeated_windows(segments: list[bytes], before: np.ndarray, counts: np.ndarr
         yield k, starts
 
 
-def _spans_of(rid: np.ndarray, start: np.ndarray, segments: list[bytes], before: np.ndarray, counts: np.ndarray) -> list[tuple]:
+SEGMENTS = "key long, segment long, n long, before int, lo int, hi int, large boolean, bytes binary"
+HITS = "key long, segment long, first int, last int, digest long"
+
+
+def digest(data: bytes) -> int:
+    return int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def _hits(rows: list[tuple]) -> list[tuple]:
+    """(key, segment, first and last window, digest of their bytes) of each run of repeated windows in rows of SEGMENTS."""
+    key, segment, n, before, data = zip(*rows, strict=True)
     out = []
-    for k, starts in repeated_windows(segments, before, counts):
+    for k, starts in repeated_windows(list(data), np.array(before), np.array(n)):
         firsts = np.flatnonzero(np.concatenate([[True], starts[1:] > starts[:-1] + 1]))
         lasts = np.concatenate([firsts[1:] - 1, [len(starts) - 1]])
-        out += [(int(rid[k]), int(start[k] + starts[a]), int(start[k] + starts[b] + LENGTH)) for a, b in zip(firsts, lasts, strict=True)]
+        for a, b in zip(starts[firsts].tolist(), starts[lasts].tolist(), strict=True):
+            out.append((key[k], segment[k], a, b, digest(data[k][a : b + LENGTH])))
     return out
 
 
-def _span_batch(spans: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*spans, strict=True) if spans else ([], [], [])
-    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["rid", "start", "end"])
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), types[kind]) for c, kind in zip(columns, kinds, strict=True)], names=list(names))
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, count, rid, place, bytes), sorted by key, to spans (rid, start, end)."""
+    """Rows (key, segment, n, before, bytes), sorted by key, to HITS."""
     held: list[tuple] = []
     symbols, key = 0, None
-
-    def settle() -> list[tuple]:
-        if not held:
-            return []
-        counts, rid, place, segments = zip(*held, strict=True)
-        place = np.array(place)
-        found = _spans_of(np.array(rid), place >> 20, list(segments), place >> 10 & 1023, np.array(counts))
-        held.clear()
-        return found
-
     for batch in batches:
-        found = []
-        for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if k != key and symbols > ARRAY_SYMBOLS:
-                found += settle()
+        found: list[tuple] = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[0] != key and symbols > ARRAY_SYMBOLS:
+                found += _hits(held)
+                held.clear()
                 symbols = 0
-            key = k
+            key = row[0]
             held.append(row)
-            symbols += len(row[3]) // SYMBOL
-        yield _span_batch(found)
-    yield _span_batch(settle())
+            symbols += len(row[-1]) // SYMBOL
+        yield _batch(found, HITS)
+    yield _batch(_hits(held) if held else [], HITS)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, wanted) to the bytes of the wanted segments."""
+    """Rows (text, wanted) to SEGMENTS; rows that repeat stand side by side and are read once."""
+    before = None
     for batch in batches:
+        found: list[tuple] = []
         for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
-            raw, rows = (text.as_py() or "").encode(), wanted.as_py()
-            found = [raw[s : s + (r["place"] & 1023) + LENGTH] for r in rows if (s := r["place"] >> 20) >= 0]
-            columns = [[r[c] for r in rows] for c in ("key", "n", "rid", "place")]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(found, pa.binary())], names=["key", "n", "rid", "place", "bytes"])
+            rows = wanted.as_py()
+            if rows[0]["rid"] == before:
+                continue
+            before, raw = rows[0]["rid"], (text.as_py() or "").encode()
+            for r in rows:
+                start, place = r["place"] >> 20, r["place"]
+                found.append((r["key"], r["segment"], r["n"], place >> 10 & 1023, 0, LENGTH - GRAM + 1, r["large"], raw[start : start + (place & 1023) + LENGTH]))
+        yield _batch(found, SEGMENTS)
 
 
-def _whole_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, n, rid, place, bytes) to a row for each window: two hashes of its bytes, count and place."""
-    rolling = RollingHash()
+PIECES = "key long, segment long, shift int, sub long, piece long, n long, before int, lo int, hi int, bytes binary"
+
+
+def halves(before: int, lo: int, hi: int, data: bytes) -> Iterator[tuple[int, int, int, int, bytes, bytes]]:
+    """(shift, before, lo, hi, bytes, shared bytes) of the windows whose anchor stands at each half of the distances lo to hi - 1."""
+    middle = (lo + hi) // 2
+    for low, high in ((lo, middle), (middle, hi)):
+        first, last = max(0, before - high + 1), min(len(data) - LENGTH, before - low)
+        if low < high and first <= last:
+            part, anchor = data[first : last + LENGTH], before - first
+            yield first, anchor, low, high, part, part[anchor - low : anchor + LENGTH - high + 1]
+
+
+def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, n, rid, place, segment in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            data = np.frombuffer(segment, np.uint8)
-            at = np.arange(len(data) - LENGTH + 1)
-            rolling.load(data)
-            one = rolling.of(at, at + LENGTH).view(np.int64)
-            rolling.load(data[::-1])
-            two = rolling.of(at, at + LENGTH)[::-1].view(np.int64)
-            same = np.full(len(at), 1, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(np.ascontiguousarray(two)), pa.array(same * n), pa.array(same * rid), pa.array((place >> 20) + at)], names=["one", "two", "n", "rid", "start"])
+        found = []
+        for key, segment, n, before, lo, hi, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shift, anchor, low, high, part, shared in halves(before, lo, hi, data):
+                sub = digest(b"%d,%d,%d," % (key, low, high) + shared)
+                found.append((key, segment, shift, sub, digest(b"%d," % anchor + part), n, anchor, low, high, part))
+        yield _batch(found, PIECES)
+
+
+def _by_arrays(segments: DataFrame) -> DataFrame:
+    ordered = segments.select("key", "segment", "n", "before", "bytes").repartition("key").sortWithinPartitions("key")
+    return ordered.mapInArrow(_compare, HITS)
+
+
+def _large(segments: DataFrame, most_segments: int) -> DataFrame:
+    """(key): keys with more than `most_segments` different segments of more than one distance."""
+    return cut_lineage(segments.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_segments).select("key"))
+
+
+def _in_halves(segments: DataFrame, most_segments: int) -> DataFrame:
+    """HITS of segments of large keys."""
+    pieces = cut_lineage(segments.select("key", "segment", "n", "before", "lo", "hi", "bytes").mapInArrow(_halved, PIECES))
+    first = [F.first(c).alias(c) for c in ("before", "lo", "hi", "bytes")]
+    merged = pieces.groupBy("sub", "piece").agg(F.sum("n").alias("n"), *first).withColumnsRenamed({"sub": "key", "piece": "segment"})
+    merged = cut_lineage(merged)
+    large = _large(merged.where("hi - lo > 1"), most_segments)
+    if large.isEmpty():
+        found = _by_arrays(merged)
+    else:
+        found = _by_arrays(merged.join(large, "key", "left_anti"))
+        found = found.unionByName(_in_halves(merged.join(large, "key", "left_semi"), most_segments))
+    found = found.withColumnsRenamed({"key": "sub", "segment": "piece"})
+    moved = pieces.select("key", "segment", "shift", "sub", "piece").join(found, ["sub", "piece"])
+    return moved.selectExpr("key", "segment", "first + shift AS first", "last + shift AS last", "digest")
 
 
 def spans(rows: DataFrame, most_segments: int = MOST_SEGMENTS) -> DataFrame:
-    """(rid, start, end): byte spans of `rows` (__rid, __text, ...) that cover what is to be removed; they may overlap."""
+    """(rid, start, end, digest): byte spans of `rows` (__rid, __text, ...) that cover what is to be removed; they may overlap."""
     runs = rows.select("__rid", "__text").mapInArrow(_runs, RUNS)
     keys = runs.groupBy("key").agg(F.count(F.lit(1)).alias("all_runs")).where("all_runs > 1").select("key")
     found = cut_lineage(runs.join(cut_lineage(keys), "key", "left_semi"))
     distinct = cut_lineage(found.groupBy("key", "segment").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "place")).alias("at")))
-    again = distinct.where("n > 1").select("key", "segment")
-    whole = found.join(again, ["key", "segment"], "left_semi").select(
-        "rid", F.expr("place >> 20").alias("start"), F.expr(f"(place >> 20) + (place & 1023) + {LENGTH}").alias("end")
-    )
-    several = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("segments")).where("segments > 1")
-    open_ones = distinct.join(cut_lineage(several), "key").select("key", "segments", "n", "at.rid", "at.place")
-    wanted = open_ones.groupBy("rid").agg(F.collect_list(F.struct("key", "n", "rid", "place", "segments")).alias("wanted"))
-    few = _segments(rows, wanted, f"x -> x.segments <= {most_segments}")
-    by_array = few.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "rid long, start long, end long")
-    spans_found = whole.unionByName(by_array)
-    if several.where(F.col("segments") > most_segments).isEmpty():
-        return spans_found
-    windows = _segments(rows, wanted, f"x -> x.segments > {most_segments}").mapInArrow(_whole_windows, "one long, two long, n long, rid long, start long")
-    repeats = windows.groupBy("one", "two").agg(F.sum("n").alias("all_n")).where("all_n > 1").select("one", "two")
-    by_window = windows.join(repeats, ["one", "two"], "left_semi").select("rid", "start", (F.col("start") + LENGTH).alias("end"))
-    return spans_found.unionByName(by_window)
-
-
-def _segments(rows: DataFrame, wanted: DataFrame, which: str) -> DataFrame:
-    """The bytes of the wanted segments that `which` holds for."""
-    chosen = wanted.select("rid", F.expr(f"filter(wanted, {which})").alias("wanted")).where(F.size("wanted") > 0)
-    others = [c for c in rows.columns if not c.startswith("__")]
-    joined = rows.join(chosen.withColumnRenamed("rid", "__rid"), "__rid").select("__text", "wanted", *others)
-    return joined.mapInArrow(_cut, "key long, n long, rid long, place long, bytes binary")
+    large = _large(distinct, most_segments)
+    none_large = large.isEmpty()
+    flagged = distinct.withColumn("large", F.lit(False)) if none_large else distinct.join(large.withColumn("large", F.lit(True)), "key", "left")
+    one = F.struct("key", "segment", "n", "at.rid", "at.place", F.coalesce("large", F.lit(False)).alias("large"))
+    wanted = flagged.groupBy(F.col("at.rid").alias("__rid")).agg(F.collect_list(one).alias("__wanted"))
+    others = [c for c in rows.columns if not c.startswith("__")]  # read with the texts for their last join, so that both shuffle them alike
+    segments = rows.join(wanted, "__rid").select("__text", "__wanted", *others).mapInArrow(_cut, SEGMENTS)
+    hits = _by_arrays(segments.where("not large"))
+    if not none_large:
+        hits = hits.unionByName(_in_halves(segments.where("large"), most_segments))
+    hits = hits.groupBy("key", "segment").agg(F.collect_set(F.struct("first", "last", "digest")).alias("hits"))  # at most half a segment's windows
+    placed = found.join(hits, ["key", "segment"]).select("rid", F.expr("place >> 20").alias("at"), F.explode("hits").alias("hit"))
+    return placed.selectExpr("rid", "at + hit.first AS start", f"at + hit.last + {LENGTH} AS end", "hit.digest AS digest")
 
 
 def cover(spans: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
@@ -259,7 +296,7 @@ def _beside_spans(docs: DataFrame, id_col: str, text_col: str, carried: list[str
     Both joins with the texts read the same columns, so the texts are shuffled once.
     """
     rows = docs.select(row_identity(id_col, text_col).alias("__rid"), F.col(text_col).cast("string").alias("__text"), *carried)
-    found = spans(rows, most_segments).groupBy(F.col("rid").alias("__rid")).agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
+    found = spans(rows, most_segments).groupBy(F.col("rid").alias("__rid")).agg(F.collect_set(F.struct("start", "end", "digest")).alias("__spans"))
     return rows.join(found, "__rid", "left").select(*carried, "__text", "__spans")
 
 
@@ -267,8 +304,10 @@ def _cleaned(block: pa.RecordBatch) -> list[tuple[int, int, int, bytes]]:
     """(bytes, removed bytes, removed runs, kept bytes) of each row of a block that ends in text and spans."""
     out = []
     for text, own in zip(block.column(block.num_columns - 2), block.column(block.num_columns - 1), strict=True):
-        raw = (text.as_py() or "").encode()
-        starts, ends = cover(own.as_py())
+        raw, found = (text.as_py() or "").encode(), own.as_py() or []
+        if any(digest(raw[x["start"] : x["end"]]) != x["digest"] for x in found):
+            raise ValueError("segments of different bytes have equal hashes")
+        starts, ends = cover(found)
         kept = b"".join(raw[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(raw)], strict=True))
         out.append((len(raw), len(raw) - len(kept), len(starts), kept))
     return out

@@ -42,7 +42,7 @@ def cases():
     return [a[:1000], a[500:1700], a[10:209], a[10:210], "a" * 500, "a" * 250, "é" * 300, None, "", a[700:950] + "é" * 99 + a[:260], "ab" * 200, a[3000:3400] + "x" + a[3000:3400], a[3000:3199], a[:1000], *near]
 
 
-@pytest.mark.parametrize("most_segments", [s.MOST_SEGMENTS, 1])
+@pytest.mark.parametrize("most_segments", [s.MOST_SEGMENTS, 1, 3])
 def test_matches_brute_force(docs, most_segments):
     texts = cases()
     table = docs(texts, ids=[None if k == 3 else k // 2 for k in range(len(texts))])
