@@ -7,8 +7,28 @@ from pyspark.sql import functions as F
 
 # File kinds, blend modes and the names shown for them.
 EXTENSIONS = ("kra", "gpl", "kpl", "aco", "ase")
-BLEND_MODES = {"normal": "normal", "multiply": "multiply", "screen": "screen", "overlay": "overlay", "darken": "darken", "lighten": "lighten", "add": "add", "erase": "erase"}
-STATUS_VERBS = {"A": "Added", "M": "Edited", "D": "Removed", "U": "New", "C": "Conflict"}
+BLEND_MODES = {"multiply": "multiply", "svg:multiply": "multiply", "screen": "screen", "svg:screen": "screen", "overlay": "overlay", "svg:overlay": "overlay", "add": "add", "linear_dodge": "add"}
+STATUS_VERBS = {"M": "Updated", "A": "Added", "D": "Deleted", "R": "Renamed", "C": "Needs review", "U": "New"}
+ASSET_KINDS = {"kra": "Artwork", "gpl": "Palette", "png": "Reference", "jpg": "Reference", "jpeg": "Reference", "webp": "Reference"}
+LAYER_TYPES = {
+    "paintlayer": "Paint",
+    "grouplayer": "Group",
+    "filterlayer": "Filter",
+    "adjustmentlayer": "Filter",
+    "clonelayer": "Clone",
+    "shapelayer": "Vector",
+    "vectorlayer": "Vector",
+    "filelayer": "File",
+    "transparencymask": "Mask",
+    "transformmask": "Mask",
+    "selectionmask": "Mask",
+    "filtermask": "Mask",
+}
+LAYER_CHANGES = {"added": "Added", "removed": "Removed", "modified": "Modified", "unchanged": "Unchanged"}
+OPERATIONS = {"commit": "Save", "switch": "Switch", "merge": "Merge", "diff": "Compare", "create": "New line", "delete": "Delete", "rollback": "Restore"}
+BYTE_UNITS = ("KB", "MB", "GB", "TB")
+#: Attributes of a layer that are a choice of the artist's.
+LAYER_ATTRIBUTES = ("name", "opacity", "compositeop", "visible", "x", "y")
 
 
 def _named(key: Column, names: dict[str, str], otherwise: Column) -> Column:
@@ -59,14 +79,58 @@ def saved_percent(actual: Column, naive: Column) -> Column:
     return F.when(naive <= 0, 0).otherwise(nearest)
 
 
+def _scaled(size: Column, values: list) -> Column:
+    """The one of `values` that belongs to a size in bytes, KB, MB, GB or TB."""
+    out = F.lit(values[-1])
+    for k in range(len(values) - 2, -1, -1):
+        out = F.when(size < 1024 ** (k + 1), F.lit(values[k])).otherwise(out)
+    return out
+
+
 def byte_unit(size: Column) -> Column:
-    return F.when(size < 1024, "B").when(size < 1024**2, "KB").when(size < 1024**3, "MB").otherwise("GB")
+    return _scaled(size, ["B", *BYTE_UNITS])
 
 
 def byte_tenths(size: Column) -> Column:
     """The size in tenths of its unit, half up."""
-    scale = F.when(size < 1024, F.lit(1)).when(size < 1024**2, F.lit(1024)).when(size < 1024**3, F.lit(1024**2)).otherwise(F.lit(1024**3))
-    return F.floor(size * 10.0 / scale + 0.5).cast("bigint")
+    return F.floor(size * 10.0 / _scaled(size, [1024**k for k in range(len(BYTE_UNITS) + 1)]) + 0.5).cast("bigint")
+
+
+def _tenths(tenths: Column) -> Column:
+    return F.concat(F.floor(tenths / 10).cast("bigint").cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
+def byte_text(size: Column) -> Column:
+    """"840 B", "1.4 KB"."""
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).otherwise(F.concat(_tenths(byte_tenths(size)), F.lit(" "), byte_unit(size)))
+
+
+def ms_text(ms: Column) -> Column:
+    """"840ms", "1.3s"."""
+    short = F.concat(F.floor(ms + 0.5).cast("bigint").cast("string"), F.lit("ms"))
+    return F.when(ms < 1000, short).otherwise(F.concat(_tenths(F.floor(ms / 100 + 0.5).cast("bigint")), F.lit("s")))
+
+
+def operation_label(operation: Column, plain: bool = False) -> Column:
+    """The operation's name with a capital, or, with `plain`, what an artist calls it."""
+    capital = F.concat(F.upper(F.substring(operation, 1, 1)), operation.substr(F.lit(2), F.length(operation)))
+    return _named(operation, OPERATIONS, operation) if plain else capital
+
+
+def relative_time(then: Column, now: Column) -> Column:
+    """"just now", "5m ago", "2h ago", "3d ago", or the day from a week on; times are timestamps."""
+    then, now = then.cast("timestamp"), now.cast("timestamp")
+    minutes = F.floor((F.unix_millis(now) - F.unix_millis(then)) / 60000 + 0.5)
+    hours = F.floor(minutes / 60 + 0.5)
+    days = F.floor(hours / 24 + 0.5)
+    ago = lambda n, unit: F.concat(n.cast("bigint").cast("string"), F.lit(f"{unit} ago"))
+    out = F.when(minutes < 1, "just now").when(minutes < 60, ago(minutes, "m")).when(hours < 24, ago(hours, "h")).when(days < 7, ago(days, "d"))
+    return out.otherwise(F.date_format(then, "MMM d"))
+
+
+def full_timestamp(time: Column) -> Column:
+    """"Jun 26, 2026 · 14:32"."""
+    return F.date_format(time, "MMM d, yyyy · HH:mm")
 
 
 def layer_id(uuid: Column, name: Column) -> Column:
@@ -78,16 +142,131 @@ def file_name(path: Column) -> Column:
 
 
 def palette_key(path: Column) -> Column:
-    """The lower-cased file name without extension and without a trailing four-digit number."""
-    return F.regexp_replace(F.regexp_replace(F.lower(file_name(path)), r"\.[^.]*$", ""), r"\.[0-9]{4}$", "")
+    """The lower-cased file name without a palette's ending and without a version of digits after a dot."""
+    return F.regexp_replace(F.regexp_replace(F.lower(file_name(path)), r"\.(kpl|gpl|aco|ase)$", ""), r"\.[0-9]+$", "")
+
+
+def _spaced(name: Column) -> Column:
+    return F.trim(F.regexp_replace(name, "[-_]+", " "))
 
 
 def title_case(text: Column) -> Column:
-    """The first letter of each word in upper case; the rest keeps its case."""
-    words = F.split(text, " ")
+    """Hyphens and underscores as spaces, runs of spaces as one, and a capital for each word; the rest keeps its case."""
+    words = F.filter(F.split(_spaced(text), r"\s+"), lambda w: w != "")
     return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))), " ")
 
 
+def _base(path: Column) -> Column:
+    return F.element_at(F.split(path, r"[\\/]"), -1)
+
+
+def asset_name(path: Column) -> Column:
+    """The file name without its extension, hyphens and underscores as spaces."""
+    return F.coalesce(F.nullif(_spaced(F.regexp_replace(_base(path), r"\.[^.]+$", "")), F.lit("")), _base(path))
+
+
+def palette_name(path: Column) -> Column:
+    """A palette's own name: of an embedded one what follows the last `::`, without extension and version."""
+    base = _base(F.substring_index(path, "::", -1))
+    stem = F.regexp_replace(F.regexp_replace(base, r"\.[^.]+$", ""), r"\.[0-9]+$", "")
+    return F.coalesce(F.nullif(_spaced(stem), F.lit("")), base)
+
+
+def asset_kind(path: Column) -> Column:
+    return _named(F.lower(F.substring_index(path, ".", -1)), ASSET_KINDS, F.lit("Settings"))
+
+
+def layer_type(kind: Column) -> Column:
+    other = F.when(kind == "", "Layer").otherwise(title_case(F.regexp_replace(kind, "layer$", "")))
+    return _named(kind, LAYER_TYPES, other)
+
+
+def layer_change(change: Column) -> Column:
+    return _named(change, LAYER_CHANGES, change)
+
+
+def version_label(version: Column) -> Column:
+    return F.concat(F.lit("Version "), version.cast("string"))
+
+
+def stash_title(label: Column, paths: Column) -> Column:
+    """The label, or the first two files of an unlabelled stash and how many more there are."""
+    names = F.transform(paths, asset_name)
+    few = F.array_join(F.slice(names, 1, 2), ", ")
+    unlabelled = F.when(F.size(names) == 0, "Empty").when(F.size(names) <= 2, few).otherwise(F.concat(few, F.lit(" +"), (F.size(names) - 2).cast("string")))
+    return F.when(F.trim(label) != "", label).otherwise(unlabelled)
+
+
+def stash_summary(files: Column, branch: Column, then: Column, now: Column) -> Column:
+    """"3 files · on main · 2h ago"."""
+    return F.concat(files.cast("string"), F.when(files == 1, " file · on ").otherwise(" files · on "), branch, F.lit(" · "), relative_time(then, now))
+
+
+def layer_signature(attributes: dict[str, Column]) -> Column:
+    """What makes two versions of a layer the same but for its pixels: `attributes` by name, null for absent ones."""
+    return F.concat_ws("\0", *[F.concat(F.lit(f"{k}="), F.coalesce(attributes[k].cast("string"), F.lit(""))) for k in LAYER_ATTRIBUTES])
+
+
+def xml_escape(text: Column) -> Column:
+    for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(plain), F.lit(escaped))
+    return text
+
+
+def xml_attribute(key: str, value: Column) -> Column:
+    return F.concat(F.lit(f'{key}="'), value, F.lit('"'))
+
+
+def with_name(opening_tag: Column, escaped: Column) -> Column:
+    """An opening tag with another value of its own `name` attribute, null where it has none."""
+    parts = r'(?s)^(.*? name=")[^"]*(".*)$'
+    found = F.concat(F.regexp_extract(opening_tag, parts, 1), escaped, F.regexp_extract(opening_tag, parts, 2))
+    return F.when(opening_tag.rlike(parts), found)
+
+
+def fresh_uuid(seed: Column, counter: Column) -> Column:
+    """A brace-quoted id in the shape of a UUID, from a seed."""
+    digits = F.sha2(F.concat_ws("\0", F.lit("merge"), seed, counter.cast("string")), 256)
+    return F.concat(F.lit("{"), F.concat_ws("-", *[F.substring(digits, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit("}"))
+
+
+def embedded_palette(entry: Column) -> Column:
+    """Whether an archive's entry is a palette: in a folder of palettes, or by its ending."""
+    low = F.lower(entry)
+    return low.contains("palettes/") | low.rlike(r"\.(gpl|kpl|aco|ase)$")
+
+
+def compressed(payload: Column) -> Column:
+    """Whether bytes begin as a PNG, a zip or a zstd frame does."""
+    return F.startswith(payload, F.lit(b"\x89PNG")) | F.startswith(payload, F.lit(b"PK\x03\x04")) | F.startswith(payload, F.lit(b"\x28\xb5\x2f\xfd"))
+
+
+def default_pixel(raw: Column) -> Column:
+    """Blue, green, red, alpha to red, green, blue, alpha; null unless there are four bytes."""
+    return F.when(F.octet_length(raw) == 4, F.concat(*[F.substring(raw, k, 1) for k in (3, 2, 1, 4)]))
+
+
+def object_name(content: Column, base: Column) -> Column:
+    """The object that holds a version: a snapshot, or a patch against its base."""
+    return F.when(base.isNull(), F.concat(content, F.lit(".full"))).otherwise(F.concat(content, F.lit("."), base, F.lit(".patch")))
+
+
+def file_key(path: Column) -> Column:
+    return F.concat(F.lit("file:"), path)
+
+
+def manifest_key(path: Column) -> Column:
+    return F.concat(F.lit("kra:"), path, F.lit(":manifest"))
+
+
+def entry_key(path: Column, entry: Column) -> Column:
+    return F.concat(F.lit("kra:"), path, F.lit(":entry:"), entry)
+
+
+def tile_key(path: Column, entry: Column, x: Column, y: Column) -> Column:
+    return F.concat(F.lit("kra:"), path, F.lit(":tile:"), entry, F.lit(":"), x.cast("string"), F.lit(","), y.cast("string"))
+
+
 def supported(path: Column) -> Column:
     return F.lower(path).rlike(rf"\.({'|'.join(EXTENSIONS)})$") & ~F.lower(path).endswith("-autosave.kra")
 
@@ -105,9 +284,11 @@ def branch_name_valid(name: Column) -> Column:
 
 
 def shard_of(key: Column) -> Column:
-    """The tracked file that a stream key belongs to: before the first marker of tiles, else of entries, else after the kind."""
-    kind = F.regexp_replace(key, r"^(file|manifest):", "")
-    return F.when(F.instr(key, ":tile:") > 0, F.substring_index(key, ":tile:", 1)).when(F.instr(key, ":entry:") > 0, F.substring_index(key, ":entry:", 1)).otherwise(kind)
+    """The tracked file that a stream key belongs to: all that follows `file:`, or what stands between `kra:` and the first
+    marker of tiles, else of entries, else a manifest's ending; other keys are their own."""
+    rest = key.substr(F.lit(5), F.length(key))
+    cut = F.when(rest.contains(":tile:"), F.substring_index(rest, ":tile:", 1)).when(rest.contains(":entry:"), F.substring_index(rest, ":entry:", 1))
+    return F.when(key.startswith("file:"), key.substr(F.lit(6), F.length(key))).when(key.startswith("kra:"), cut.otherwise(F.regexp_replace(rest, ":manifest$", ""))).otherwise(key)
 
 
 def content_id(parts: list[Column], length: int = 12) -> Column:

@@ -36,7 +36,7 @@ def keyed_list_diff(old: DataFrame, new: DataFrame, key: list[str], value: str,
     nth = F.row_number().over(Window.partitionBy(*key).orderBy(order))
     a = old.select(*key, nth.alias("nth"), F.col(value).alias("before"), F.col(order).alias("__old"))
     b = new.select(*key, nth.alias("nth"), F.col(value).alias("after"), F.col(order).alias("__new"))
-    change = F.when(F.col("__old").isNull(), "added").when(F.col("__new").isNull(), "removed").when(F.col("before").eqNullSafe(F.col("after")), "same").otherwise("recoloured")
+    change = F.when(F.col("__old").isNull(), "added").when(F.col("__new").isNull(), "removed").when(F.col("before").eqNullSafe(F.col("after")), "unchanged").otherwise("modified")
     return a.join(b, [*key, "nth"], "full_outer").select(*key, "nth", "before", "after", change.alias("change"), F.coalesce("__new", "__old").alias("pos"))
 
 
@@ -74,18 +74,20 @@ def bounds(tiles: DataFrame, tile: int) -> DataFrame:
 
 
 def layer_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(id, change, details) of layers (pos, uuid, name, opacity, blend): by id, first of each; visibility does not count."""
-    ident = F.coalesce(F.expr("nullif(uuid, '')"), F.col("name"))
-    first = lambda side: side.groupBy(ident.alias("id")).agg(F.min_by(F.struct("name", "opacity", "blend"), "pos").alias("l"))
-    both = first(old).withColumnRenamed("l", "o").join(first(new).withColumnRenamed("l", "n"), "id", "full_outer")
-    details = F.concat_ws(
-        ",",
-        F.when(~F.col("o.opacity").eqNullSafe(F.col("n.opacity")), "opacity"),
-        F.when(~F.col("o.blend").eqNullSafe(F.col("n.blend")), "blend"),
-        F.when(~F.col("o.name").eqNullSafe(F.col("n.name")), "renamed"),
-    )
-    change = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(details != "", "modified")
-    return both.select("id", change.alias("change"), F.when(F.col("o").isNotNull() & F.col("n").isNotNull(), details).otherwise("").alias("details")).where("change is not null")
+    """(place, id, name, change, details) of layers (pos, uuid, name, opacity, blend), changed ones only: by id, each new layer
+    against the first old one. New layers come in their order, then removed ones in theirs; visibility does not count."""
+    keyed = lambda side: side.withColumn("id", F.coalesce(F.nullif(F.col("uuid"), F.lit("")), F.col("name")))
+    old, new = keyed(old), keyed(new)
+    first = old.groupBy("id").agg(F.min_by(F.struct("name", "opacity", "blend"), "pos").alias("o"))
+    both = new.join(first, "id", "left")
+    step = lambda label, c: F.when(~F.col(f"o.{c}").eqNullSafe(F.col(c)), F.concat(F.lit(f"{label} "), F.coalesce(F.col(f"o.{c}").cast("string"), F.lit("")), F.lit(" -> "), F.coalesce(F.col(c).cast("string"), F.lit(""))))
+    details = F.array_compact(F.array(step("opacity", "opacity"), step("blend", "blend"), step("renamed", "name")))
+    none = F.array().cast("array<string>")
+    change = F.when(F.col("o").isNull(), "added").when(F.size(details) > 0, "modified")
+    there = both.select(F.struct(F.lit(0).alias("side"), "pos").alias("place"), "id", "name", change.alias("change"), F.when(F.col("o").isNull(), none).otherwise(details).alias("details"))
+    gone = old.join(new.select("id").distinct(), "id", "left_anti")
+    gone = gone.select(F.struct(F.lit(1).alias("side"), "pos").alias("place"), "id", "name", F.lit("removed").alias("change"), none.alias("details"))
+    return there.where("change is not null").unionByName(gone)
 
 
 def three_way(base: DataFrame, current: DataFrame, source: DataFrame, path: str = "path", content: str = "content") -> DataFrame:

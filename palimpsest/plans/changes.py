@@ -160,7 +160,7 @@ _PALETTE_DIFF = f"""WITH {views.SWATCHES},
 o AS (SELECT *, row_number() OVER (PARTITION BY file, name ORDER BY pos) AS nth FROM old_s),
 n AS (SELECT *, row_number() OVER (PARTITION BY file, name ORDER BY pos) AS nth FROM new_s),
 d AS (SELECT coalesce(n.file, o.file) AS file, coalesce(n.name, o.name) AS name, coalesce(n.nth, o.nth) AS nth, o.colour AS before, n.colour AS after,
-  CASE WHEN o.pos IS NULL THEN 'added' WHEN n.pos IS NULL THEN 'removed' WHEN o.colour = n.colour THEN 'same' ELSE 'recoloured' END AS change,
+  CASE WHEN o.pos IS NULL THEN 'added' WHEN n.pos IS NULL THEN 'removed' WHEN o.colour = n.colour THEN 'unchanged' ELSE 'modified' END AS change,
   coalesce(n.pos, o.pos) AS pos FROM o FULL JOIN n ON o.file = n.file AND o.name = n.name AND o.nth = n.nth)"""
 PALETTE_DIFF = f"{_PALETTE_DIFF} SELECT * FROM d"
 
@@ -168,27 +168,28 @@ PALETTE_DIFF = f"{_PALETTE_DIFF} SELECT * FROM d"
 def embedded_palette_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Palettes that changed, with the number of each kind of change; unchanged ones are left out."""
     count = lambda kind: F.count_if(F.col("change") == kind).alias(kind)
-    found = palette_diff(spark, sf_dir).groupBy("file").agg(count("added"), count("removed"), count("recoloured"))
-    return found.where("added + removed + recoloured > 0")
+    found = palette_diff(spark, sf_dir).groupBy("file").agg(count("added"), count("removed"), count("modified"))
+    return found.where("added + removed + modified > 0")
 
 
 EMBEDDED_PALETTE_DIFF = f"""{_PALETTE_DIFF}
-SELECT file, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed, count(*) FILTER (change = 'recoloured') AS recoloured
-FROM d GROUP BY file HAVING count(*) FILTER (change <> 'same') > 0"""
+SELECT file, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed, count(*) FILTER (change = 'modified') AS modified
+FROM d GROUP BY file HAVING count(*) FILTER (change <> 'unchanged') > 0"""
 
 
 def logical_palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The representative of each logical palette: a .kpl before others, then the greatest name."""
     p = views.table(spark, sf_dir, "part")
     ext = F.when(F.col("p_partkey") % 3 == 0, ".kpl").when(F.col("p_partkey") % 3 == 1, ".gpl").otherwise(".0001.kpl")
+    ext = F.when(F.col("p_partkey") % 7 == 0, ".12.aco").when(F.col("p_partkey") % 11 == 0, ".v2.png").otherwise(ext)
     name = F.concat(F.lit("palettes/"), F.regexp_replace("p_name", " ", "_"), ext)
     named = p.select(name.alias("name")).distinct().withColumn("key", labels.palette_key(F.col("name")))
     return named.groupBy("key").agg(F.max_by("name", F.struct(F.lower("name").endswith(".kpl"), "name")).alias("representative"), F.count(F.lit(1)).alias("copies"))
 
 
 LOGICAL_PALETTES = r"""WITH named AS (SELECT DISTINCT 'palettes/' || replace(p_name, ' ', '_') ||
-  CASE WHEN p_partkey % 3 = 0 THEN '.kpl' WHEN p_partkey % 3 = 1 THEN '.gpl' ELSE '.0001.kpl' END AS name FROM part),
-keyed AS (SELECT name, regexp_replace(regexp_replace(lower(string_split(name, '/')[-1]), '\.[^.]*$', ''), '\.[0-9]{4}$', '') AS key FROM named)
+  CASE WHEN p_partkey % 7 = 0 THEN '.12.aco' WHEN p_partkey % 11 = 0 THEN '.v2.png' WHEN p_partkey % 3 = 0 THEN '.kpl' WHEN p_partkey % 3 = 1 THEN '.gpl' ELSE '.0001.kpl' END AS name FROM part),
+keyed AS (SELECT name, regexp_replace(regexp_replace(lower(string_split(name, '/')[-1]), '\.(kpl|gpl|aco|ase)$', ''), '\.[0-9]+$', '') AS key FROM named)
 SELECT key, max_by(name, (lower(name) LIKE '%.kpl', name)) AS representative, count(*) AS copies FROM keyed GROUP BY key"""
 
 
@@ -207,20 +208,20 @@ def _layers(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
 
 
 def layer_meta_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.layer_changes(_layers(spark, sf_dir, "old"), _layers(spark, sf_dir, "new"))
+    found = diff.layer_changes(_layers(spark, sf_dir, "old"), _layers(spark, sf_dir, "new"))
+    return found.select(F.col("place.side").cast("bigint").alias("side"), F.col("place.pos").alias("pos"), "id", "name", "change", F.array_join("details", "; ").alias("details"))
 
 
-_LAYERS = """SELECT {k} AS pos, CASE WHEN {k} % 6 <> 0 THEN 'u' || ({k} % 400) ELSE '' END AS uuid, 'layer ' || {p}_nationkey AS name,
-  floor({p}_acctbal)::BIGINT % 256 AS opacity, CASE WHEN {k} % 4 = 0 THEN 'multiply' ELSE 'normal' END AS blend FROM {t}"""
+_LAYERS = """SELECT *, coalesce(nullif(uuid, ''), name) AS id FROM (SELECT {k} AS pos, CASE WHEN {k} % 6 <> 0 THEN 'u' || ({k} % 400) ELSE '' END AS uuid, 'layer ' || {p}_nationkey AS name,
+  floor({p}_acctbal)::BIGINT % 256 AS opacity, CASE WHEN {k} % 4 = 0 THEN 'multiply' ELSE 'normal' END AS blend FROM {t})"""
 LAYER_META_DIFF = f"""WITH olds AS ({_LAYERS.format(k="c_custkey", p="c", t="customer")}), news AS ({_LAYERS.format(k="s_suppkey", p="s", t="supplier")}),
-o AS (SELECT coalesce(nullif(uuid, ''), name) AS id, arg_min(name, pos) AS name, arg_min(opacity, pos) AS opacity, arg_min(blend, pos) AS blend FROM olds GROUP BY 1),
-n AS (SELECT coalesce(nullif(uuid, ''), name) AS id, arg_min(name, pos) AS name, arg_min(opacity, pos) AS opacity, arg_min(blend, pos) AS blend FROM news GROUP BY 1),
-d AS (SELECT coalesce(o.id, n.id) AS id, o.id AS oid, n.id AS nid,
-  CASE WHEN o.id IS NULL OR n.id IS NULL THEN '' ELSE concat_ws(',', CASE WHEN o.opacity IS DISTINCT FROM n.opacity THEN 'opacity' END,
-    CASE WHEN o.blend IS DISTINCT FROM n.blend THEN 'blend' END, CASE WHEN o.name IS DISTINCT FROM n.name THEN 'renamed' END) END AS details
-  FROM o FULL JOIN n ON o.id = n.id)
-SELECT id, CASE WHEN oid IS NULL THEN 'added' WHEN nid IS NULL THEN 'removed' ELSE 'modified' END AS change, details FROM d
-WHERE oid IS NULL OR nid IS NULL OR details <> ''"""
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS r FROM olds) WHERE r = 1),
+d AS (SELECT n.pos, n.id, n.name, o.id AS oid, concat_ws('; ', CASE WHEN o.opacity <> n.opacity THEN 'opacity ' || o.opacity || ' -> ' || n.opacity END,
+    CASE WHEN o.blend <> n.blend THEN 'blend ' || o.blend || ' -> ' || n.blend END, CASE WHEN o.name <> n.name THEN 'renamed ' || o.name || ' -> ' || n.name END) AS details
+  FROM news n LEFT JOIN o ON o.id = n.id)
+SELECT 0::BIGINT AS side, pos, id, name, CASE WHEN oid IS NULL THEN 'added' ELSE 'modified' END AS change, CASE WHEN oid IS NULL THEN '' ELSE details END AS details
+FROM d WHERE oid IS NULL OR details <> ''
+UNION ALL SELECT 1, pos, id, name, 'removed', '' FROM olds WHERE id NOT IN (SELECT id FROM news)"""
 
 
 def art_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,10 +261,53 @@ i AS ({_LAYER_TILES.format(t="l_quantity::BIGINT + CASE WHEN l_orderkey % 50 = 0
 SELECT i.uuid, i.signature, len(i.tiles) AS tiles FROM i JOIN a ON a.uuid = i.uuid AND a.signature = i.signature AND a.tiles = i.tiles"""
 
 
+def _incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers of documents by nation, with names that come again."""
+    s = views.table(spark, sf_dir, "supplier")
+    return s.select(F.col("s_nationkey").cast("long").alias("document"), F.col("s_suppkey").alias("pos"), F.concat(F.lit("layer "), (F.col("s_suppkey") % 3).cast("string")).alias("name"))
+
+
 def layer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names and files that incoming layers take in a document where some are taken."""
-    s = views.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("document"), F.col("s_suppkey").alias("pos"), F.concat(F.lit("layer "), (F.col("s_suppkey") % 3).cast("string")).alias("name"))
-    return merge_layers.renamed(s)
+    """Names that incoming layers take in a document where customers have taken some."""
+    c = views.table(spark, sf_dir, "customer")
+    taken = c.where("c_custkey % 5 = 0").select(F.col("c_nationkey").cast("long").alias("document"), F.concat(F.lit("layer "), (F.col("c_custkey") % 2).cast("string"), F.when(F.col("c_custkey") % 10 == 0, " [3]").otherwise("")).alias("name"))
+    return merge_layers.renamed(_incoming(spark, sf_dir), taken.distinct())
+
+
+def layer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that incoming layers take above the numbers of the document's own."""
+    c = views.table(spark, sf_dir, "customer")
+    taken = c.select(F.col("c_nationkey").cast("long").alias("document"), F.concat(F.when(F.col("c_custkey") % 4 == 0, "shape").otherwise("layer"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 9 == 0, "a").otherwise("")).alias("file"))
+    return merge_layers.renumbered(_incoming(spark, sf_dir), taken).select("document", "pos", "new_file")
+
+
+LAYER_FILES = """WITH h AS (SELECT c_nationkey AS document, max(c_custkey) AS highest FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey % 9 <> 0 GROUP BY 1)
+SELECT s_nationkey::BIGINT AS document, s_suppkey AS pos, 'layer' || (coalesce(highest, 0) + row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey)) AS new_file
+FROM supplier LEFT JOIN h ON h.document = s_nationkey"""
+
+
+def layer_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures, attribute tokens, new opening tags and ids of layers made of parts."""
+    p = views.table(spark, sf_dir, "part")
+    name = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, F.lit(' <"a"&b>')).otherwise(""))
+    attributes = {"name": name, "opacity": F.col("p_size"), "compositeop": F.when(F.col("p_size") % 2 == 0, "multiply"), "visible": F.lit(None), "x": F.col("p_partkey") % 7, "y": F.lit(0)}
+    token = labels.xml_attribute("name", labels.xml_escape(name))
+    tag = F.when(F.col("p_partkey") % 4 == 0, "<layer opacity=").otherwise(F.concat(F.lit("<layer filename="), F.lit('"n" '), token, F.lit(' uuid="name"/>')))
+    return p.select(
+        "p_partkey",
+        F.replace(labels.layer_signature(attributes), F.lit("\0"), F.lit("|")).alias("signature"),
+        token.alias("token"),
+        labels.with_name(tag, labels.xml_escape(F.lit("x & y"))).alias("tag"),
+        labels.fresh_uuid(F.col("p_brand"), F.col("p_partkey")).alias("uuid"),
+    )
+
+
+LAYER_TOKENS = """WITH n AS (SELECT *, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' <"a"&b>' ELSE '' END AS name FROM part),
+d AS (SELECT *, replace(replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped,
+  sha256('merge' || chr(0) || p_brand || chr(0) || p_partkey) AS h FROM n)
+SELECT p_partkey, 'name=' || name || '|opacity=' || p_size || '|compositeop=' || CASE WHEN p_size % 2 = 0 THEN 'multiply' ELSE '' END || '|visible=|x=' || (p_partkey % 7) || '|y=0' AS signature,
+  'name="' || escaped || '"' AS token, CASE WHEN p_partkey % 4 <> 0 THEN '<layer filename="n" name="x &amp; y" uuid="name"/>' END AS tag,
+  '{' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '}' AS uuid FROM d"""
 
 
 QUERIES = {
@@ -285,4 +329,6 @@ QUERIES = {
     "art_diff": (art_diff, ART_DIFF),
     "unchanged_layers": (unchanged_layers, UNCHANGED_LAYERS),
     "layer_names": (layer_names, None),
+    "layer_files": (layer_files, LAYER_FILES),
+    "layer_tokens": (layer_tokens, LAYER_TOKENS),
 }

@@ -141,11 +141,11 @@ def version_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("branch", "versions", "bytes", F.coalesce("save_ms", F.lit(-1)).alias("save_ms"), labels.byte_unit(F.col("bytes")).alias("unit"), labels.byte_tenths(F.col("bytes")).alias("tenths"))
 
 
-_SCALE = "CASE WHEN bytes < 1024 THEN 1 WHEN bytes < 1048576 THEN 1024 WHEN bytes < 1073741824 THEN 1048576 ELSE 1073741824 END"
+_SCALE = "CASE WHEN bytes < 1024 THEN 1 WHEN bytes < 1048576 THEN 1024 WHEN bytes < 1073741824 THEN 1048576 WHEN bytes < 1099511627776 THEN 1073741824 ELSE 1099511627776 END"
 VERSION_CARDS = f"""WITH {views.COMMIT_FILES}, {_BY_COMMIT},
 c AS (SELECT branch, count(*) AS versions, sum(size)::BIGINT AS bytes FROM commit_files GROUP BY branch)
 SELECT branch, versions, bytes, coalesce(save_ms, -1) AS save_ms,
-  CASE WHEN bytes < 1024 THEN 'B' WHEN bytes < 1048576 THEN 'KB' WHEN bytes < 1073741824 THEN 'MB' ELSE 'GB' END AS unit,
+  CASE WHEN bytes < 1024 THEN 'B' WHEN bytes < 1048576 THEN 'KB' WHEN bytes < 1073741824 THEN 'MB' WHEN bytes < 1099511627776 THEN 'GB' ELSE 'TB' END AS unit,
   floor(bytes * 10.0::DOUBLE / {_SCALE} + 0.5)::BIGINT AS tenths
 FROM c LEFT JOIN by_commit b ON b.commit_id = c.branch"""
 
@@ -164,12 +164,12 @@ SELECT op, ts, ms, nth, nth <= 5 AS shown FROM (SELECT *, row_number() OVER (PAR
 def opacity_and_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = views.table(spark, sf_dir, "lineitem")
     opacity = (F.col("l_orderkey") % 256).cast("int")
-    mode = F.element_at(F.array(*[F.lit(x) for x in ("multiply", "screen", "dodge", "normal")]), (F.col("l_partkey") % 4 + 1).cast("int"))
+    mode = F.element_at(F.array(*[F.lit(x) for x in ("svg:multiply", "screen", "linear_dodge", "darken", "svg:overlay", "add")]), (F.col("l_partkey") % 6 + 1).cast("int"))
     return li.select("l_orderkey", labels.opacity_percent(opacity).alias("percent"), labels.blend_mode(mode).alias("blend")).distinct()
 
 
 OPACITY_AND_BLEND = """SELECT DISTINCT l_orderkey, round((l_orderkey % 256) * 100.0::DOUBLE / 255.0)::INTEGER AS percent,
-  CASE ['multiply', 'screen', 'dodge', 'normal'][(l_partkey % 4 + 1)::BIGINT] WHEN 'multiply' THEN 'multiply' WHEN 'screen' THEN 'screen' ELSE 'normal' END AS blend FROM lineitem"""
+  ['multiply', 'screen', 'add', 'normal', 'overlay', 'add'][(l_partkey % 6 + 1)::BIGINT] AS blend FROM lineitem"""
 
 
 def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +205,9 @@ def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.regexp_replace("url", "^https?://", "")
     ext = F.element_at(F.array(*[F.lit(x) for x in (".kra", ".GPL", ".txt", "-autosave.kra", "/../x.kpl")]), (F.col("page_id") % 5 + 1).cast("int"))
     path = F.concat(F.when(F.col("page_id") % 7 == 0, "/").otherwise(""), tail, ext)
-    key = F.concat(F.lit("file:"), tail, F.when(F.col("page_id") % 3 == 0, ":tile:1").when(F.col("page_id") % 3 == 1, ":entry:a").otherwise(""))
+    entry = F.lit("a:entry:b")
+    keys = [labels.file_key(F.concat(tail, F.lit(":tile:1"))), labels.tile_key(tail, entry, F.col("page_id"), F.lit(-64)), labels.entry_key(tail, F.lit("a")), labels.manifest_key(tail), tail]
+    key = F.element_at(F.array(*keys), (F.col("page_id") % 5 + 1).cast("int"))
     return p.select(
         "page_id",
         labels.supported(path).alias("supported"),
@@ -219,24 +221,98 @@ def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PATH_RULES = r"""WITH t AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS tail FROM pages),
 p AS (SELECT *, CASE WHEN page_id % 7 = 0 THEN '/' ELSE '' END || tail || ['.kra', '.GPL', '.txt', '-autosave.kra', '/../x.kpl'][(page_id % 5 + 1)::BIGINT] AS path,
-  'file:' || tail || CASE WHEN page_id % 3 = 0 THEN ':tile:1' WHEN page_id % 3 = 1 THEN ':entry:a' ELSE '' END AS key FROM t)
+  CASE WHEN page_id % 5 = 0 THEN tail || ':tile:1' ELSE tail END AS shard FROM t)
 SELECT page_id, regexp_matches(lower(path), '\.(kra|gpl|kpl|aco|ase)$') AND NOT lower(path) LIKE '%-autosave.kra' AS supported,
   path <> '' AND NOT starts_with(path, '/') AND NOT starts_with(path, './') AND path <> '.' AND NOT list_contains(string_split(path, '/'), '..') AS safe,
   strlen(trim(string_split(tail, '/')[1])) BETWEEN 1 AND 60 AND NOT regexp_matches(trim(string_split(tail, '/')[1]), '[\x00-\x1F\x7F/\\:*?"<>|]') AS name_valid,
   strlen(trim(tail)) BETWEEN 1 AND 60 AND NOT regexp_matches(trim(tail), '[\x00-\x1F\x7F/\\:*?"<>|]') AS path_as_name,
-  CASE WHEN contains(key, ':tile:') THEN string_split(key, ':tile:')[1] WHEN contains(key, ':entry:') THEN string_split(key, ':entry:')[1] ELSE regexp_replace(key, '^(file|manifest):', '') END AS shard,
-  regexp_replace(regexp_replace(lower(string_split(path, '/')[-1]), '\.[^.]*$', ''), '\.[0-9]{4}$', '') AS palette_key FROM p"""
+  shard, regexp_replace(regexp_replace(lower(string_split(path, '/')[-1]), '\.(kpl|gpl|aco|ase)$', ''), '\.[0-9]+$', '') AS palette_key FROM p"""
+
+
+#: Fixed value: what the labels of asset paths are tried on.
+_ENDINGS = (".kra", ".GPL", ".jpeg", ".0012.kpl", "", "::palettes/sun-set_two.0006.kpl")
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What parts are called as layers, files and palettes, by names with hyphens, underscores and runs of spaces."""
     p = views.table(spark, sf_dir, "part")
-    status = F.element_at(F.array(*[F.lit(x) for x in ("A", "M", "D", "Z")]), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return p.select("p_partkey", labels.title_case(F.col("p_name")).alias("title"), labels.status_verb(status).alias("verb"), labels.layer_id(F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(""), F.col("p_name")).alias("layer"))
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(x) for x in values]), (F.col("p_partkey") % n + 1).cast("int"))
+    slug = F.concat(F.lit(" "), F.replace("p_name", F.lit(" "), pick(("-", "__", "  "), 3)), F.lit("- "))
+    path = F.concat(F.lit("art/"), F.replace("p_name", F.lit(" "), F.lit("_")), pick(_ENDINGS, len(_ENDINGS)))
+    return p.select(
+        "p_partkey",
+        labels.title_case(slug).alias("title"),
+        labels.status_verb(pick("AMDRCUZ", 7)).alias("verb"),
+        labels.layer_id(F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(""), F.col("p_name")).alias("layer"),
+        labels.layer_type(pick(("paintlayer", "vectorlayer", "filtermask", "", "colorizelayer"), 5)).alias("layer_type"),
+        labels.layer_change(pick(("added", "unchanged", "other"), 3)).alias("change"),
+        labels.asset_name(path).alias("asset"),
+        labels.asset_kind(path).alias("kind"),
+        labels.palette_name(path).alias("palette"),
+        labels.embedded_palette(path).alias("embedded"),
+        labels.version_label(F.col("p_size")).alias("version"),
+    )
+
+
+LABELLED = rf"""WITH n AS (SELECT *, list_filter(string_split(p_name, ' '), lambda w: w <> '') AS words, replace(p_name, ' ', '_') AS slug,
+  {list(_ENDINGS)}[(p_partkey % 6 + 1)::BIGINT] AS ending FROM part)
+SELECT p_partkey, list_reduce(list_transform(words, lambda w: upper(w[1]) || w[2:]), lambda a, b: a || ' ' || b) AS title,
+  ['Added', 'Updated', 'Deleted', 'Renamed', 'Needs review', 'New', 'Z'][(p_partkey % 7 + 1)::BIGINT] AS verb,
+  CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_name END AS layer,
+  ['Paint', 'Vector', 'Mask', 'Layer', 'Colorize'][(p_partkey % 5 + 1)::BIGINT] AS layer_type,
+  ['Added', 'Unchanged', 'other'][(p_partkey % 3 + 1)::BIGINT] AS change,
+  CASE p_partkey % 6 WHEN 3 THEN p_name || '.0012' WHEN 5 THEN 'sun set two.0006' ELSE p_name END AS asset,
+  ['Artwork', 'Palette', 'Reference', 'Settings', 'Settings', 'Settings'][(p_partkey % 6 + 1)::BIGINT] AS kind,
+  CASE p_partkey % 6 WHEN 5 THEN 'sun set two' ELSE p_name END AS palette,
+  p_partkey % 6 IN (1, 3, 5) AS embedded, 'Version ' || p_size AS version FROM n"""
+
+
+def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times against the newest of all events, durations and sizes as they are shown."""
+    e = views.table(spark, sf_dir, "events")
+    now = e.agg(F.max("ts").alias("now"))  # one row
+    ms, size = F.col("event_id") * 37 % 5000, F.col("event_id") * F.col("event_id") * 12345 % 2_000_000_000_000
+    joined = e.join(F.broadcast(now))
+    return joined.select(
+        "event_id",
+        labels.relative_time(F.col("ts"), F.col("now")).alias("ago"),
+        labels.full_timestamp(F.col("ts")).alias("moment"),
+        labels.ms_text(ms).alias("took"),
+        labels.byte_text(size).alias("size"),
+        labels.operation_label(F.col("event_type")).alias("operation"),
+        labels.operation_label(F.element_at(F.array(*map(F.lit, ("commit", "create", "fetch"))), (F.col("event_id") % 3 + 1).cast("int")), plain=True).alias("plain"),
+    )
+
+
+MOMENTS = """WITH m AS (SELECT *, floor((epoch_ms(now) - epoch_ms(ts)) / 60000.0::DOUBLE + 0.5)::BIGINT AS mi FROM (SELECT *, max(ts) OVER () AS now FROM events)),
+h AS (SELECT *, floor(mi / 60.0::DOUBLE + 0.5)::BIGINT AS hr FROM m), d AS (SELECT *, floor(hr / 24.0::DOUBLE + 0.5)::BIGINT AS dy, event_id * 37 % 5000 AS ms, event_id * event_id * 12345 % 2000000000000 AS sz FROM h),
+u AS (SELECT *, CASE WHEN sz < 1024 ** 2 THEN 1 WHEN sz < 1024 ** 3 THEN 2 WHEN sz < 1024 ** 4 THEN 3 ELSE 4 END AS k FROM d),
+t AS (SELECT *, floor(sz * 10.0::DOUBLE / 1024 ** k + 0.5)::BIGINT AS tenths, floor(ms / 100.0::DOUBLE + 0.5)::BIGINT AS ds FROM u)
+SELECT event_id, CASE WHEN mi < 1 THEN 'just now' WHEN mi < 60 THEN mi || 'm ago' WHEN hr < 24 THEN hr || 'h ago' WHEN dy < 7 THEN dy || 'd ago' ELSE strftime(ts, '%b %-d') END AS ago,
+  strftime(ts, '%b %-d, %Y · %H:%M') AS moment, CASE WHEN ms < 1000 THEN ms || 'ms' ELSE ds // 10 || '.' || ds % 10 || 's' END AS took,
+  CASE WHEN sz < 1024 THEN sz || ' B' ELSE tenths // 10 || '.' || tenths % 10 || ' ' || ['KB', 'MB', 'GB', 'TB'][k] END AS size,
+  upper(event_type[1]) || event_type[2:] AS operation, ['Save', 'New line', 'fetch'][(event_id % 3 + 1)::BIGINT] AS plain FROM t"""
+
+
+def stash_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shelved sets of files (orders of a customer) by label or files, and their one-line summaries."""
+    o = views.table(spark, sf_dir, "orders")
+    path = F.concat(F.lit("art/order-"), F.col("o_orderkey").cast("string"), F.lit(".kra"))
+    held = o.where("o_orderkey % 2 = 0").groupBy(F.col("o_custkey").alias("stash")).agg(F.array_sort(F.collect_list(path)).alias("paths"), F.max("o_orderdate").alias("made"))
+    every = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("stash"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_name")).otherwise(" ").alias("label"))
+    both = every.join(held, "stash", "left")
+    paths = F.coalesce("paths", F.array().cast("array<string>"))
+    now = F.lit("2030-01-01").cast("timestamp")
+    made = F.coalesce("made", F.expr("timestamp'2029-12-31 22:10:00'"))
+    return both.select("stash", labels.stash_title(F.col("label"), paths).alias("title"), labels.stash_summary(F.size(paths), F.lit("main"), made, now).alias("summary"))
 
 
-LABELLED = """SELECT p_partkey, list_reduce(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), lambda a, b: a || ' ' || b) AS title,
-  CASE p_partkey % 4 WHEN 0 THEN 'Added' WHEN 1 THEN 'Edited' WHEN 2 THEN 'Removed' ELSE 'Z' END AS verb,
-  CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_name END AS layer FROM part"""
+STASH_TITLES = """WITH h AS (SELECT o_custkey, list_sort(list('order ' || o_orderkey)) AS names, max(o_orderdate) AS made FROM
+  (SELECT * FROM orders WHERE o_orderkey % 2 = 0) GROUP BY 1),
+b AS (SELECT c_custkey AS stash, c_name, coalesce(names, []) AS names, made FROM customer LEFT JOIN h ON o_custkey = c_custkey)
+SELECT stash, CASE WHEN stash % 4 = 0 THEN c_name WHEN len(names) = 0 THEN 'Empty' WHEN len(names) = 1 THEN names[1]
+    ELSE names[1] || ', ' || names[2] || CASE WHEN len(names) > 2 THEN ' +' || (len(names) - 2) ELSE '' END END AS title,
+  len(names) || CASE WHEN len(names) = 1 THEN ' file' ELSE ' files' END || ' · on main · ' || CASE WHEN made IS NULL THEN '2h ago' ELSE strftime(made, '%b %-d') END AS summary FROM b"""
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,6 +407,8 @@ QUERIES = {
     "times": (times, TIMES),
     "path_rules": (path_rules, PATH_RULES),
     "labelled": (labelled, LABELLED),
+    "moments": (moments, MOMENTS),
+    "stash_titles": (stash_titles, STASH_TITLES),
     "pixel_box": (pixel_box, PIXEL_BOX),
     "coarse_grid": (coarse_grid, COARSE_GRID),
     "downscaled": (downscaled, DOWNSCALED),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import itertools
 import random
 import struct
+import zipfile
 
 import pytest
 from hypothesis import given, settings
@@ -86,7 +88,7 @@ def test_keyed_list_diff_pairs_occurrences_in_order(spark):
         hit = next((o for o in left if o[0] == name), None)
         if hit:
             left.remove(hit)
-            want.append((name, hit[2], after, "same" if hit[2] == after else "recoloured"))
+            want.append((name, hit[2], after, "unchanged" if hit[2] == after else "modified"))
         else:
             want.append((name, None, after, "added"))
     want += [(name, before, None, "removed") for name, _, before in left]
@@ -150,8 +152,59 @@ def test_outline_of_a_square(spark):
 
 
 def test_unique_names_count_up(spark):
-    layers = spark.createDataFrame([(1, k, "ink") for k in range(3)], "document long, pos long, name string")
-    assert [r.new_name for r in merge_layers.renamed(layers).orderBy("pos").collect()] == ["ink", "ink [2]", "ink [3]"]
+    layers = spark.createDataFrame([(1, k, n) for k, n in enumerate(["ink", "ink", "sky", "ink [2]", "ink"])], "document long, pos long, name string")
+    taken = spark.createDataFrame([(1, "sky"), (1, "sky [2]"), (2, "ink"), (1, "ink [4]")], "document long, name string")
+    assert [r.new_name for r in merge_layers.renamed(layers, taken).orderBy("pos").collect()] == ["ink", "ink [2]", "sky [3]", "ink [2] [2]", "ink [3]"]
+    assert [r.new_name for r in merge_layers.renamed(layers, taken.limit(0)).orderBy("pos").collect()] == ["ink", "ink [2]", "sky", "ink [2] [2]", "ink [3]"]
+
+
+def test_files_are_numbered_above_the_taken_ones(spark):
+    layers = spark.createDataFrame([(d, k) for d in (1, 2) for k in (5, 7)], "document long, pos long")
+    taken = spark.createDataFrame([(1, "layer9"), (1, "layer12"), (1, "layer30a"), (1, "mask99"), (2, "shape1")], "document long, file string")
+    got = sorted((r.document, r.pos, r.new_file) for r in merge_layers.renumbered(layers, taken).collect())
+    assert got == [(1, 5, "layer13"), (1, 7, "layer14"), (2, 5, "layer1"), (2, 7, "layer2")]
+
+
+def column(spark, function, *cases):
+    """What a column expression makes of literal arguments; each case is (arguments..., wanted)."""
+    got = [spark.range(1).select(function(*map(F.lit, c[:-1])).alias("v")).first().v for c in cases]
+    assert got == [c[-1] for c in cases]
+
+
+def test_labels(spark):
+    column(spark, labels.blend_mode, ("multiply", "multiply"), ("svg:multiply", "multiply"), ("svg:screen", "screen"), ("overlay", "overlay"), ("linear_dodge", "add"), ("darken", "normal"), ("lighten", "normal"), ("erase", "normal"), ("", "normal"))
+    column(spark, labels.status_verb, ("M", "Updated"), ("A", "Added"), ("D", "Deleted"), ("R", "Renamed"), ("C", "Needs review"), ("U", "New"))
+    column(spark, labels.title_case, ("skin-tones", "Skin Tones"), ("hero", "Hero"), ("  a__b--c  d ", "A B C D"), ("", ""))
+    column(spark, labels.palette_key, ("p/Sun-Set.0006.kpl", "sun-set"), ("sun-set.gpl", "sun-set"), ("a.png", "a.png"), ("a.12", "a"), ("x.v2.aco", "x.v2"))
+    column(spark, labels.shard_of, ("file:a:tile:b", "a:tile:b"), ("kra:a:tile:e:entry:f:0,0", "a"), ("kra:a:entry:x:tile:y", "a:entry:x"), ("kra:a:entry:x", "a"), ("kra:a:manifest", "a"), ("kra:a", "a"), ("other", "other"))
+    column(spark, labels.asset_name, ("a/b\\\\skin-tones_2.kra".replace("\\\\", "\\"), "skin tones 2"), ("-.kra", "-.kra"), ("x.tar.gz", "x.tar"))
+    column(spark, labels.palette_name, ("f.kra::sun-set.0006.kpl", "sun set"), ("p/x_y.gpl", "x y"))
+    column(spark, labels.asset_kind, ("a.KRA", "Artwork"), ("a.gpl", "Palette"), ("a.webp", "Reference"), ("a.kpl", "Settings"))
+    column(spark, labels.layer_type, ("adjustmentlayer", "Filter"), ("shapelayer", "Vector"), ("selectionmask", "Mask"), ("colorizelayer", "Colorize"), ("", "Layer"))
+    column(spark, labels.byte_text, (0, "0 B"), (1023, "1023 B"), (1024, "1.0 KB"), (1434, "1.4 KB"), (12 << 20, "12.0 MB"), (3 << 40, "3.0 TB"), (5 << 50, "5120.0 TB"))
+    column(spark, labels.ms_text, (840.4, "840ms"), (1300.0, "1.3s"), (999.9, "1000ms"))
+    column(spark, labels.operation_label, ("commit", "Commit"))
+    column(spark, lambda o: labels.operation_label(o, True), ("diff", "Compare"), ("create", "New line"), ("x", "x"))
+    column(spark, labels.object_name, ("h", None, "h.full"), ("h", "b", "h.b.patch"))
+    column(spark, labels.default_pixel, (b"\x01\x02\x03\x04", b"\x03\x02\x01\x04"), (b"\x01", None))
+    column(spark, labels.compressed, (b"\x89PNG\r", True), (b"PK\x03\x04", True), (b"\x28\xb5\x2f\xfd", True), (b"PK", False))
+    column(spark, labels.with_name, ('<layer filename="a" name="b" x="1">', "c&amp;d", '<layer filename="a" name="c&amp;d" x="1">'), ('<layer filename="a">', "c", None))
+
+
+def test_times_ago(spark):
+    now = "2026-06-26 14:32:00"
+    cases = [("2026-06-26 14:31:31", "just now"), ("2026-06-26 14:31:30", "1m ago"), ("2026-06-26 13:33:00", "59m ago"), ("2026-06-26 13:02:00", "2h ago"), ("2026-06-25 14:32:00", "1d ago"), ("2026-06-19 14:32:00", "Jun 19")]
+    at = lambda x: F.to_timestamp(F.lit(x))
+    assert [spark.range(1).select(labels.relative_time(at(c), at(now)).alias("v")).first().v for c, _ in cases] == [w for _, w in cases]
+    assert spark.range(1).select(labels.full_timestamp(at(now)).alias("v")).first().v == "Jun 26, 2026 · 14:32"
+
+
+def test_layer_changes_follow_the_new_order_and_carry_old_and_new_values(spark):
+    schema = "pos int, uuid string, name string, opacity long, blend string"
+    old = spark.createDataFrame([(0, "u", "ink", 255, "normal"), (1, "u", "later", 9, "x"), (2, "", "gone", 255, "normal"), (3, "", "gone", 1, "normal")], schema)
+    new = spark.createDataFrame([(0, "", "fresh", 255, "normal"), (1, "u", "ink two", 100, "multiply"), (2, "u", "ink", 255, "normal")], schema)
+    got = [(r.name, r.change, r.details) for r in diff.layer_changes(old, new).orderBy("place").collect()]
+    assert got == [("fresh", "added", []), ("ink two", "modified", ["opacity 255 -> 100", "blend normal -> multiply", "renamed ink -> ink two"]), ("gone", "removed", []), ("gone", "removed", [])]
 
 
 @settings(max_examples=200, deadline=None)
@@ -185,6 +238,32 @@ def test_binary_palettes():
     assert palettes.parse("a.ASE", ase) == [("Hi", 0, 128, 255)]
     assert palettes.parse("a.ase", ase[:20]) == []
     assert palettes.lab_to_rgb(100, 0, 0) == (255, 255, 255)
+    one = lambda space, *c: palettes.parse("a.aco", struct.pack(">HHHHHHH", 1, 1, space, *c))[0][1:]
+    assert one(0, 32768, 128, 65535, 0) == (128, 0, 255) and one(8, 10000, 0, 0, 0) == (255, 255, 255) and one(8, 2500, 0, 0, 0) == (64, 64, 64)
+    assert one(2, 65535, 65535, 65535, 65535) == (255, 255, 255) and one(7, 1, 2, 3, 4) == (128, 128, 128)
+    v2 = struct.pack(">HHHHHHHI", 2, 1, 0, 0, 0, 0, 0, 3) + "Hi\0".encode("utf-16-be")
+    assert palettes.parse("a.aco", aco + v2) == [("Hi", 255, 0, 0)] and palettes.parse("a.aco", aco + v2[:-2]) == [("#FF0000", 255, 0, 0)]
+
+
+def kpl(inner):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        archive.writestr("colorset.xml", f"<Colorset columns='2'>{inner}</Colorset>")
+    return out.getvalue()
+
+
+def test_zipped_palettes():
+    inner = "<Group><ColorSetEntry name=' Sky '><sRGB r='0' g='0.5' b='1'/></ColorSetEntry></Group><ColorSetEntry name=''><Gray g='1'/></ColorSetEntry><ColorSetEntry name='k'><Lab/><CMYK c='0' m='0' y='0' k='1'/></ColorSetEntry><ColorSetEntry name='bad'><RGB r='x' g='0' b='0'/></ColorSetEntry>"
+    assert palettes.parse("a.kpl", kpl(inner)) == [("Sky", 0, 128, 255), ("#FFFFFF", 255, 255, 255), ("k", 0, 0, 0)]
+
+
+def test_columns_of_text_palettes(spark):
+    files = spark.createDataFrame([("a", "Columns: 3\n1 2 3"), ("b", "1 2 3"), ("c", " Columns: x\n"), ("d", "Columns: 3\nColumns:7")], "file string, text string")
+    assert {r.file: r.columns for r in palettes.gpl_columns(files).collect()} == {"a": 3, "b": 0, "c": 0, "d": 7}
+    big = spark.createDataFrame([("p", "99999999999 1 2 too big\n+1 2 3 ok")], "file string, text string")
+    assert [(r.name, r.r) for r in palettes.gpl(big).collect()] == [("ok", 1)]
+    row = spark.range(1).select(palettes.columns_of_both(F.lit(4), F.lit(0)).alias("a"), palettes.columns_of_both(F.lit(4), F.lit(2)).alias("b"), palettes.columns_of_both(F.lit(None), F.lit(None)).alias("c")).first()
+    assert (row.a, row.b, row.c) == (4, 2, 0)
 
 
 def test_saved_percent_is_clamped(spark):
