@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 TOLERANCE = 16
 #: An outline of more boundary edges is not traced.
 MOST_EDGES = 8000
+OUTLINE_SIDE = 200
 
 
 def changed(before: list[Column], after: list[Column]) -> Column:
@@ -29,6 +32,18 @@ def change_grid(before: DataFrame, after: DataFrame, channels: list[str]) -> Dat
     return both.select("image", "x", "y", changed([F.col(f"__{c}") for c in channels], [F.col(c) for c in channels]).alias("changed"))
 
 
+def sampled_change_grid(before: DataFrame, after: DataFrame, sizes: DataFrame, channels: list[str]) -> DataFrame:
+    """(image, x, y, changed) for every pixel of `after`, against the pixel of a before of another size that lies there.
+
+    `sizes` is (image, before_width, before_height, width, height), one row an image.
+    """
+    at = lambda c, old, new: F.expr(f"least({c} * {old} div {new}, {old} - 1)")
+    placed = after.join(sizes, "image").withColumn("bx", at("x", "before_width", "width")).withColumn("by", at("y", "before_height", "height"))
+    old = before.select("image", F.col("x").cast("bigint").alias("bx"), F.col("y").cast("bigint").alias("by"), *[F.col(c).alias(f"__{c}") for c in channels])
+    both = placed.join(old, ["image", "bx", "by"])
+    return both.select("image", "x", "y", changed([F.col(f"__{c}") for c in channels], [F.col(c) for c in channels]).alias("changed"))
+
+
 def box(grid: DataFrame) -> DataFrame:
     """The box of changed pixels and their number, for images that have any."""
     return grid.where("changed").groupBy("image").agg(
@@ -77,22 +92,43 @@ def outlines(grid: DataFrame) -> DataFrame:
     return edges.join(few, "image", "left_semi").groupBy("image").applyInPandas(_trace, "image long, edges long, loops long, path string")
 
 
-def _trace(edges: pd.DataFrame) -> pd.DataFrame:
-    """At most MOST_EDGES edges of one image, joined head to tail; corners only."""
+def _loops(edges: list[tuple[int, int, int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """The corners of the closed lines that directed edges make, joined head to tail."""
     following = defaultdict(list)
-    for ax, ay, bx, by in sorted(edges[["ax", "ay", "bx", "by"]].itertuples(index=False, name=None)):
+    for ax, ay, bx, by in sorted(edges):
         following[ax, ay].append((bx, by))
-    parts, loops = [], 0
     for start in sorted(following):
         while following[start]:
             line, at = [start], following[start].pop(0)
             while at != start:
                 line.append(at)
                 at = following[at].pop(0)
-            turns = [p for k, p in enumerate(line) if not _straight(line[k - 1], p, line[(k + 1) % len(line)])]
-            parts.append("M" + "L".join(f"{x} {y}" for x, y in turns) + "Z")
-            loops += 1
-    return pd.DataFrame({"image": [edges["image"].iloc[0]], "edges": [len(edges)], "loops": [loops], "path": ["".join(parts)]})
+            yield [p for k, p in enumerate(line) if not _straight(line[k - 1], p, line[(k + 1) % len(line)])]
+
+
+def _trace(edges: pd.DataFrame) -> pd.DataFrame:
+    """At most MOST_EDGES edges of one image."""
+    loops = list(_loops(list(edges[["ax", "ay", "bx", "by"]].itertuples(index=False, name=None))))
+    path = "".join("M" + "L".join(f"{x} {y}" for x, y in turns) + "Z" for turns in loops)
+    return pd.DataFrame({"image": [edges["image"].iloc[0]], "edges": [len(edges)], "loops": [len(loops)], "path": [path]})
+
+
+def outline_of(grid: np.ndarray) -> str | None:
+    """The outlines of a picture's changed pixels as an SVG path over 0..1, on a grid of at most OUTLINE_SIDE cells a side;
+    None without changes or beyond MOST_EDGES edges."""
+    height, width = grid.shape
+    scale = OUTLINE_SIDE / max(height, width)
+    rows, columns = (min(max(1, int(v * scale + 0.5)), v) for v in (height, width))
+    y, x = np.nonzero(grid)
+    cells = np.zeros((rows + 2, columns + 2), bool)
+    cells[y * rows // height + 1, x * columns // width + 1] = True
+    edges = []
+    for dy, dx, (ax, ay, bx, by) in ((-1, 0, (0, 0, 1, 0)), (0, 1, (1, 0, 1, 1)), (1, 0, (1, 1, 0, 1)), (0, -1, (0, 1, 0, 0))):
+        open_y, open_x = np.nonzero(cells[1:-1, 1:-1] & ~cells[1 + dy : 1 + dy + rows, 1 + dx : 1 + dx + columns])
+        edges += zip((open_x + ax).tolist(), (open_y + ay).tolist(), (open_x + bx).tolist(), (open_y + by).tolist(), strict=True)
+    if not edges or len(edges) > MOST_EDGES:
+        return None
+    return "".join("M" + "L".join(f"{x / columns:.4f} {y / rows:.4f}" for x, y in turns) + "Z" for turns in _loops(edges))
 
 
 def _straight(a: tuple[int, int], b: tuple[int, int], c: tuple[int, int]) -> bool:

@@ -83,6 +83,33 @@ def chains(parents: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return found
 
 
+def first_parents(parents: DataFrame, tip: object) -> DataFrame:
+    """(start, ancestor): the first-parent ancestors of one commit; pointers double until a round adds nothing."""
+    spark, kind = parents.sparkSession, parents.schema["id"].dataType.simpleString()
+    found = checkpointed(spark.createDataFrame([(tip, tip)], f"start {kind}, ancestor {kind}"))
+    step = checkpointed(parents.where("parent is not null").select("id", "parent"))
+    while True:
+        further = found.join(step.select(F.col("id").alias("ancestor"), "parent"), "ancestor").select("start", F.col("parent").alias("ancestor"))
+        further = checkpointed(further)
+        if further.isEmpty():
+            return found
+        found = checkpointed(found.unionByName(further))
+        step = checkpointed(step.select("id", F.col("parent").alias("mid")).join(step.select(F.col("id").alias("mid"), "parent"), "mid").select("id", "parent"))
+
+
+def numbered(rows: DataFrame, order: str, name: str = "version") -> DataFrame:
+    """`rows` with their place by `order` from 1 on: ranges are sorted in tasks of their own, and the rows before each range are added."""
+    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
+    ranged = checkpointed(ranged)
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a partition
+    before, total = {}, 0
+    for part, n in sorted((r["__part"], r["n"]) for r in sizes):
+        before[part], total = total, total + n
+    starts = rows.sparkSession.createDataFrame(list(before.items()), "__part int, __before long")
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy(order))
+    return ranged.join(F.broadcast(starts), "__part").withColumn(name, F.col("__before") + nth).drop("__part", "__before")
+
+
 def ancestors(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, ancestor) over all parents of a DAG, itself included; a parent without a row of its own counts too.
 

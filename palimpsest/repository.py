@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import labels
-from palimpsest.operators import diff, store, trees
-from palimpsest.sources import worktree
+from palimpsest.operators import diff, documents, store, trees
+from palimpsest.sources import archives, palettes, worktree
 
 COMMIT = "seq long, id string, message string, author string, timestamp string, parents array<string>, branch string, restored_from string"
 FILE = "commit_id string, seq long, path string, status string, content string, size long"
@@ -88,14 +88,28 @@ class Repository:
         with open(os.path.join(self.home, "state.json")) as f:
             return json.load(f)
 
+    def _holder(self) -> str:
+        """Which repository is locked, for what, and since when."""
+        name, sidecar = os.path.basename(os.path.abspath(self.root)) or self.root, os.path.join(self.home, "lock.info")
+        try:
+            with open(sidecar) as f:
+                doing = f.read() or "writing"
+            seconds = max(0, int(time.time() - os.stat(sidecar).st_mtime))
+        except OSError:
+            return f"{name} — writing"
+        age = f"{seconds}s" if seconds < 60 else f"{seconds // 60}m" if seconds < 3600 else f"{seconds // 3600}h"
+        return f"{name} — {doing} for {age}"
+
     @contextmanager
-    def _locked(self) -> Iterator[dict]:
+    def _locked(self, doing: str = "writing") -> Iterator[dict]:
         """The state to change; it is put back only if nothing was raised."""
         with open(os.path.join(self.home, "lock"), "w") as handle:
             try:
                 fcntl.flock(handle, fcntl.LOCK_EX | fcntl.LOCK_NB)
             except BlockingIOError:
-                raise Locked("another process changes this repository") from None
+                raise Locked(self._holder()) from None
+            with open(os.path.join(self.home, "lock.info"), "w") as info:
+                info.write(doing)
             state = self._state()
             yield state
             self._put(self.home, state)
@@ -106,11 +120,11 @@ class Repository:
     def set_config(self, **changes: object) -> None:
         if unknown := set(changes) - set(DEFAULTS):
             raise RepositoryError(f"no such setting: {', '.join(sorted(unknown))}")
-        with self._locked() as state:
+        with self._locked("changing settings") as state:
             state["config"] |= changes
 
     def delete(self) -> None:
-        with self._locked():
+        with self._locked("deleting the repository"):
             pass
         shutil.rmtree(self.home)
 
@@ -123,6 +137,17 @@ class Repository:
                     if os.path.abspath(full) != os.path.abspath(target):
                         out.write(full, os.path.relpath(full, self.root))
 
+    @staticmethod
+    def export_many(spark: SparkSession, roots: list[str], folder: str) -> list[str]:
+        """A zip `<folder name>-<day>.zip` for each repository; those that fail are returned, the others go on."""
+        failed, day = [], time.strftime("%Y-%m-%d", time.gmtime())
+        for root in roots:
+            try:
+                Repository(spark, root).export_zip(os.path.join(folder, f"{os.path.basename(os.path.abspath(root))}-{day}.zip"))
+            except (OSError, RepositoryError, zipfile.LargeZipFile):
+                failed.append(root)
+        return failed
+
     # ---- tables
 
     def _table(self, name: str, schema: str) -> DataFrame:
@@ -151,13 +176,12 @@ class Repository:
         return trees.ancestors(edges, starts)
 
     def log(self, branch: str | None = None) -> DataFrame:
-        """Commits that the branch's tip reaches, with their version; newest first."""
+        """Commits that the branch's tip reaches, with their version in append order; newest first."""
         tip = self._tip(branch)
         if tip is None:
-            return trees.version_numbers(self.commits().limit(0).withColumn("__all", F.lit(1)), "__all").drop("__all")
+            return self.commits().limit(0).withColumn("version", F.lit(0).cast("long"))
         reached = self._reachable([tip]).select(F.col("ancestor").alias("id"))
-        numbered = trees.version_numbers(self.commits().join(reached, "id", "left_semi").withColumn("__all", F.lit(1)), "__all")
-        return numbered.drop("__all").orderBy(F.desc("seq"))
+        return trees.numbered(self.commits().join(reached, "id", "left_semi"), "seq").orderBy(F.desc("seq"))
 
     def branches(self) -> DataFrame:
         state = self._state()
@@ -178,7 +202,7 @@ class Repository:
         if log.where(F.col("id") == commit).isEmpty():
             raise NotFound(f"no commit {commit}")
         parents = log.select("id", F.get("parents", F.lit(0)).alias("parent"))
-        chain = trees.chains(parents, self.spark.createDataFrame([(commit,)], "id string"), max(1, log.count()))
+        chain = trees.first_parents(parents, commit)
         changes = self.files().join(chain.select(F.col("ancestor").alias("commit_id")), "commit_id", "left_semi")
         return trees.fold(changes.drop("commit_id"), ("path",))
 
@@ -248,7 +272,7 @@ class Repository:
         return ident
 
     def commit(self, message: str, author: str, paths: list[str] | None = None) -> str:
-        with self._locked() as state:
+        with self._locked("committing") as state:
             found = trees.checkpointed(self.status(paths))
             if found.isEmpty():
                 raise NothingToDo("nothing has changed")
@@ -263,7 +287,7 @@ class Repository:
         name = name.strip()
         if not 1 <= len(name.encode()) <= 60 or any(c in INVALID or ord(c) < 32 or ord(c) == 127 for c in name):
             raise RepositoryError(f"not a branch name: {name!r}")
-        with self._locked() as state:
+        with self._locked("creating a branch") as state:
             if name in state["tips"]:
                 raise RepositoryError(f"{name} is there already")
             tip = self._tip(base)
@@ -274,14 +298,14 @@ class Repository:
             state["current"] = name
 
     def delete_branch(self, name: str) -> None:
-        with self._locked() as state:
+        with self._locked("deleting a branch") as state:
             if name == state["current"]:
                 raise RepositoryError("the current branch stays")
             if state["tips"].pop(name, self) is self:
                 raise NotFound(f"no branch {name}")
 
     def switch(self, name: str) -> None:
-        with self._locked() as state:
+        with self._locked("switching branch") as state:
             target = self._tip(name)
             self._require_clean()
             self._restore(diff.tree_changes(self.tree(self._tip()), self.tree(target)))
@@ -289,7 +313,7 @@ class Repository:
 
     def merge(self, source: str, author: str) -> str:
         """Fast-forwards where it can, else commits a three-way merge; a conflict takes the source and is marked C."""
-        with self._locked() as state:
+        with self._locked("merging") as state:
             if source == state["current"]:
                 raise RepositoryError("a branch is not merged into itself")
             ours, theirs = state["tips"][state["current"]], self._tip(source)
@@ -314,7 +338,7 @@ class Repository:
 
     def rollback(self, commit: str, author: str) -> str:
         """Commits the tree of an earlier commit again."""
-        with self._locked() as state:
+        with self._locked("restoring a version") as state:
             tip, target = state["tips"][state["current"]], self.tree(commit)
             plan = trees.checkpointed(diff.tree_changes(self.tree(tip), target))
             self._restore(diff.tree_changes(self._working(), target))
@@ -327,7 +351,7 @@ class Repository:
 
     def undo(self) -> str | None:
         """Takes the tip off the log; the working tree stays as it is."""
-        with self._locked() as state:
+        with self._locked("undoing a commit") as state:
             tip = state["tips"][state["current"]]
             if tip is None:
                 return None
@@ -341,13 +365,13 @@ class Repository:
 
     def discard(self, paths: list[str] | None = None) -> None:
         """Gives up working changes: new files go, others come back."""
-        with self._locked():
+        with self._locked("discarding changes"):
             found = self.status(paths).join(self.tree(self._tip()).select("path", "content"), "path", "left")
             self._restore(trees.checkpointed(found.select("path", F.when(F.col("status") == "U", "D").otherwise("M").alias("status"), "content")))
 
     def restore_file(self, path: str, commit: str) -> None:
         """Writes a file as that commit changed it; a commit that did not touch it does not have it."""
-        with self._locked():
+        with self._locked("restoring a file"):
             found = self.files().where((F.col("commit_id") == commit) & (F.col("path") == path) & F.col("content").isNotNull())
             if found.isEmpty():
                 raise NotFound(f"{commit} does not change {path}")
@@ -356,7 +380,7 @@ class Repository:
     # ---- shelf
 
     def stash(self, author: str, label: str = "", paths: list[str] | None = None) -> str:
-        with self._locked() as state:
+        with self._locked("setting work aside") as state:
             found = trees.checkpointed(self.status(paths))
             if found.isEmpty():
                 raise NothingToDo("nothing has changed")
@@ -375,7 +399,7 @@ class Repository:
 
     def pop_stash(self, ident: str) -> None:
         """Puts a stash back; paths that are dirty at all are a conflict."""
-        with self._locked() as state:
+        with self._locked("bringing work back") as state:
             entry = next((s for s in state["stashes"] if s["id"] == ident), None)
             if entry is None:
                 raise NotFound(f"no stash {ident}")
@@ -388,7 +412,7 @@ class Repository:
 
     def drop_stash(self, ident: str | None = None) -> int:
         """Drops one stash, or all."""
-        with self._locked() as state:
+        with self._locked("dropping set-aside work") as state:
             kept = [s for s in state["stashes"] if ident is not None and s["id"] != ident]
             dropped = len(state["stashes"]) - len(kept)
             if ident is not None and not dropped:
@@ -398,14 +422,143 @@ class Repository:
 
     # ---- reports
 
-    def commit_diff(self, commit: str) -> DataFrame:
-        """(path, status, before, after) of a commit against its first parent's tree."""
+    def _payloads(self, files: DataFrame) -> DataFrame:
+        """(file, content): the bytes of files (path, content), content by hash."""
+        wanted = files.where("content is not null").select(F.col("path").alias("file"), F.col("content").alias("object"))
+        return wanted.join(self.objects().dropDuplicates(["object"]), "object").select("file", F.col("payload").alias("content"))
+
+    def _tracked(self, commit: str, path: str) -> DataFrame:
+        found = self.tree(commit).where(F.col("path") == path)
+        if found.isEmpty():
+            raise NotFound(f"{path} is not in {commit}")
+        return self._payloads(found)
+
+    def _working_payload(self, path: str) -> DataFrame:
+        if not self.spark.range(1).select(labels.safe_path(F.lit(path))).first()[0]:
+            raise RepositoryError(f"not a path of the working tree: {path}")
+        full = os.path.join(self.root, path)
+        if not os.path.isfile(full):
+            return self.spark.createDataFrame([], "file string, content binary")
+        with open(full, "rb") as f:
+            return self.spark.createDataFrame([(path, f.read())], "file string, content binary")
+
+    @staticmethod
+    def _side(files: DataFrame) -> dict[str, DataFrame]:
+        """What a comparison needs of documents (file, content), committed or working."""
+        entries = trees.checkpointed(archives.entries(files))
+        return {"entries": entries, "tiles": archives.tiles(entries), "layers": archives.layers(entries), "images": archives.images(entries)}
+
+    def _versions(self, commit: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The commit's changes, and the bytes of its files before and after."""
         row = self.commits().where(F.col("id") == commit).first()
         if row is None:
             raise NotFound(f"no commit {commit}")
-        before = self.tree(row["parents"][0] if row["parents"] else None).select("path", F.col("content").alias("before"))
-        own = self.files().where(F.col("commit_id") == commit).select("path", "status", F.col("content").alias("after"))
-        return own.join(before, "path", "left").select("path", "status", "before", "after")
+        own = trees.checkpointed(self.files().where(F.col("commit_id") == commit).select("path", "status", "content"))
+        before = self.tree(row["parents"][0] if row["parents"] else None).join(own.select("path"), "path", "left_semi").select("path", "content")
+        before = trees.checkpointed(before)
+        return own.join(before.withColumnRenamed("content", "before"), "path", "left"), self._payloads(before), self._payloads(own)
+
+    @staticmethod
+    def _kinds(changes: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+        """`changes` (path, status, ...) with kind: art for a document that can be read, palette for a palette with swatches, else text."""
+        art = archives.images(archives.entries(new.where(F.lower("file").endswith(".kra")))).select(F.col("file").alias("path"), F.lit(True).alias("__art"))
+        is_palette = F.lower("file").rlike(r"\.(gpl|kpl|aco|ase)$")
+        coloured = palettes.swatches(old.unionByName(new).where(is_palette).dropDuplicates(["file", "content"])).select(F.col("file").alias("path"), F.lit(True).alias("__palette")).distinct()
+        both = changes.join(art.distinct(), "path", "left").join(coloured, "path", "left")
+        kind = F.when(F.col("__art") & (F.col("status") != "D"), "art").when(F.col("__palette"), "palette").otherwise("text")
+        return both.withColumn("kind", kind).drop("__art", "__palette")
+
+    def commit_diff(self, commit: str) -> DataFrame:
+        """(path, status, before, after, kind) of a commit against its first parent's tree, contents by hash."""
+        changes, old, new = self._versions(commit)
+        return self._kinds(changes.withColumnRenamed("content", "after"), old, new).select("path", "status", "before", "after", "kind")
+
+    def commit_palettes(self, commit: str) -> DataFrame:
+        """(path, status, name, before, after, change, pos): swatches of the palettes that a commit changes; one inside a
+        document has the path `document::file`, and is there only if a swatch of it changed."""
+        changes, old, new = self._versions(commit)
+        return self._palettes(changes.select("path", "status"), old, new)
+
+    def _palettes(self, changes: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+        hexed = lambda side: palettes.swatches(side).select("file", "name", labels.hex_colour(F.col("r"), F.col("g"), F.col("b")).alias("colour"), "pos")
+        alone = F.lower("file").rlike(r"\.(gpl|kpl|aco|ase)$")
+        found = diff.keyed_list_diff(hexed(old.where(alone)), hexed(new.where(alone)), ["file", "name"], "colour", "pos")
+        found = found.join(changes.select(F.col("path").alias("file"), "status"), "file")
+        inner = [self._embedded(side.where(F.lower("file").endswith(".kra"))) for side in (old, new)]
+        pairs = inner[0].select("file", "key", F.struct("entry", "hash").alias("o")).join(inner[1].select("file", "key", F.struct("entry", "hash").alias("n")), ["file", "key"], "full_outer")
+        pairs = pairs.where("not (o.hash <=> n.hash)").withColumn("label", F.concat("file", F.lit("::"), labels.file_name(F.coalesce("n.entry", "o.entry"))))
+        sides = []
+        for side, version in zip(inner, ("o", "n"), strict=True):
+            picked = pairs.select("file", "key", "label", F.col(f"{version}.entry").alias("entry")).join(side.select("file", "key", "content"), ["file", "key"])
+            named = hexed(picked.select(F.concat_ws("\0", "label", "entry").alias("file"), "content"))
+            sides.append(named.withColumn("file", F.substring_index("file", "\0", 1)))
+        within = diff.keyed_list_diff(*sides, ["file", "name"], "colour", "pos")
+        status = lambda a, b: F.when(a.isNull(), "A").when(b.isNull(), "D").otherwise("M")
+        counts = within.groupBy("file").agg(F.max("before").alias("b"), F.max("after").alias("a"), F.count_if(F.col("change") != "unchanged").alias("n")).where("n > 0")
+        within = within.join(counts.select("file", status(F.col("b"), F.col("a")).alias("status")), "file")
+        return found.unionByName(within).select(F.col("file").alias("path"), "status", "name", "before", "after", "change", "pos")
+
+    @staticmethod
+    def _embedded(files: DataFrame) -> DataFrame:
+        """(file, key, entry, hash, content): one entry for each palette inside the documents, a .kpl before others, then the greatest name."""
+        inside = archives.entries(files).where(labels.embedded_palette(F.col("entry_path")) & ~F.startswith(F.col("content"), F.lit(b"VERSION ")))
+        keyed = inside.select("file", labels.palette_key(F.col("entry_path")).alias("key"), "entry_path", "content")
+        best = F.max_by(F.struct(F.col("entry_path").alias("entry"), "content"), F.struct(F.lower("entry_path").endswith(".kpl"), "entry_path")).alias("e")
+        return keyed.groupBy("file", "key").agg(best).select("file", "key", "e.entry", F.sha2("e.content", 256).alias("hash"), "e.content")
+
+    def commit_art(self, commit: str) -> DataFrame:
+        """The layers of every document that a commit changes, with what happened to each (`documents.art_changes`)."""
+        _, old, new = self._versions(commit)
+        drawn = F.lower("file").endswith(".kra")
+        return documents.art_changes(self._side(old.where(drawn)), self._side(new.where(drawn)))
+
+    def commit_layers(self, commit: str, path: str) -> DataFrame:
+        """The layers of one document in a commit, with pictures before and after and the overlay of what changed; no rows
+        for what is no document there."""
+        _, old, new = self._versions(commit)
+        return self._pictures(*(side.where((F.col("file") == path) & F.lower("file").endswith(".kra")) for side in (old, new)))
+
+    def working_diff(self, path: str) -> DataFrame:
+        """(path, status, kind) of a working file against the current tip: M where the tip has it, else A."""
+        old, new = self._last_committed(path), self._working_payload(path)
+        status = "A" if old.isEmpty() else "M"
+        return self._kinds(self.spark.createDataFrame([(path, status)], "path string, status string"), old, new)
+
+    def working_art(self, path: str) -> DataFrame:
+        """The layers of a working document against the current tip's; nothing is stored."""
+        return documents.art_changes(self._side(self._last_committed(path)), self._side(self._working_payload(path)))
+
+    def working_palettes(self, path: str) -> DataFrame:
+        old, new = self._last_committed(path), self._working_payload(path)
+        status = "A" if old.isEmpty() else "M"
+        return self._palettes(self.spark.createDataFrame([(path, status)], "path string, status string"), old, new)
+
+    def working_layers(self, path: str) -> DataFrame:
+        """`commit_layers` for a working document against the current tip."""
+        return self._pictures(self._last_committed(path), self._working_payload(path))
+
+    def _last_committed(self, path: str) -> DataFrame:
+        return self._payloads(self.tree(self._tip()).where(F.col("path") == path))
+
+    def _pictures(self, old: DataFrame, new: DataFrame) -> DataFrame:
+        """The layers of `documents.art_changes` with before, after, mask, outline and the changed box (bx, by, bw, bh)."""
+        was, now = self._side(old), self._side(new)
+        canvas = now["images"]
+        shown = lambda side: documents.layer_rasters(side["tiles"], canvas, documents.default_pixels(side["entries"])).select("file", "entry_path", "png")
+        rows = documents.art_changes(was, now)
+        rows = rows.join(shown(now).withColumnRenamed("png", "after"), ["file", "entry_path"], "left")
+        older = shown(was).select("file", F.col("entry_path").alias("old_entry"), F.col("png").alias("__old"))
+        rows = rows.join(older, ["file", "old_entry"], "left")
+        before = F.when(F.col("change") == "unchanged", F.col("after")).when(F.col("change") != "added", F.col("__old"))
+        rows = trees.checkpointed(rows.withColumn("before", before).drop("__old"))
+        pairs = rows.where("change = 'modified'").select("file", "id", "place", "before", "after")
+        over = documents.overlays(pairs).select("file", "place", "mask", "outline", *[F.col(c).alias(f"b{c}") for c in ("x", "y", "w", "h")])
+        return rows.join(over, ["file", "place"], "left")
+
+    def layer_diff(self, path: str, old_commit: str, new_commit: str) -> DataFrame:
+        """(place, id, name, change, details): layer metadata of a document in the trees of two commits."""
+        sides = [archives.layers(archives.entries(self._tracked(c, path))) for c in (old_commit, new_commit)]
+        return diff.layer_changes(*sides)
 
     def storage(self) -> DataFrame:
         """(seq, stored_bytes, objects): bytes by the commit that first refers to each object."""
@@ -414,7 +567,7 @@ class Repository:
 
     def collect_garbage(self, dry_run: bool = True) -> dict[str, int]:
         """Objects that no reachable commit and no stash refers to; without `dry_run` they are removed."""
-        with self._locked() as state:
+        with self._locked("cleaning up") as state:
             tips = [t for t in state["tips"].values() if t]
             reached = self._reachable(tips).select(F.col("ancestor").alias("commit_id")).distinct()
             live = self.files().join(reached, "commit_id", "left_semi").select(F.col("content").alias("object")).where("object is not null")

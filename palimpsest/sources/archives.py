@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: An entry that inflates to more is refused.
+#: An archive with an entry that inflates to more is refused: reading it raises.
 MOST_BYTES = 2 << 30
 #: A canvas wider or higher than this is refused.
 MOST_SIDE = 32768
@@ -37,8 +37,11 @@ def zip_entries(content: bytes) -> Iterator[tuple]:
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             for pos, info in enumerate(archive.infolist()):
-                if info.file_size <= MOST_BYTES:
-                    yield pos, info.filename, info.CRC, info.file_size, archive.read(info)
+                if info.is_dir():
+                    continue
+                if info.file_size > MOST_BYTES:
+                    raise ValueError(f"{info.filename} inflates to {info.file_size} bytes, over the limit of {MOST_BYTES}")
+                yield pos, info.filename, info.CRC, info.file_size, archive.read(info)
     except (zipfile.BadZipFile, zlib.error, EOFError):
         return
 

@@ -45,6 +45,13 @@ def columns_of_both(old: Column, new: Column) -> Column:
     return F.coalesce(F.when(new > 0, new), old, F.lit(0))
 
 
+def swatches(files: DataFrame) -> DataFrame:
+    """(file, pos, name, r, g, b) of palettes (file, content) of any kind, by their ending."""
+    text = F.lower("file").endswith(".gpl")
+    readable = files.where(text).select("file", F.expr("try_validate_utf8(cast(content as string))").alias("text")).where("text is not null")
+    return gpl(readable).unionByName(binary(files.where(~text)))
+
+
 def binary(files: DataFrame) -> DataFrame:
     """Swatches of .aco, .ase and .kpl files (file, content); a file that cannot be read has none."""
 
