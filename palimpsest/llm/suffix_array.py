@@ -10,44 +10,54 @@ Nothing is renamed and there is no recursion.
 
 from __future__ import annotations
 
+import numpy as np
 
-def suffix_array(text: list[int]) -> list[int]:
+
+def suffix_array(text: list[int] | np.ndarray) -> list[int]:
     """The starts of all suffixes in ascending order; the last symbol must be the smallest and occur once."""
     n = len(text)
-    place = sorted(range(n), key=text.__getitem__)
-    at = [0] * n  # where a suffix stands in `place`
-    group = [0] * n  # the first index of its group there
+    symbols = np.asarray(text)
+    order = np.argsort(symbols, kind="stable")
+    ranked = symbols[order]
+    begins = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    ends = np.concatenate([begins[1:], [n]])
+    by_suffix, by_place = np.empty(n, np.int64), np.empty(n, np.int64)
+    by_suffix[order], by_place[order] = np.arange(n), np.repeat(begins, ends - begins)
+    place = order.tolist()
+    at = by_suffix.tolist()  # where a suffix stands in `place`
+    group = by_place.tolist()  # the first index of its group there
     last = [0] * n  # by first index: the last one
-    first = 0
-    for k, s in enumerate(place):
-        if text[s] != text[place[first]]:
-            first = k
-        at[s], group[s], last[first] = k, first, k
+    for first, end in zip(begins.tolist(), ends.tolist(), strict=True):
+        last[first] = end - 1
     smaller = [-1] * n
+
     end = n - 1
     while end >= 0:
         first = group[place[end]]
-        if first == end:  # a group of its own, as most are
-            s = place[end]
+        targets = []
+        for s in (place[end],) if first == end else sorted(place[first : end + 1]):
             p = s - 1
             while p >= 0 and group[p] >= first:
                 p = smaller[p]
             smaller[s] = p
-            if p >= 0 and (old := group[p]) != (tail := last[old]):
-                k, other = at[p], place[tail]
-                place[k], at[other] = other, k
-                place[tail], at[p] = p, tail
-                last[old], last[tail], group[p] = tail - 1, tail, tail
-            end -= 1
+            if p >= 0:
+                targets.append(p)
+        end = first - 1
+        if len(targets) == 1 or len(targets) == 2 and group[targets[0]] != group[targets[1]]:
+            for p in targets:  # each goes to the end of its old group, which is a group of its own then
+                old = group[p]
+                tail = last[old]
+                if tail != old:
+                    k, other = at[p], place[tail]
+                    place[k] = other
+                    at[other] = k
+                    place[tail] = p
+                    at[p] = group[p] = last[tail] = tail
+                    last[old] = tail - 1
             continue
         hits: dict[int, int] = {}
-        for s in sorted(place[first : end + 1]):
-            p = s - 1
-            while p >= 0 and group[p] >= first:
-                p = smaller[p]
-            smaller[s] = p
-            if p >= 0:
-                hits[p] = hits.get(p, 0) + 1
+        for p in targets:
+            hits[p] = hits.get(p, 0) + 1
         moves: dict[tuple[int, int], list[int]] = {}
         for p, count in hits.items():
             moves.setdefault((count, group[p]), []).append(p)
@@ -63,7 +73,6 @@ def suffix_array(text: list[int]) -> list[int]:
             last[new] = old_end
             for p in moves[count, old]:
                 group[p] = new
-        end = first - 1
     free = list(range(n))  # by first index of a group: the next place to fill
     placed = [False] * n
     out = [-1] * n

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import RollingHash, blocks, cut_lineage, row_identity, text_buffer
+from palimpsest.llm.common import RollingHash, blocks, cut_lineage, row_identity, text_buffer, written
 from palimpsest.llm.suffix_array import suffix_array
 
 LENGTH = 200
@@ -106,7 +106,7 @@ def repeated_windows(segments: list[bytes], before: np.ndarray, counts: np.ndarr
     where = np.arange(len(owner)) + owner
     line[where] = code + len(segments)
     line[np.cumsum(symbols) + np.arange(len(segments))] = np.arange(len(segments))[::-1]
-    order = np.array(suffix_array(line.tolist()))
+    order = np.array(suffix_array(line))
     symbol_of = np.full(len(line), -1)
     symbol_of[where] = np.arange(len(owner))
     order = symbol_of[order]
@@ -263,7 +263,7 @@ def spans(rows: DataFrame, most_segments: int = MOST_SEGMENTS) -> DataFrame:
     """(rid, start, end, digest): byte spans of `rows` (__rid, __text, ...) that cover what is to be removed; they may overlap."""
     runs = rows.select("__rid", "__text").mapInArrow(_runs, RUNS)
     keys = runs.groupBy("key").agg(F.count(F.lit(1)).alias("all_runs")).where("all_runs > 1").select("key")
-    found = cut_lineage(runs.join(cut_lineage(keys), "key", "left_semi"))
+    found = written(runs.join(cut_lineage(keys), "key", "left_semi"), "runs")
     distinct = cut_lineage(found.groupBy("key", "segment").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "place")).alias("at")))
     large = _large(distinct, most_segments)
     none_large = large.isEmpty()
@@ -275,9 +275,8 @@ def spans(rows: DataFrame, most_segments: int = MOST_SEGMENTS) -> DataFrame:
     hits = _by_arrays(segments.where("not large"))
     if not none_large:
         hits = hits.unionByName(_in_halves(segments.where("large"), most_segments))
-    hits = hits.groupBy("key", "segment").agg(F.collect_set(F.struct("first", "last", "digest")).alias("hits"))  # at most half a segment's windows
-    placed = found.join(hits, ["key", "segment"]).select("rid", F.expr("place >> 20").alias("at"), F.explode("hits").alias("hit"))
-    return placed.selectExpr("rid", "at + hit.first AS start", f"at + hit.last + {LENGTH} AS end", "hit.digest AS digest")
+    placed = found.join(hits, ["key", "segment"])  # a segment that occurs very often is split, as both sides come from shuffles
+    return placed.selectExpr("rid", "(place >> 20) + first AS start", f"(place >> 20) + last + {LENGTH} AS end", "digest")
 
 
 def cover(spans: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
