@@ -1,14 +1,15 @@
 """Quality rules: base counts of each text, and perplexity bands of a Kneser-Ney model by language.
 
-The model is of words, in n-grams of order 3: runs of letters and digits are words, every mark and every
-character of three or four bytes (as in scripts without spaces) is a word of its own. Spark counts distinct
-n-grams over all texts, and modified Kneser-Ney estimates (three discounts an order, continuation
-counts below the highest) are joined order by order, so the model grows with the corpus and is never gathered.
-The lowest order falls back to spelling: a model of characters of a fixed size, 32 classes in n-grams
-of order 4, whose hash arrays hold at most 2 to the 20th n-grams a language.
+The model is of lower-cased code points of any script, in n-grams of order 6, so it sees spelling and how words
+follow one another. Spark counts the n-grams of all texts: a task gives the distinct ones of a chunk of its texts, by hash
+buckets of the two code points before the last. All statistics of orders 3 to 6 are local to a bucket; those of orders 1 and 2 are summed
+over buckets in SQL. The estimates are modified Kneser-Ney (three discounts an order, continuation counts below the
+highest), kept in each bucket as a sorted array of 64-bit hashes beside their log-probabilities. Chunks then look their n-grams up
+bucket by bucket, and texts meet the answers of their chunk. Nothing of the model is gathered: it grows with the corpus,
+and what moves is a chunk's distinct n-grams, a few hundredths of its characters.
 
 Texts are dealt into two folds by a hash, and each is scored by the model of the other fold: a text does not
-vouch for its own words, nor do its copies.
+vouch for its own n-grams, nor do its copies.
 
 A text is rejected when its log-perplexity lies outside its language's band: the median of all texts of
 the language that meet the base rules, and so many distances of the quartile on that side. How many is set
@@ -16,15 +17,18 @@ for each language and side by labelled texts: the width at which the share of ba
 of good texts by most while at most MOST_GOOD of these leave; or WIDTH where no width rejects more of the bad
 texts, or fewer than LEAST_LABELLED texts of either kind are labelled.
 
-Edge cases: a null or empty text has no words and fails the base rules; null languages form a
-language of their own; texts that repeat count each time; an empty table gives an empty result;
-a quartile distance below LEAST_DISTANCE counts as that, so equal quartiles leave room for rounding only;
-a text whose labels disagree is bad.
+The table is read twice, for requests and for scores, and chunks are stretches of what a task reads: a table whose
+pieces differ between two reads (a shuffle's output, say) is to be written first; a difference is noticed and raises.
+
+Edge cases: a null or empty text has no words and fails the base rules, and has no perplexity; null languages form a
+language of their own; a very long text is a block of its own; texts that repeat count each time; an empty table gives an
+empty result; a quartile distance below LEAST_DISTANCE counts as that, so equal quartiles leave room for rounding only; of
+widths that gain alike the widest is taken; a text whose labels disagree is bad; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -32,10 +36,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import RollingHash, blocks, cut_lineage, mix64, row_identity, separated, text_buffer, word_bounds, written
+from palimpsest.llm.common import RollingHash, blocks, cut_lineage, mix64, separated, text_buffer, word_bounds, written
 
-ORDER = 4
-CLASSES = 32
+ORDER = 6
+#: Orders whose statistics are local to a bucket.
+LOCAL = range(3, ORDER + 1)
+BUCKET_BITS = 7
 WIDTH = 8.0
 LEAST_DISTANCE = 1e-6
 LEAST_LABELLED = 20
@@ -45,267 +51,408 @@ MOST_GOOD = 0.1
 MIN_WORDS = 50
 MOST_REPEATED = 50  # per cent of all words
 SYMBOLS = b"#*$%&|<>"
-#: Bytes of text that a task works on at once: its arrays take some eighty times as much.
-BLOCK = 1 << 18
-#: Languages whose counts a task holds before it passes them on.
-HELD_LANGUAGES = 8
+#: Bytes of text in a chunk, and that a task works on at once.
+CHUNK = 32 << 20
+BLOCK = 1 << 19
+#: Distinct n-grams that a task holds before it merges them.
+HELD = 1 << 20
 FOLDS = 2
-#: What stands before the first word and after the last one.
-BEGIN, END = np.uint64(1), np.uint64(2)
-SPACE, WORD, ALONE = 0, 1, 2
-
-
-def _class(b: int) -> int:
-    """0 for spaces and controls, 1 to 26 for letters, 27 digits, 28 and 29 marks, 30 and 31 bytes of other characters."""
-    c = chr(b).lower()
-    if b > 127:
-        return 30 + (b < 192)
-    if c.isalpha():
-        return ord(c) - 96
-    if c.isdigit():
-        return 27
-    return 28 if c in ".,;:!?'\"-()" else 0 if b <= 32 or b == 127 else 29
-
-
-FOLDED = np.array([_class(b) for b in range(256)], np.int32)
-#: Bytes that share a class: a byte has this share of the class's probability. Upper case does not come up in words.
-SHARED_BY = np.maximum(1, np.bincount(np.delete(FOLDED, np.arange(65, 91)), minlength=CLASSES))
-LOWERED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-#: Of a character, by its first byte.
-KIND = np.array([SPACE if b <= 32 or b == 127 else WORD if 192 <= b < 224 or b < 128 and chr(b).isalnum() else ALONE for b in range(256)], np.int8)
+#: What stands before the first code point and after the last one; bits of a code point.
+BEGIN, END = 1, 2
+POINT = np.uint64(21)
+ONE_POINT, TWO_POINTS = np.uint64((1 << 21) - 1), np.uint64((1 << 42) - 1)
+#: Log-probabilities are kept to so many parts of a bit.
+STEPS = 256
+
 IS_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 IS_SYMBOL = np.array([b in SYMBOLS for b in range(256)])
 
 
-def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each byte, and after the last one, of every text; and the text of each."""
-    data, offsets = text_buffer(texts)
-    n, pad = len(offsets) - 1, ORDER - 1
-    starts = offsets + np.arange(n + 1) * (pad + 1)
-    line = np.zeros(len(data) + n * (pad + 1), np.int32)
-    row = np.repeat(np.arange(n), np.diff(starts))
+class Grams(NamedTuple):
+    """N-grams as their first and last three code points, and how often each fold holds them."""
+
+    high: np.ndarray
+    low: np.ndarray
+    n: list[np.ndarray]
+
+
+def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last three code points of the n-gram that ends at each one, and after the last one, of every text; and the text of each."""
+    points = [np.frombuffer((t or "").lower().encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
+    size = np.array([len(p) for p in points], np.int64) * (np.array([bool(t) for t in texts], bool)) if points else np.zeros(0, np.int64)
+    full = np.where(size > 0, size + ORDER, 0)
+    line = np.full(int(full.sum()), BEGIN, np.uint64)
+    starts = np.cumsum(full) - full
+    row = np.repeat(np.arange(len(points)), full)
     place = np.arange(len(line)) - starts[row]
-    line[(place >= pad) & (place < np.diff(starts)[row] - 1)] = FOLDED[data]
-    key = np.zeros(max(0, len(line) - pad), np.int32)
-    for k in range(ORDER):
-        key = key * CLASSES + line[k : len(line) - pad + k]
-    own = place[pad:] >= pad
-    return key[own], row[pad:][own]
+    inner = (place >= ORDER - 1) & (place < full[row] - 1)
+    line[inner] = np.concatenate(points) if points else 0
+    line[place == full[row] - 1] = END
+    at = np.flatnonzero(place >= ORDER - 1)
+    three = line[:-2] << (POINT + POINT) | line[1:-1] << POINT | line[2:] if len(line) else line
+    return three[at - ORDER + 1], three[at - 2], row[at]
 
 
-def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, ngram, n): counts over all texts."""
+def hashes(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The hash of each n-gram; its first bits are those of the two code points before the last, so sorted hashes lie in buckets."""
+    context = mix64(low >> POINT) & np.uint64(0xFFFF000000000000)
+    return context | mix64(mix64(high) + low) >> np.uint64(16)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
-
-        def given() -> Iterator[pa.RecordBatch]:
-            for lang, counts in held.items():
-                seen = np.flatnonzero(counts)
-                columns = [pa.array([lang] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(counts[seen], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "ngram", "n"])
-            held.clear()
-
-        for block in blocks(batches, 1, BLOCK):
-            key, row = ngrams(block.column(1))
-            names, code = np.unique(np.array(block.column(0).to_pylist(), object).astype(str), return_inverse=True)
-            for k, lang in enumerate(names.tolist()):
-                if lang not in held and len(held) >= HELD_LANGUAGES:
-                    yield from given()
-                counts = held.setdefault(lang, np.zeros(CLASSES**ORDER, np.int64))
-                own = key[code[row] == k] if len(names) > 1 else key
-                np.add.at(counts, own, 1)
-        yield from given()
-
-    rows = docs.select(F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "lang string, ngram int, n long").groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
-
-
-class HashArrays(NamedTuple):
-    """By order: sorted n-gram hashes and their log-probabilities; sorted context hashes and their log back-off weights."""
-
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    contexts: list[tuple[np.ndarray, np.ndarray]]
-
-    def log2(self, key: np.ndarray) -> np.ndarray:
-        """Log-probabilities of n-grams of the highest order."""
-        out = np.zeros(len(key))
-        open_ = np.arange(len(key))
-        for order in range(ORDER, 0, -1):
-            gram = key[open_] % CLASSES**order
-            found, value = _look(self.grams[order - 1], gram)
-            out[open_[found]] += value[found]
-            open_, gram = open_[~found], gram[~found]
-            if not len(open_):
-                return out
-            seen, weight = _look(self.contexts[order - 1], gram // CLASSES)
-            out[open_[seen]] += weight[seen]
-        out[open_] -= np.log2(CLASSES)
-        return out
-
-
-def _hash(key: np.ndarray) -> np.ndarray:
-    return mix64(key.astype(np.uint64) + np.uint64(1))
-
-
-def _look(arrays: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    hashes, values = arrays
-    if not len(hashes):
-        return np.zeros(len(key), bool), np.zeros(len(key))
-    wanted = _hash(key)
-    at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
-    return hashes[at] == wanted, values[at]
-
-
-def _sorted(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    hashes = _hash(key)
-    by = np.argsort(hashes)
-    return hashes[by], value[by].astype(np.float32)
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """The discounts of counts 1, 2 and 3 or more."""
-    n1, n2, n3, n4 = (float((counts == k).sum()) for k in (1, 2, 3, 4))
-    if not n1 or not n2:
-        return np.array([0.5, 0.5, 0.5])
-    y = n1 / (n1 + 2 * n2)
-    out = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-    return np.array([min(max(d, 0.05), k) for d, k in zip(out, (1, 2, 3), strict=True)])
-
-
-def kneser_ney(ngram: np.ndarray, n: np.ndarray) -> HashArrays:
-    """Modified Kneser-Ney estimates, interpolated, from the counts of the highest order."""
-    counts = np.zeros(CLASSES**ORDER, np.int64)
-    counts[ngram] = n
-    by_order = [counts]
-    for order in range(ORDER - 1, 0, -1):
-        by_order.insert(0, (by_order[0].reshape(CLASSES, CLASSES**order) > 0).sum(axis=0))
-    grams, contexts = [], []
-    lower = np.full(1, 1 / CLASSES)
-    for order, own in enumerate(by_order, 1):
-        table = own.reshape(-1, CLASSES).astype(np.float64)
-        discount = np.concatenate([[0], _discounts(own)])[np.minimum(table, 3).astype(np.int64)]
-        total = table.sum(axis=1, keepdims=True)
-        spare = np.divide(discount.sum(axis=1, keepdims=True), total, out=np.ones_like(total), where=total > 0)
-        below = np.tile(lower.reshape(-1, CLASSES), (CLASSES, 1)) if order > 1 else np.full((1, CLASSES), lower[0])
-        share = np.divide(table - discount, total, out=np.zeros_like(table), where=total > 0) + spare * below
-        seen, known = np.flatnonzero(own), np.flatnonzero(total.ravel())
-        grams.append(_sorted(seen, np.log2(share.ravel()[seen])))
-        contexts.append(_sorted(known, np.log2(spare.ravel()[known])))
-        lower = share.ravel()
-    return HashArrays(grams, contexts)
-
-
-def spelling(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, HashArrays]:
-    """The hash arrays of characters of each language, from counts over all of `docs`; at most 2 to the 20th n-grams a language."""
-    rows = counted(docs, text_col, lang_col).toArrow().to_pandas()
-    return {lang: kneser_ney(own["ngram"].to_numpy(), own["n"].to_numpy()) for lang, own in rows.groupby("lang")}
-
-
-def spelled(words: list[bytes], arrays: HashArrays) -> np.ndarray:
-    """Log-probabilities of the spelling of each word, its end included."""
-    texts = pa.array(words, pa.binary()).cast(pa.string())
-    key, row = ngrams(texts)
-    distinct, at = np.unique(key, return_inverse=True)
-    own = arrays.log2(distinct) - np.where(distinct % CLASSES > 0, np.log2(SHARED_BY[distinct % CLASSES]), 0)
-    return np.bincount(row, weights=own[at], minlength=len(words))
-
-
-def word_ngrams(texts: pa.Array, rolling: RollingHash) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """Hashes of the three words that end at each word, and after the last one, of every text; the text of
-    each; all distinct words; and which of these is the last of the three."""
-    data, offsets = separated(texts)
-    data, n, place = LOWERED[data], len(offsets) - 1, np.arange(len(data))
-    lead = np.maximum.accumulate(np.where(data & 0xC0 == 0x80, 0, place))
-    kind = KIND[data[lead]]
-    begins = (lead == place) & ((kind == ALONE) | (kind == WORD) & (np.concatenate([[SPACE], kind[:-1]]) != WORD))
-    starts, stops = np.flatnonzero(begins), np.flatnonzero(begins | (kind == SPACE))
-    ends = stops[np.searchsorted(stops, starts, side="right")]
-    of = np.searchsorted(offsets, starts, side="right") - 1
-    rolling.load(data)
-    word = rolling.of(starts, ends)
-    size = np.bincount(of, minlength=n) + 3
-    at = np.concatenate([[0], np.cumsum(size)])
-    line, row = np.full(at[-1], BEGIN), np.repeat(np.arange(n), size)
-    line[np.arange(len(word)) + 3 * of + 2] = word
-    line[at[1:] - 1] = END
-    own = np.arange(at[-1]) - at[row] >= 2
-    last = np.flatnonzero(own)
-    _, first, code = np.unique(line[last], return_index=True, return_inverse=True)
-    nth = np.cumsum(own & (line != END)) - 1
-    held = data.tobytes()
-    words = [b"" if line[k] == END else held[starts[nth[k]] : ends[nth[k]]] for k in last[first].tolist()]
-    return np.stack([line[last - 2], line[last - 1], line[last]]), row[last], words, code
-
-
-def counted_words(docs: DataFrame, arrays: dict[str, HashArrays], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(row, lang, fold, u, v, w, spelled, n): the distinct n-grams of every row, and the log-probability of w's spelling."""
-    sent = docs.sparkSession.sparkContext.broadcast(arrays)
-    names = ["row", "lang", "fold", "u", "v", "w", "spelled", "n"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = RollingHash()
-        for block in blocks(batches, 3, BLOCK):
-            langs = np.array(block.column(1).to_pylist(), object).astype(str)
-            for lang in np.unique(langs).tolist():
-                own = block.filter(pa.array(langs == lang))
-                grams, row, words, code = word_ngrams(own.column(3), rolling)
-                mixed = row.astype(np.uint64)
-                for part in grams:
-                    mixed = mix64(mixed + part)
-                _, first, n = np.unique(mixed, return_index=True, return_counts=True)
-                row, ids = row[first], [pa.array(g[first].view(np.int64)) for g in grams]
-                bits = spelled(words, sent.value[lang])[code[first]]
-                columns = [own.column(0).take(pa.array(row)), pa.array([lang] * len(row), pa.string()), own.column(2).take(pa.array(row)), *ids, pa.array(bits), pa.array(n, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+def merged(parts: list[Grams]) -> Grams:
+    """Distinct n-grams in the order of their hashes, with summed counts."""
+    high, low, *n = (np.concatenate(c) for c in zip(*((g.high, g.low, *g.n) for g in parts), strict=True))
+    key = hashes(high, low)
+    by = np.argsort(key, kind="stable")
+    firsts = np.flatnonzero(np.concatenate([[True], key[by][1:] != key[by][:-1]])) if len(by) else by
+    return Grams(high[by][firsts], low[by][firsts], [np.add.reduceat(c[by], firsts) if len(by) else c for c in n])
+
+
+def sorted_by_points(grams: Grams) -> Grams:
+    by = np.lexsort((grams.low, grams.high))
+    return Grams(grams.high[by], grams.low[by], [c[by] for c in grams.n])
+
 
+def _pack(columns: list[np.ndarray], kind: str) -> bytes:
+    planes = np.stack(columns).astype(kind)
+    n = planes.shape[1]
+    raw = planes.view(np.uint8).reshape(len(columns), n, -1).transpose(0, 2, 1).tobytes()
+    return n.to_bytes(4, "little") + bytes(pa.compress(raw, "zstd"))
+
+
+def _unpack(blob: bytes, columns: int, kind: str) -> np.ndarray:
+    n, width = int.from_bytes(blob[:4], "little"), np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(blob[4:], columns * n * width, "zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(columns, width, n).transpose(0, 2, 1)).view(kind).reshape(columns, n)
+
+
+def packed(grams: Grams) -> bytes:
+    points = [part >> shift & ONE_POINT for part in (grams.high, grams.low) for shift in (POINT + POINT, POINT, np.uint64(0))]
+    return _pack([*points, *grams.n], "<u4")
+
+
+def unpacked(blob: bytes) -> Grams:
+    c = _unpack(blob, 6 + FOLDS, "<u4").astype(np.uint64)
+    three = lambda k: c[k] << (POINT + POINT) | c[k + 1] << POINT | c[k + 2]
+    return Grams(three(0), three(3), [v.astype(np.int64) for v in c[6:]])
+
+
+# ---- requests: the distinct n-grams of chunks
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
-    rows = docs.select(_row(id_col, text_col, lang_col), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int").alias("fold"), text.alias("text"))
-    return rows.mapInArrow(run, "row long, lang string, fold int, u long, v long, w long, spelled double, n long")
+    return docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int").alias("fold"), text.alias("__text"), F.spark_partition_id().alias("part"))
+
+
+def chunked(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(chunk, block): chunks are stretches of CHUNK bytes of text of what the task reads, whatever batches it comes in."""
+    read = 0
+    for block in blocks(batches, 3, BLOCK):
+        part = block.column(4)[0].as_py()
+        _, offsets = text_buffer(block.column(3))
+        number = (read + offsets[:-1]) // CHUNK
+        read += int(offsets[-1])
+        cuts = np.flatnonzero(np.diff(number)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), block.num_rows], strict=True):
+            yield part << 32 | int(number[a]), block.slice(a, b - a)
+
+
+def _by_language(block: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
+    langs = np.array(block.column(1).to_pylist(), object).astype(str)
+    for lang in np.unique(langs).tolist():
+        yield lang, block.filter(pa.array(langs == lang))
+
+
+def counted(block: pa.RecordBatch) -> list[Grams]:
+    """The distinct n-grams of a block of rows of one language, fold by fold."""
+    high, low, row = ngrams(block.column(3).to_pylist())
+    fold, key = block.column(2).to_numpy()[row], hashes(high, low)
+    out = []
+    for f in range(FOLDS):
+        own = np.flatnonzero(fold == f)
+        _, first, n = np.unique(key[own], return_index=True, return_counts=True)
+        out.append(Grams(high[own[first]], low[own[first]], [n if k == f else np.zeros_like(n) for k in range(FOLDS)]))
+    return out
+
+
+REQUESTS = "chunk long, lang string, bucket int, blob binary"
+
+
+def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[str, list[Grams]] = {}
+    size, current = 0, None
+
+    def given() -> Iterator[pa.RecordBatch]:
+        for lang, parts in held.items():
+            grams = merged(parts)
+            bucket = (hashes(grams.high, grams.low) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            rows = []
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True):
+                if b > a:
+                    own = Grams(grams.high[a:b], grams.low[a:b], [c[a:b] for c in grams.n])
+                    rows.append((current, lang, int(bucket[a]), packed(sorted_by_points(own))))
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int32(), pa.binary()), strict=True)], names=["chunk", "lang", "bucket", "blob"])
+        held.clear()
+
+    for chunk, block in chunked(batches):
+        if chunk != current:
+            yield from given()
+            current, size = chunk, 0
+        for lang, own in _by_language(block):
+            new = counted(own)
+            held.setdefault(lang, []).extend(new)
+            size += sum(len(g.high) for g in new)
+        if size > HELD:
+            for lang, parts in held.items():
+                held[lang] = [merged(parts)]
+            size = 0
+    yield from given()
+
+
+# ---- the model
+
+
+class Level(NamedTuple):
+    """The types of one order, sorted by their code points."""
+
+    of: np.ndarray  # for each type of the order above: its type here
+    context: np.ndarray  # of each type, numbered
+    low: np.ndarray
+
+
+def levels(grams: Grams) -> dict[int, Level]:
+    """Types and contexts of the local orders, from distinct n-grams sorted by their code points."""
+    high, low = grams.high, grams.low
+    of = np.arange(len(high))
+    out = {}
+    for order in reversed(LOCAL):
+        if order < ORDER:
+            high = high & np.uint64((1 << 21 * (order - 3)) - 1)
+            by = np.lexsort((low, high))
+            high, low = high[by], low[by]
+            new = np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
+            of = np.empty(len(by), np.int64)
+            of[by] = np.cumsum(new) - 1
+            high, low = high[new], low[new]
+        outer = low >> POINT
+        context = np.cumsum(np.concatenate([[True], (high[1:] != high[:-1]) | (outer[1:] != outer[:-1])])) - 1
+        out[order] = Level(of, context, low)
+    return out
+
+
+def counts_by_order(n: np.ndarray, types: dict[int, Level]) -> dict[int, np.ndarray]:
+    """Counts of the highest order, and below it how many types of the order above end in each."""
+    out = {ORDER: n}
+    for order in range(ORDER - 1, LOCAL[0] - 1, -1):
+        out[order] = np.bincount(types[order].of[out[order + 1] > 0], minlength=len(types[order].low))
+    return out
+
+
+MODEL = "lang string, bucket int, kind string, order int, model int, a long, b long, c long, d long, blob binary"
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with the same first `keys` values, a batch's part of a run at a time."""
+    for batch in batches:
+        run: list[tuple] = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if run and run[-1][:keys] != row[:keys]:
+                yield run[-1][:keys], run
+                run = []
+            run.append(row)
+        if run:
+            yield run[-1][:keys], run
+
+
+def _model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, bucket, blob), sorted, to MODEL: the bucket's n-grams, its pairs and its counts of counts."""
+    current, parts = None, []
+
+    def given() -> pa.RecordBatch:
+        lang, bucket = current
+        grams = sorted_by_points(merged(parts))
+        types = levels(grams)
+        by_model = [counts_by_order(n, types) for n in grams.n]
+        rows = [(lang, bucket, "grams", None, None, None, None, None, None, packed(grams))]
+        last_two, pair = np.unique(types[3].low & TWO_POINTS, return_inverse=True)
+        pairs = [np.bincount(pair[counts[3] > 0], minlength=len(last_two)).tolist() for counts in by_model]
+        for two, *n in zip(last_two.tolist(), *pairs, strict=True):
+            rows.append((lang, bucket, "pairs", 2, None, two >> 21, two & (1 << 21) - 1, *n, None))
+        for model, counts in enumerate(by_model):
+            rows += [(lang, bucket, "counts", order, model, *(int((n == k).sum()) for k in (1, 2, 3, 4)), None) for order, n in counts.items()]
+        types_ = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types_, strict=True)], names=[c.split()[0] for c in MODEL.split(", ")])
+
+    for key, run in _grouped(batches, 2):
+        if current not in (None, key):
+            yield given()
+            parts = []
+        current = key
+        parts += [unpacked(blob) for *_, blob in run]
+        if sum(len(g.high) for g in parts) > HELD:
+            parts = [merged(parts)]
+    if current is not None:
+        yield given()
+
+
+def _discounts(n: tuple[int, ...]) -> list[float]:
+    """The discounts of counts 1, 2 and 3 or more, from how many types have the counts 1 to 4."""
+    n1, n2, n3, n4 = n
+    if not n1 or not n2:
+        return [0.5, 0.5, 0.5]
+    y = n1 / (n1 + 2 * n2)
+    out = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+    return [min(max(d, 0.05), k) for d, k in zip(out, (1, 2, 3), strict=True)]
 
 
-def _row(id_col: str, text_col: str, lang_col: str) -> Column:
-    return F.xxhash64(row_identity(id_col, text_col), F.coalesce(F.col(lang_col), F.lit(""))).alias("row")
+DISCOUNTS = """CASE WHEN n1 = 0 OR n2 = 0 THEN 0.5D ELSE least(greatest(1 - 2 * n1 / (n1 + 2 * n2) * n2 / nullif(n1, 0), 0.05), 1) END AS d1,
+CASE WHEN n1 = 0 OR n2 = 0 THEN 0.5D ELSE least(greatest(2 - 3 * n1 / (n1 + 2 * n2) * n3 / nullif(n2, 0), 0.05), 2) END AS d2,
+CASE WHEN n1 = 0 OR n2 = 0 THEN 0.5D ELSE least(greatest(coalesce(3 - 4 * n1 / (n1 + 2 * n2) * n4 / nullif(n3, 0), 1.5), 0.05), 3) END AS d3"""
 
 
-def _estimates(rows: DataFrame, words: list[str]) -> DataFrame:
-    """`rows` (lang, model, words, c, wanted, ...) that are wanted, with the discounted `share` of the last word after
-    the others, and the `spare` share that goes to the order below."""
+def _estimates(rows: DataFrame, points: list[str]) -> DataFrame:
+    """`rows` (lang, model, points, c, below) with p, the estimate of the last point after the others; `below` is that of the order below."""
     key = ["lang", "model"]
-    seen = rows.where("c > 0")
-    discounts = seen.groupBy(key).agg(*[F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
-    discounts = discounts.selectExpr(
-        *key,
-        "n1 = 0 OR n2 = 0 AS few",
-        "least(greatest(1 - 2 * n1 / (n1 + 2 * n2) * n2 / nullif(n1, 0), 0.05), 1) AS d1",
-        "least(greatest(2 - 3 * n1 / (n1 + 2 * n2) * n3 / nullif(n2, 0), 0.05), 2) AS d2",
-        "least(greatest(coalesce(3 - 4 * n1 / (n1 + 2 * n2) * n4 / nullif(n3, 0), 1.5), 0.05), 3) AS d3",
-    )
-    rows = rows.join(F.broadcast(discounts), key, "left")
-    off = F.expr("CASE WHEN c = 0 THEN 0D WHEN few THEN 0.5D WHEN c = 1 THEN d1 WHEN c = 2 THEN d2 ELSE d3 END")
-    rows = rows.withColumn("off", F.coalesce(off, F.lit(0.0))).drop("few", "d1", "d2", "d3")
-    context = key + words[:-1]
-    totals = rows.where("c > 0").groupBy(context).agg(F.sum("c").alias("total"), F.sum("off").alias("all_off"))
-    found = rows.where("wanted").join(totals if words[:-1] else F.broadcast(totals), context, "left")
-    return found.withColumn("share", F.coalesce((F.col("c") - F.col("off")) / F.col("total"), F.lit(0.0))).withColumn("spare", F.coalesce(F.col("all_off") / F.col("total"), F.lit(1.0)))
-
-
-#: Of `share`, `spare` and the log-probability `low` of the order below, which may be too small for a power of 2.
-LOG2 = "CASE WHEN share = 0 THEN log2(spare) + low ELSE log2(share + spare * power(2, low)) END AS log2"
-
-
-def word_model(grams: DataFrame) -> DataFrame:
-    """(lang, model, u, v, w, log2): for every n-gram of a fold, its log-probability under the model of the other fold."""
-    by_fold = [F.sum(F.when(F.col("fold") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(FOLDS)]
-    threes = grams.groupBy("lang", "u", "v", "w").agg(*by_fold, F.max("spelled").alias("spelled"))
-    threes = cut_lineage(threes.selectExpr("lang", "u", "v", "w", "spelled", "inline(array(struct(0 AS model, n1 AS c, n0 > 0 AS wanted), struct(1 AS model, n0 AS c, n1 > 0 AS wanted)))"))
-    below = [F.count_if(F.col("c") > 0).alias("c"), F.max("wanted").alias("wanted"), F.max("spelled").alias("spelled")]
-    twos = cut_lineage(threes.groupBy("lang", "model", "v", "w").agg(*below))
-    ones = cut_lineage(twos.groupBy("lang", "model", "w").agg(*below))
-    one = _estimates(ones, ["w"]).withColumnRenamed("spelled", "low").selectExpr("lang", "model", "w", LOG2)
-    two = _estimates(twos, ["v", "w"]).join(one.withColumnRenamed("log2", "low"), ["lang", "model", "w"]).selectExpr("lang", "model", "v", "w", LOG2)
-    three = _estimates(threes, ["u", "v", "w"]).join(two.withColumnRenamed("log2", "low"), ["lang", "model", "v", "w"])
-    return written(three.selectExpr("lang", "model", "u", "v", "w", LOG2), "ngrams")
+    counts = rows.groupBy(key).agg(*[F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
+    off = F.expr("CASE WHEN c = 0 THEN 0D WHEN c = 1 THEN d1 WHEN c = 2 THEN d2 ELSE d3 END")
+    rows = rows.join(F.broadcast(counts.selectExpr(*key, *DISCOUNTS.split(",\n"))), key).withColumn("off", off)
+    context = key + points[:-1]
+    totals = rows.groupBy(context).agg(F.sum("c").alias("total"), F.sum("off").alias("all_off"))
+    both = rows.join(totals, context)
+    share = F.expr("CASE WHEN total = 0 THEN below ELSE (c - off) / total + all_off / total * below END")
+    return both.select(*key, *points, share.alias("p"))
+
+
+def _pair_estimates(pairs: DataFrame) -> DataFrame:
+    """(lang, bucket, c5, c6, p0, p1) of each pair that a bucket needs, from (lang, bucket, c5, c6, n0, n1)."""
+    models = "inline(array(struct(0 AS model, n0 AS c), struct(1 AS model, n1 AS c)))"
+    twos = cut_lineage(pairs.groupBy("lang", "c5", "c6").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).selectExpr("lang", "c5", "c6", models))
+    ones = twos.groupBy("lang", "model", "c6").agg(F.count_if(F.col("c") > 0).alias("c"))
+    size = ones.groupBy("lang", "model").agg((1 / F.count(F.lit(1))).alias("below"))  # every code point of the language is as likely
+    one = _estimates(ones.join(F.broadcast(size), ["lang", "model"]), ["c6"]).withColumnRenamed("p", "below")
+    two = _estimates(twos.join(one, ["lang", "model", "c6"]), ["c5", "c6"])
+    both = two.groupBy("lang", "c5", "c6").agg(*[F.max(F.when(F.col("model") == m, F.col("p"))).alias(f"p{m}") for m in range(FOLDS)])
+    return pairs.select("lang", "bucket", "c5", "c6").join(both, ["lang", "c5", "c6"])
+
+
+def hash_array(grams: Grams, pairs: list[tuple], discounts: dict[tuple[int, int], list[float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of a bucket's n-grams, and their log-probabilities under each model, in STEPS of a bit.
+
+    `pairs` are (c5, c6, estimate of each model), `discounts` by order and model.
+    """
+    types = levels(grams)
+    known = sorted(pairs)
+    two = np.array([a << 21 | b for a, b, *_ in known], np.uint64)
+    at = np.searchsorted(two, types[3].low & TWO_POINTS)
+    values = []
+    for model, n in enumerate(grams.n):
+        counts = counts_by_order(n, types)
+        p = np.array([row[2 + model] for row in known])[at]
+        for order in LOCAL:
+            c, context = counts[order], types[order].context
+            if order > LOCAL[0]:
+                p = p[types[order - 1].of]
+            off = np.array([0.0, *discounts[order, model]])[np.minimum(c, 3)]
+            total, spare = np.bincount(context, weights=c), np.bincount(context, weights=off)
+            whole = np.maximum(total, 1)
+            p = np.where(total[context] > 0, (c - off) / whole[context] + (spare / whole)[context] * p, p)
+        values.append(np.round(np.log2(p) * STEPS).clip(-32768, 0).astype(np.int16))
+    key = hashes(grams.high, grams.low)
+    by = np.argsort(key, kind="stable")
+    return key[by], np.stack(values)[:, by]
+
+
+ANSWERS = "chunk long, lang string, bucket int, blob binary"
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, bucket, rank, chunk, a, b, x, y, z, blob), sorted, to ANSWERS: discounts and pairs come first, then the n-grams, then requests."""
+    current, array = None, None
+    pairs: list[tuple] = []
+    discounts: dict[tuple[int, int], list[float]] = {}
+    for key, run in _grouped(batches, 2):
+        if key != current:
+            current, array, pairs, discounts = key, None, [], {}
+        found = []
+        for _, _, rank, chunk, a, b, x, y, z, blob in run:
+            if rank == 0:
+                discounts[a, b] = [x, y, z]
+            elif rank == 1:
+                pairs.append((a, b, x, y))
+            elif rank == 2:
+                array = hash_array(unpacked(blob), pairs, discounts)
+            else:
+                asked = unpacked(blob)
+                wanted = np.sort(hashes(asked.high, asked.low))
+                found.append((chunk, *key, _pack(list(array[1][:, np.searchsorted(array[0], wanted)]), "<i2")))
+        if found:
+            columns = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int32(), pa.binary()), strict=True)], names=["chunk", "lang", "bucket", "blob"])
+
+
+def answers(requests: DataFrame) -> DataFrame:
+    """The log-probabilities that each chunk asks for, bucket by bucket, in the order of the hashes."""
+    ordered = requests.select("lang", "bucket", "blob").repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
+    model = written(ordered.mapInArrow(_model, MODEL), "ngrams")
+    pairs = _pair_estimates(model.where("kind = 'pairs'").selectExpr("lang", "bucket", "a AS c5", "b AS c6", "c AS n0", "d AS n1"))
+    sums = [F.sum(c).cast("double").alias(f"n{k}") for k, c in enumerate("abcd", 1)]
+    off = model.where("kind = 'counts'").groupBy("lang", "order", "model").agg(*sums).selectExpr("lang", "order", "model", *DISCOUNTS.split(",\n"))
+    grams = model.where("kind = 'grams'")
+    off = grams.select("lang", "bucket").join(F.broadcast(off), "lang")  # a few rows a language
+    none = "CAST(NULL AS BIGINT)"
+    rows = [
+        off.selectExpr("lang", "bucket", "0 AS rank", f"{none} AS chunk", "CAST(order AS BIGINT) AS a", "CAST(model AS BIGINT) AS b", "d1 AS x", "d2 AS y", "d3 AS z", "CAST(NULL AS BINARY) AS blob"),
+        pairs.selectExpr("lang", "bucket", "1 AS rank", f"{none} AS chunk", "c5 AS a", "c6 AS b", "p0 AS x", "p1 AS y", "0D AS z", "CAST(NULL AS BINARY) AS blob"),
+        grams.selectExpr("lang", "bucket", "2 AS rank", f"{none} AS chunk", f"{none} AS a", f"{none} AS b", "0D AS x", "0D AS y", "0D AS z", "blob"),
+        requests.selectExpr("lang", "bucket", "3 AS rank", "chunk", f"{none} AS a", f"{none} AS b", "0D AS x", "0D AS y", "0D AS z", "blob"),
+    ]
+    every = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    return every.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket", "rank").mapInArrow(_answers, ANSWERS)
+
+
+# ---- scores
+
+
+def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows as packed record batches, with their chunk."""
+    for chunk, block in chunked(batches):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(block)
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([None], pa.string()), pa.array([None], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "lang", "bucket", "blob"])
+
+
+def _scored(held: list[bytes], known: dict[str, list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of one chunk with counts and log-perplexity."""
+    texts = [pa.ipc.open_stream(blob).read_next_batch for blob in held]
+    distinct: dict[str, list[np.ndarray]] = {}
+    for read in texts:
+        for lang, own in _by_language(read()):
+            high, low, _ = ngrams(own.column(3).to_pylist())
+            parts = distinct.setdefault(lang, [])
+            parts.append(np.unique(hashes(high, low)))
+            if sum(map(len, parts)) > HELD:
+                parts[:] = [np.unique(np.concatenate(parts))]
+    arrays = {}
+    for lang, parts in distinct.items():
+        keys, values = np.unique(np.concatenate(parts)), np.concatenate(known.get(lang, [np.zeros((FOLDS, 0), np.int16)]), axis=1)
+        if len(keys) != values.shape[1]:
+            raise ValueError("the table was read in other pieces the second time; write it first")
+        arrays[lang] = keys, values
+    rolling = RollingHash()
+    for blob in held:
+        for lang, own in _by_language(pa.ipc.open_stream(blob).read_next_batch()):
+            high, low, row = ngrams(own.column(3).to_pylist())
+            keys, values = arrays[lang]
+            other = 1 - own.column(2).to_numpy()[row]
+            bits = values[other, np.searchsorted(keys, hashes(high, low))] if len(keys) else np.zeros(0)
+            n = np.bincount(row, minlength=own.num_rows)
+            mean = -np.bincount(row, weights=bits, minlength=own.num_rows) / STEPS / np.maximum(n, 1)
+            counts = [pa.array(c, pa.int64()) for c in base_counts(own.column(3), rolling)]
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *counts, pa.array(mean, pa.float64(), mask=n == 0)], names=names)
 
 
 def base_counts(texts: pa.Array, rolling: RollingHash) -> list[np.ndarray]:
@@ -355,22 +502,31 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, lang, the base counts, log_perplexity): bits for each word under the model of the row's language and the other fold."""
+    """(id, lang, the base counts, log_perplexity): bits for each code point under the model of the row's language and the other fold."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    grams = cut_lineage(counted_words(docs, spelling(docs, text_col, lang_col), id_col, text_col, lang_col))
-    model = word_model(grams).withColumnRenamed("model", "fold")
-    bits = grams.join(model, ["lang", "fold", "u", "v", "w"]).groupBy("row").agg((-F.sum(F.col("n") * F.col("log2")) / F.sum("n")).alias("log_perplexity"))
+    rows = _rows(docs, id_col, text_col, lang_col)
+    requests = written(rows.mapInArrow(_requests, REQUESTS), "requests")
+    names = [id_col, "lang", *COUNTS, "log_perplexity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = RollingHash()
-        for block in blocks(batches, 3, BLOCK):
-            columns = [pa.array(c, pa.int64()) for c in base_counts(block.column(3), rolling)]
-            yield pa.RecordBatch.from_arrays([*block.columns[:3], *columns], names=["row", id_col, "lang", *COUNTS])
-
-    rows = docs.select(_row(id_col, text_col, lang_col), id_col, F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text"))
+        current, held, known = None, [], {}
+        for (chunk,), part in _grouped(batches, 1):
+            if chunk != current and held:
+                yield from _scored(held, known, names)
+            if chunk != current:
+                current, held, known = chunk, [], {}
+            for _, lang, _, blob in part:  # answers come first, in the order of languages and buckets
+                if lang is None:
+                    held.append(blob)
+                else:
+                    known.setdefault(lang, []).append(_unpack(blob, FOLDS, "<i2"))
+        if held:
+            yield from _scored(held, known, names)
+
+    every = answers(requests).unionByName(rows.mapInArrow(_sent, ANSWERS))
+    ordered = every.repartition("chunk").sortWithinPartitions("chunk", F.col("lang").isNull(), "lang", "bucket")
     counts = ", ".join(f"{c} long" for c in COUNTS)
-    counted = rows.mapInArrow(run, f"row long, `{id_col}` {id_type}, lang string, {counts}")
-    return counted.join(bits, "row", "left").drop("row")
+    return ordered.select("chunk", "lang", "bucket", "blob").mapInArrow(run, f"`{id_col}` {id_type}, lang string, {counts}, log_perplexity double")
 
 
 def _widths(rows: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:

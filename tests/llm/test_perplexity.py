@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from palimpsest.llm import perplexity as p
 from palimpsest.llm.common import RollingHash
@@ -33,15 +34,69 @@ def test_base_counts(texts):
     assert np.array(got).T.tolist() == [base(t) for t in texts]
 
 
-def test_probabilities_of_every_context_sum_to_one():
+def kneser_ney(texts, alphabet):
+    """Plain interpolated modified Kneser-Ney of order 6: p(context, symbol) from lists of code points."""
+    lines = [[p.BEGIN] * 5 + [ord(c) for c in t.lower()] + [p.END] for t in texts if t]
+    grams = Counter(tuple(line[k - 5 : k + 1]) for line in lines for k in range(5, len(line)))
+    by_order = {6: grams}
+    for order in range(5, 0, -1):
+        by_order[order] = Counter(g[1:] for g in by_order[order + 1])
+    discounts = {k: p._discounts(tuple(sum(n == j for n in c.values()) for j in (1, 2, 3, 4))) for k, c in by_order.items()}
+
+    def off(order, n):
+        return discounts[order][min(n, 3) - 1]
+
+    def prob(gram):
+        order = len(gram)
+        below = prob(gram[1:]) if order > 1 else 1 / len(alphabet)
+        after = {g: n for g, n in by_order[order].items() if g[:-1] == gram[:-1]}
+        total = sum(after.values())
+        if not total:
+            return below
+        own = after.get(gram, 0)
+        return (own - off(order, own) if own else 0) / total + sum(off(order, n) for n in after.values()) / total * below
+
+    return prob
+
+
+def test_log_perplexities_match_plain_kneser_ney(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abé я") for _ in range(rng.randint(1, 40))) for _ in range(30)] + ["", None, "Same text", "Same text", "İx"]
+    table = spark.createDataFrame([(k, t, None, "x") for k, t in enumerate(texts)], "doc_id long, text string, lang string, fold string").repartition(3)
+    table = p.written(table, "texts")
+    fold = {r.doc_id: r.f for r in table.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(2)).alias("f")).collect()}
+    got = {r.doc_id: r.log_perplexity for r in p.measured(table).collect()}
+    alphabet = {ord(c) for t in texts if t for c in t.lower()} | {p.END}
+    models = [kneser_ney([t for k, t in enumerate(texts) if fold[k] == f], alphabet) for f in (0, 1)]
+    for k, text in enumerate(texts):
+        if not text:
+            assert got[k] is None
+            continue
+        line = [p.BEGIN] * 5 + [ord(c) for c in text.lower()] + [p.END]
+        bits = [-np.log2(models[1 - fold[k]](tuple(line[j - 5 : j + 1]))) for j in range(5, len(line))]
+        assert abs(got[k] - sum(bits) / len(bits)) < 0.01
+
+
+def test_hash_arrays_hold_probabilities_that_sum_to_one():
     rng = np.random.default_rng(0)
-    key = rng.integers(0, 32, 3000)
-    grams = key[3:] + 32 * key[2:-1] + 1024 * key[1:-2] + 32768 * key[:-3]
-    ngram, n = np.unique(grams, return_counts=True)
-    model = p.kneser_ney(ngram, n)
-    for context in (int(ngram[5]) // 32, 12345):
-        total = (2.0 ** model.log2(np.arange(32) + 32 * context)).sum()
-        assert abs(total - 1) < 1e-3
+    text = "".join("abc"[k] for k in rng.integers(0, 3, 3000))
+    block = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["en"]), pa.array([0], pa.int32()), pa.array([text])], names=["__id", "lang", "fold", "__text"])
+    grams = p.sorted_by_points(p.merged(p.counted(block)))
+    types = p.levels(grams)
+    discounts = {(o, m): p._discounts(tuple(int((c == k).sum()) for k in (1, 2, 3, 4))) for m in (0, 1) for o, c in p.counts_by_order(grams.n[m], types).items()}
+    pairs = [(a, b, 0.25, 0.25) for a in (1, 97, 98, 99) for b in (2, 97, 98, 99)]
+    high, low = (np.array([97 << 42 | 98 << 21 | 99], np.uint64), np.array([97 << 42 | 98 << 21 | b for b in (2, 97, 98, 99)], np.uint64))
+    every = p.sorted_by_points(p.merged([grams, p.Grams(np.repeat(high, 4), low, [np.zeros(4, np.int64)] * 2)]))
+    keys, values = p.hash_array(every, pairs, discounts)
+    at = np.searchsorted(keys, p.hashes(np.repeat(high, 4), low))
+    assert abs((2.0 ** (values[0][at] / p.STEPS)).sum() - 1) < 0.01
+    assert (np.diff(keys.astype(object)) > 0).all()
+
+
+def test_packed_ngrams_come_back():
+    grams = p.merged([p.Grams(np.array([0x10FFFF << 42 | 5, 7], np.uint64), np.array([1 << 42 | 0x10FFFF, 9], np.uint64), [np.array([3, 0]), np.array([0, 70_000])])] * 2)
+    back = p.unpacked(p.packed(grams))
+    assert all((a == b).all() for a, b in zip((grams.high, grams.low, *grams.n), (back.high, back.low, *back.n), strict=True)) and grams.n[0].max() == 6
 
 
 def test_gibberish_is_outside_its_band(spark):
@@ -82,18 +137,16 @@ def test_order_and_letters_of_any_script_count(spark):
         assert got[f"{lang} letters 119"].log_perplexity > real + 0.5
 
 
-def test_word_probabilities_sum_to_one_and_a_text_does_not_vouch_for_itself(spark):
-    rows = [(0, 0, 5, 6, 7, 3), (0, 0, 5, 6, 8, 1), (0, 0, 9, 6, 7, 1), (0, 0, 9, 6, 9, 2)] + [(1, 1, 5, 6, w, 1) for w in (7, 8, 9)]
-    grams = spark.createDataFrame([(*r[:1], "en", *r[1:5], -float(np.log2(3)), r[5]) for r in rows], "row long, lang string, fold int, u long, v long, w long, spelled double, n long")
-    found = {(r.u, r.v, r.w): r.log2 for r in p.word_model(grams).where("model = 1").collect()}
-    assert abs(sum(2.0**x for x in found.values()) - 1) < 1e-9
-    alone = p.word_model(grams.where("fold = 1")).collect()
-    assert all(abs(r.log2 + np.log2(3)) < 1e-9 for r in alone)
-
-
-def test_words_of_any_script():
-    *_, words, _ = p.word_ngrams(pa.array(["Née, 東京 12a", None, ""]), RollingHash())
-    assert sorted(words) == sorted(w.encode() for w in ["née", ",", "東", "京", "12a", ""])
+def test_chunks_and_buckets_change_nothing(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choice(["sun", "moon", "tide", "sand"]) for _ in range(60)), rng.choice(["en", "de", None]), "a", "b", 1) for k in range(40)]
+    rows += [(0, rows[0][1], "en", "a", "b", 1)] * 3 + [(99, "long text " * 200_000, "en", "a", "b", 1)]
+    table = p.written(spark.createDataFrame(rows, "doc_id long, text string, lang string, bucket string, chunk string, row int").repartition(2), "texts")
+    found = []
+    for chunk in (p.CHUNK, 3000):
+        monkeypatch.setattr(p, "CHUNK", chunk)
+        found.append(sorted((r.doc_id, r.lang, r.n_words, r.log_perplexity) for r in p.measured(table).collect()))
+    assert found[0] == found[1] and len(found[0]) == len(rows)
 
 
 def test_bands_have_no_floor_and_follow_the_labels(spark):
