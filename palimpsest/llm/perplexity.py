@@ -47,7 +47,7 @@ LEAST_DISTANCE = 1e-6
 LEAST_LABELLED = 20
 #: What widths are chosen from, and the share of a language's good texts that may leave on a side.
 WIDTHS = [k / 2 for k in range(2, 33)]
-MOST_GOOD = 0.1
+MOST_GOOD = 0.03
 MIN_WORDS = 50
 MOST_REPEATED = 50  # per cent of all words
 SYMBOLS = b"#*$%&|<>"
