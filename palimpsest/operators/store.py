@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,15 +61,27 @@ def worth_rewriting(dead_bytes: Column, all_bytes: Column) -> Column:
 def consolidated(packs: DataFrame, most_bytes: int = 4 << 20, least_packs: int = 8, by: str | None = None) -> DataFrame:
     """Small packs to merge, where there are enough of them."""
     small = packs.where(F.col("bytes") <= most_bytes)
-    own = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
-    return small.withColumn("__n", F.count(F.lit(1)).over(own)).where(F.col("__n") >= least_packs).drop("__n")
+    key = F.col(by) if by else F.lit(0)
+    enough = small.groupBy(key.alias("__by")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_packs).select("__by")
+    return small.withColumn("__by", key).join(enough, "__by", "left_semi").drop("__by")
 
 
 def retained(rows: DataFrame, by: str, order: str, size: str, budget: int) -> DataFrame:
-    """`rows` with kept: greedy by order, a row that does not fit is skipped and later ones may still fit."""
-    packed = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, size))).alias("all"))
-    step = f"""aggregate(all, named_struct('used', 0L, 'kept', cast(array() as array<bigint>)), (a, x) ->
-        case when a.used + x.{size} <= {budget}
-             then named_struct('used', a.used + x.{size}, 'kept', concat(a.kept, array(cast(x.{order} as bigint)))) else a end)"""
-    chosen = packed.select(by, F.explode(F.expr(f"({step}).kept")).alias(order))
-    return rows.join(chosen.withColumn("__in", F.lit(True)), [by, order], "left").withColumn("kept", F.coalesce("__in", F.lit(False))).drop("__in")
+    """`rows` with kept: greedy by order, a row that does not fit is skipped and later ones may still fit.
+
+    Whether a row fits depends on all before it, so a group goes through one task, but row by row: what is held is one sum.
+    """
+    schema = rows.select("*", F.lit(True).alias("kept")).schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, used = None, 0
+        for batch in batches:
+            kept = []
+            for key, n in zip(batch[by].tolist(), batch[size].tolist(), strict=True):
+                if key != group:
+                    group, used = key, 0
+                kept.append(used + n <= budget)
+                used += n * kept[-1]
+            yield batch.assign(kept=kept)
+
+    return rows.repartition(by).sortWithinPartitions(by, order).mapInPandas(run, schema)

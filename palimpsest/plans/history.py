@@ -89,9 +89,13 @@ def _lineages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = views.commit_files(spark, sf_dir).select(F.col("branch").alias("segment"), "seq")
-    found = _lineages(spark, sf_dir).join(log, "segment").where("seq <= upto")
-    return found.groupBy("start").agg(F.count(F.lit(1)).alias("commits"), F.min("seq").alias("root"), F.sum("seq").alias("check_sum"))
+    """Counts and sums of what each tip reaches: running ones along every branch, looked up where a lineage leaves it."""
+    log = views.commit_files(spark, sf_dir)
+    so_far = Window.partitionBy("branch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    totals = [F.count(F.lit(1)).over(so_far).alias("commits"), F.min("seq").over(so_far).alias("root"), F.sum("seq").over(so_far).alias("check_sum")]
+    running = log.select(F.col("branch").alias("segment"), F.col("seq").alias("upto"), *totals)
+    found = _lineages(spark, sf_dir).join(running, ["segment", "upto"])
+    return found.groupBy("start").agg(F.sum("commits").alias("commits"), F.min("root").alias("root"), F.sum("check_sum").alias("check_sum"))
 
 
 _CLOSURE = f"""WITH RECURSIVE {views.PARENTS},

@@ -61,14 +61,20 @@ def start_live_tree(spark: SparkSession, folder: str, name: str, checkpoint: str
 
 
 def upsert_layers(batch: DataFrame, target: str) -> None:
-    """foreachBatch sink: the newest result of each layer id replaces the one before, in whatever order they come."""
+    """foreachBatch sink: the newest result of each layer id replaces the one before, in whatever order they come.
+
+    `target` is a view of the newest version, a table of its own; the view moves to a finished table in one step, so a crash
+    leaves the version before.
+    """
     spark = batch.sparkSession
     newest = batch.groupBy("id").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "id"]), "done").alias("r")).select("id", "r.*")
+    version, before = f"{target}_{uuid.uuid4().hex[:12]}", None
     if spark.catalog.tableExists(target):
-        kept = spark.table(target).join(newest, "id", "left_anti").unionByName(newest)
-        spare = f"{target}_{uuid.uuid4().hex[:8]}"
-        kept.write.saveAsTable(spare)
-        spark.sql(f"DROP TABLE {target}")
-        spark.sql(f"ALTER TABLE {spare} RENAME TO {target}")
-    else:
-        newest.write.saveAsTable(target)
+        before = spark.sql(f"DESCRIBE EXTENDED {target}").where("col_name = 'View Text'").first()["data_type"].split()[-1]
+        known = spark.table(target)
+        both = known.unionByName(newest).groupBy("id").agg(F.max_by(F.struct(*[c for c in known.columns if c != "id"]), "done").alias("r"))
+        newest = both.select("id", "r.*")
+    newest.write.saveAsTable(version)
+    spark.sql(f"CREATE OR REPLACE VIEW {target} AS SELECT * FROM {version}")
+    if before:
+        spark.sql(f"DROP TABLE IF EXISTS {before}")

@@ -61,3 +61,11 @@ def test_live_tree_passes_over_late_changes(spark, tmp_path):
         assert [r.content for r in spark.table("live_tree").orderBy("seq").collect()] == ["new", "newest"]
     finally:
         query.stop()
+
+
+def test_the_newest_result_of_each_layer_stays(spark):
+    batch = lambda *rows: spark.createDataFrame(rows, "id string, done long, png string")
+    stream.upsert_layers(batch(("a", 2, "a2"), ("b", 1, "b1")), "layer_results")
+    stream.upsert_layers(batch(("a", 1, "late"), ("b", 3, "b3"), ("c", 1, "c1")), "layer_results")
+    assert sorted((r.id, r.png) for r in spark.table("layer_results").collect()) == [("a", "a2"), ("b", "b3"), ("c", "c1")]
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith("layer_results_")].__len__() == 1
