@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.plans import changes, history, reporting
+from palimpsest.plans import archive, changes, history, reporting
 
 
 class Query(NamedTuple):
@@ -15,7 +15,7 @@ class Query(NamedTuple):
     sql: str | None
 
 
-MODULES = (history, changes, reporting)
+MODULES = (history, changes, reporting, archive)
 
 
 def _all() -> dict[str, Query]:
