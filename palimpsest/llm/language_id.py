@@ -11,11 +11,13 @@ parameters and the number of languages.
 A text is scored in stretches of at most STRETCH bytes, and its values are the mean of theirs by length:
 presences of a long text would fill up, until it held the n-grams of every language.
 
-Training takes about `per_language` texts of each language, drawn by a hash of the id.
+Training takes about `per_language` texts of each language, drawn by a hash of the id. Tasks compute their kernels with the
+landmarks and add up the sums of products that the regression needs; the driver holds the landmarks, at most MOST_LANDMARKS
+or LEAST_LANDMARKS a language, and those sums.
 
-Edge cases: a null text, or one without a letter, is `und` with score 0; with nothing to learn from
-every text is `und`; rows that repeat are scored alike; ties go to the language that sorts first;
-an empty table gives an empty result; other columns are ignored.
+Edge cases: a null text, or one without a letter, is `und` with score 0; a very long text is scored stretch by stretch; with
+nothing to learn from every text is `und`; rows that repeat are scored alike; ties go to the language that sorts first;
+an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,17 +28,20 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import blocks, mix64, separated
+from palimpsest.llm.common import blocks, cut_lineage, mix64, separated
 
 LENGTHS = (2, 3, 4)
 SLOT_BITS = 18
 SLOTS = 1 << SLOT_BITS
-#: Training texts and landmarks of each language.
+#: Training texts and landmarks of each language; landmarks of all languages at most, but so many of each at least.
 PER_LANGUAGE = 400
 LANDMARKS = 24
+MOST_LANDMARKS, LEAST_LANDMARKS = 512, 4
+#: Tasks that add up the sums of products.
+SUMMED = 8
 PENALTY = 1e-2
 #: Bytes of a text that are scored together, and bytes of text that a task works on at once.
 STRETCH = 1 << 13
@@ -116,30 +121,74 @@ def train(docs: DataFrame, learn_from: Column, per_language: int = PER_LANGUAGE,
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, per_language / n) * (1 << 30)))])
     some = known.where(drawn < share[F.col(lang_col)])
     rows = some.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"), drawn.alias("drawn"))
-    return fit(rows.mapInArrow(_features, "slots binary, lang string, drawn long").toArrow().to_pandas())
+    held = cut_lineage(rows.mapInArrow(_features, "slots binary, lang string, drawn long"))
+    each = min(LANDMARKS, max(LEAST_LANDMARKS, MOST_LANDMARKS // len(counts)))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "slots"))
+    marks = held.withColumn("nth", nth).where(F.col("nth") <= each).select("slots", "lang", "drawn").toArrow().to_pandas()
+    return fit(held, marks.sort_values(["lang", "drawn", "slots"], ignore_index=True))
 
 
-def fit(rows: pd.DataFrame) -> Model:
-    rows = rows.sort_values(["lang", "drawn", "slots"]).reset_index(drop=True)
-    languages = sorted(rows["lang"].unique())
-    held = [np.frombuffer(slots, "<i4").astype(np.int64) for slots in rows["slots"]]
-    nth = rows.groupby("lang").cumcount().to_numpy()
-    marks = [held[k] for k in np.flatnonzero(nth < LANDMARKS)]
-    slots = np.unique(np.concatenate(marks))
-    if not len(slots):
+class Landmarks:
+    """Which landmarks hold each slot, and how much each one's slots weigh."""
+
+    def __init__(self, slots: list[np.ndarray]) -> None:
+        self.n = len(slots)
+        self.scale = np.array([1 / np.sqrt(max(1, len(s))) for s in slots])
+        slot, mark = np.concatenate(slots), np.repeat(np.arange(self.n), [len(s) for s in slots])
+        by = np.argsort(slot, kind="stable")
+        self.mark = mark[by].astype(np.int32)
+        self.start = np.searchsorted(slot[by], np.arange(SLOTS + 1))
+
+    def kernels(self, slots: np.ndarray) -> np.ndarray:
+        """The kernel of a text with every landmark."""
+        first, size = self.start[slots], self.start[slots + 1] - self.start[slots]
+        at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.mark[at], minlength=self.n) * self.scale / np.sqrt(max(1, len(slots)))
+
+
+def _slots(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<i4").astype(np.int64)
+
+
+def fit(held: DataFrame, marks: pd.DataFrame) -> Model:
+    """The model from training rows (slots, lang, drawn) and the landmarks among them."""
+    own = [_slots(raw) for raw in marks["slots"]]
+    if not sum(map(len, own)):
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0)))
-    landmarks = np.zeros((len(slots), len(marks)), np.float32)
-    for k, mark in enumerate(marks):
-        landmarks[np.searchsorted(slots, mark), k] = 1 / np.sqrt(max(1, len(mark)))
-    kernels = np.stack([landmarks[_weighed(h, slots)[1]].sum(axis=0, dtype=np.float64) / np.sqrt(max(1, len(h))) for h in held])
-    among = kernels[nth < LANDMARKS]
+    landmarks = Landmarks(own)
+    among = np.stack([landmarks.kernels(s) for s in own])
     spread, vectors = np.linalg.eigh((among + among.T) / 2)
     kept = spread > 1e-6 * spread.max()
     whiten = vectors[:, kept] / np.sqrt(spread[kept])
-    features = kernels @ whiten
-    wanted = (rows["lang"].to_numpy()[:, None] == np.array(languages)[None, :]).astype(np.float64)
-    gram = features.T @ features + PENALTY * len(rows) / len(marks) * np.eye(kept.sum())
-    return Model(languages, slots, (landmarks @ (whiten @ np.linalg.solve(gram, features.T @ wanted))).astype(np.float64))
+    sent = held.sparkSession.sparkContext.broadcast((landmarks, whiten))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of products of the features, and sums of them and rows by language."""
+        near, white = sent.value
+        gram, sums = np.zeros((white.shape[1],) * 2), {}
+        for batch in batches:
+            features = np.stack([near.kernels(_slots(raw)) for raw in batch.column(0).to_pylist()]) @ white
+            gram += features.T @ features
+            langs = np.array(batch.column(1).to_pylist(), object)
+            for lang in sorted(set(langs)):
+                total, n = sums.get(lang, (0, 0))
+                sums[lang] = total + features[langs == lang].sum(axis=0), n + int((langs == lang).sum())
+        rows = [(None, gram.tobytes(), 0), *((lang, total.tobytes(), n) for lang, (total, n) in sums.items())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary(), pa.int64()), strict=True)], names=["lang", "sums", "n"])
+
+    parts = held.repartition(SUMMED, "drawn").sortWithinPartitions("drawn", "lang", "slots").mapInArrow(run, "lang string, sums binary, n long")
+    parts = parts.toArrow().to_pylist()  # SUMMED tasks' sums
+    read = lambda raw: np.frombuffer(raw, np.float64)
+    gram = sum(read(p["sums"]) for p in parts if p["lang"] is None).reshape((kept.sum(),) * 2)
+    languages = sorted({p["lang"] for p in parts if p["lang"] is not None})
+    wanted = np.stack([sum(read(p["sums"]) for p in parts if p["lang"] == lang) for lang in languages], axis=1)
+    gram = gram + PENALTY * sum(p["n"] for p in parts) / landmarks.n * np.eye(len(gram))
+    alpha = whiten @ np.linalg.solve(gram, wanted) * landmarks.scale[:, None]
+    slots = np.unique(np.concatenate(own))
+    weights = np.zeros((len(slots), len(languages)))
+    for mark, row in zip(own, alpha, strict=True):
+        weights[np.searchsorted(slots, mark)] += row
+    return Model(languages, slots, weights)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
