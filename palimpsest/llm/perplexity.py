@@ -55,12 +55,13 @@ SYMBOLS = b"#*$%&|<>"
 CHUNK = 32 << 20
 BLOCK = 1 << 19
 #: Distinct n-grams that a task holds before it merges them.
-HELD = 1 << 20
+HELD = 2 << 20
 FOLDS = 2
 #: What stands before the first code point and after the last one; bits of a code point.
 BEGIN, END = 1, 2
 POINT = np.uint64(21)
 ONE_POINT, TWO_POINTS = np.uint64((1 << 21) - 1), np.uint64((1 << 42) - 1)
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Log-probabilities are kept to so many parts of a bit.
 STEPS = 256
 
@@ -78,33 +79,42 @@ class Grams(NamedTuple):
 
 def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last three code points of the n-gram that ends at each one, and after the last one, of every text; and the text of each."""
-    points = [np.frombuffer((t or "").lower().encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
-    size = np.array([len(p) for p in points], np.int64) * (np.array([bool(t) for t in texts], bool)) if points else np.zeros(0, np.int64)
-    full = np.where(size > 0, size + ORDER, 0)
-    line = np.full(int(full.sum()), BEGIN, np.uint64)
-    starts = np.cumsum(full) - full
-    row = np.repeat(np.arange(len(points)), full)
-    place = np.arange(len(line)) - starts[row]
-    inner = (place >= ORDER - 1) & (place < full[row] - 1)
-    line[inner] = np.concatenate(points) if points else 0
-    line[place == full[row] - 1] = END
-    at = np.flatnonzero(place >= ORDER - 1)
-    three = line[:-2] << (POINT + POINT) | line[1:-1] << POINT | line[2:] if len(line) else line
-    return three[at - ORDER + 1], three[at - 2], row[at]
+    lowered = [(t or "").lower() for t in texts]
+    ahead, end = chr(BEGIN) * (ORDER - 1), chr(END)
+    line = np.frombuffer("".join(f"{ahead}{t}{end}" for t in lowered if t).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = np.array([len(t) + ORDER if t else 0 for t in lowered], np.int64)
+    if not len(line):
+        return line, line, np.zeros(0, np.int64)
+    starts = (np.cumsum(size) - size)[size > 0]
+    own = np.ones(len(line), bool)
+    own[(starts[:, None] + np.arange(ORDER - 1)).ravel()] = False
+    three = line[:-2] << (POINT + POINT) | line[1:-1] << POINT | line[2:]
+    ends = own[ORDER - 1 :]  # no n-gram ends before the first text's first code point
+    return three[: len(ends)][ends], three[ORDER - 3 :][ends], np.repeat(np.arange(len(texts)), size)[own]
 
 
 def hashes(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     """The hash of each n-gram; its first bits are those of the two code points before the last, so sorted hashes lie in buckets."""
-    context = mix64(low >> POINT) & np.uint64(0xFFFF000000000000)
-    return context | mix64(mix64(high) + low) >> np.uint64(16)
+    context = (low >> POINT) * SPREAD & np.uint64(0xFFFF000000000000)
+    both = high * SPREAD + low
+    both ^= both >> np.uint64(29)
+    both *= np.uint64(0xBF58476D1CE4E5B9)
+    both ^= both >> np.uint64(32)
+    return context | both >> np.uint64(16)
+
+
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the keys, where each distinct one begins in it, and how often it occurs."""
+    by = np.argsort(key)
+    ordered = key[by]
+    firsts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(by) else by
+    return by, firsts, np.diff(np.concatenate([firsts, [len(by)]]))
 
 
 def merged(parts: list[Grams]) -> Grams:
     """Distinct n-grams in the order of their hashes, with summed counts."""
     high, low, *n = (np.concatenate(c) for c in zip(*((g.high, g.low, *g.n) for g in parts), strict=True))
-    key = hashes(high, low)
-    by = np.argsort(key, kind="stable")
-    firsts = np.flatnonzero(np.concatenate([[True], key[by][1:] != key[by][:-1]])) if len(by) else by
+    by, firsts, _ = distinct(hashes(high, low))
     return Grams(high[by][firsts], low[by][firsts], [np.add.reduceat(c[by], firsts) if len(by) else c for c in n])
 
 
@@ -171,7 +181,8 @@ def counted(block: pa.RecordBatch) -> list[Grams]:
     out = []
     for f in range(FOLDS):
         own = np.flatnonzero(fold == f)
-        _, first, n = np.unique(key[own], return_index=True, return_counts=True)
+        by, firsts, n = distinct(key[own])
+        first = by[firsts]
         out.append(Grams(high[own[first]], low[own[first]], [n if k == f else np.zeros_like(n) for k in range(FOLDS)]))
     return out
 
@@ -427,17 +438,17 @@ def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _scored(held: list[bytes], known: dict[str, list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
     """The rows of one chunk with counts and log-perplexity."""
-    texts = [pa.ipc.open_stream(blob).read_next_batch for blob in held]
-    distinct: dict[str, list[np.ndarray]] = {}
-    for read in texts:
-        for lang, own in _by_language(read()):
+    found: dict[str, list[np.ndarray]] = {}
+    for blob in held:
+        for lang, own in _by_language(pa.ipc.open_stream(blob).read_next_batch()):
             high, low, _ = ngrams(own.column(3).to_pylist())
-            parts = distinct.setdefault(lang, [])
-            parts.append(np.unique(hashes(high, low)))
+            parts = found.setdefault(lang, [])
+            key = np.sort(hashes(high, low))
+            parts.append(key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key)
             if sum(map(len, parts)) > HELD:
                 parts[:] = [np.unique(np.concatenate(parts))]
     arrays = {}
-    for lang, parts in distinct.items():
+    for lang, parts in found.items():
         keys, values = np.unique(np.concatenate(parts)), np.concatenate(known.get(lang, [np.zeros((FOLDS, 0), np.int16)]), axis=1)
         if len(keys) != values.shape[1]:
             raise ValueError("the table was read in other pieces the second time; write it first")
@@ -447,8 +458,10 @@ def _scored(held: list[bytes], known: dict[str, list[np.ndarray]], names: list[s
         for lang, own in _by_language(pa.ipc.open_stream(blob).read_next_batch()):
             high, low, row = ngrams(own.column(3).to_pylist())
             keys, values = arrays[lang]
-            other = 1 - own.column(2).to_numpy()[row]
-            bits = values[other, np.searchsorted(keys, hashes(high, low))] if len(keys) else np.zeros(0)
+            key = hashes(high, low)
+            by = np.argsort(key)  # neighbours are found faster
+            row = row[by]
+            bits = values[1 - own.column(2).to_numpy()[row], np.searchsorted(keys, key[by])] if len(keys) else np.zeros(0)
             n = np.bincount(row, minlength=own.num_rows)
             mean = -np.bincount(row, weights=bits, minlength=own.num_rows) / STEPS / np.maximum(n, 1)
             counts = [pa.array(c, pa.int64()) for c in base_counts(own.column(3), rolling)]
