@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import decontamination as d
 
@@ -54,9 +55,22 @@ def test_matches_brute_force(spark, docs, case, portion):
 def test_clean_documents_stay(spark, docs, case):
     texts, items = case
     bench = spark.createDataFrame(items, "item_id long, text string")
-    kept = d.keep_clean(docs(texts), bench, item_bytes=80)
-    assert kept.columns == docs(texts).columns
-    assert sorted(r.doc_id for r in kept.collect()) == [k for k, w in enumerate(brute(texts, items)) if not w[1]]
+    table = docs(texts).withColumn("rid", F.lit(1)).withColumn("items", F.lit("x")).withColumn("n_hit", F.lit(2))
+    for item_bytes in (80, 1 << 20):
+        kept = d.keep_clean(table, bench, item_bytes=item_bytes)
+        assert kept.columns == table.columns
+        assert sorted(r.doc_id for r in kept.collect()) == [k for k, w in enumerate(brute(texts, items)) if not w[1]]
+
+
+@pytest.mark.parametrize("portion", [1 << 20, 60])
+def test_repeated_rows_and_very_long_texts(spark, docs, case, portion):
+    texts, items = case
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    many = [texts[3]] * 50 + ["filler words " * 300_000 + texts[3]]
+    got = d.search(docs(many, ids=[None, 7] * 25 + [8]), bench, item_bytes=portion).collect()
+    want = brute([texts[3]], items)[0]
+    assert len(got) == 51 and {(r.n_words, r.n_hit, tuple(r["items"])) for r in got if r.doc_id != 8} == {(want[0], want[1], tuple(want[2]))}
+    assert [r.n_hit for r in got if r.doc_id == 8] == [want[1]]
 
 
 def test_empty_tables(spark, docs, case):
