@@ -36,11 +36,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as a Parquet table in the shared folder and read again."""
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """`df` written as a Parquet table in the shared folder and read again, and where it lies."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return written_at(df, name)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table that `written_at` made, in whatever store it lies."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def row_identity(id_col: str, text_col: str) -> Column:

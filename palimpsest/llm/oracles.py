@@ -44,3 +44,22 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
        CASE WHEN page_id = newest THEN NULL ELSE newest END AS refers_to
 FROM r
 """
+
+#: Texts as hexadecimal digits, two a byte, cut into stretches so that no window is sought far from its start.
+SUFFIX_ARRAY = """
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, lower(hex(encode(coalesce(text, '')))) AS hx FROM documents),
+pieces AS (SELECT rid, s, substr(hx, 2 * s + 1, 2 * (2048 + 199)) AS piece FROM (SELECT rid, hx, unnest(range(0, len(hx) // 2, 2048)) AS s FROM docs WHERE len(hx) >= 400)),
+windows AS (SELECT rid, s + i AS pos, substr(piece, 2 * i + 1, 400) AS win FROM
+  (SELECT rid, s, piece, unnest(range(0, least(2048, len(piece) // 2 - 199))) AS i FROM pieces WHERE len(piece) >= 400)),
+hits AS (SELECT w.rid, w.pos FROM windows w JOIN (SELECT win FROM windows GROUP BY win HAVING count(*) > 1) r ON r.win = w.win),
+marked AS (SELECT rid, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY rid ORDER BY pos) + 200 THEN 0 ELSE 1 END AS new FROM hits),
+numbered AS (SELECT rid, pos, sum(new) OVER (PARTITION BY rid ORDER BY pos) AS run FROM marked),
+runs AS (SELECT rid, run, min(pos) AS a, max(pos) + 200 AS b FROM numbered GROUP BY ALL),
+gaps AS (SELECT rid, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS f, a AS t FROM runs
+  UNION ALL SELECT rid, max(b), NULL FROM runs GROUP BY rid),
+kept AS (SELECT g.rid, string_agg(substr(d.hx, 2 * g.f + 1, 2 * (coalesce(g.t, len(d.hx) // 2) - g.f)), '' ORDER BY g.f) AS hx FROM gaps g JOIN docs d USING (rid) GROUP BY 1),
+spans AS (SELECT rid, count(*) AS n FROM runs GROUP BY 1)
+SELECT d.doc_id, (len(d.hx) // 2)::BIGINT AS n_bytes, ((len(d.hx) - len(coalesce(k.hx, d.hx))) // 2)::BIGINT AS n_removed, coalesce(s.n, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(k.hx, d.hx))) AS kept_sha256
+FROM docs d LEFT JOIN kept k USING (rid) LEFT JOIN spans s USING (rid)
+"""

@@ -101,4 +101,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": oracles.DECONTAMINATION, "op6_warc": oracles.WARC}
+    return {"op1_decontamination": oracles.DECONTAMINATION, "op6_warc": oracles.WARC, "op8_suffix_array": oracles.SUFFIX_ARRAY}
