@@ -1,4 +1,9 @@
-"""A training-data pipeline over `documents`: five stages, each on all that the one before kept."""
+"""A training-data pipeline over `documents`: five stages, each on all that the one before kept.
+
+Edge cases, in every stage: null ids, texts and other columns stay as they are; empty and very long texts are texts like any
+other; rows that repeat are judged alike, and of near-duplicates, repeats included, exactly one row stays, ties going to the
+smallest id and then to the smallest hash; an empty table gives an empty one; other columns, whatever their names, are carried on.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe, decontamination, simhash, suffix_dedup, toxicity
-from palimpsest.llm.common import cut_lineage, row_identity, table, written
+from palimpsest.llm.common import cut_lineage, removed, row_identity, table, written_at
 from palimpsest.llm.queries import fold
 
 
@@ -19,7 +24,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row stays of each group of near-duplicates: that of the smallest id, null last, and then of the smallest hash of id and text."""
-    rows = docs.withColumn("__row", row_identity("doc_id", "text"))
+    rows = docs.withColumn("__row", row_identity("doc_id", "text"))  # a name that documents do not have
     whole = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("__row").alias("row"))
     found = simhash.near_duplicates(rows.select(whole.alias("__whole"), "text"), "__whole")
     kept = found.where("__whole <=> component").groupBy(F.col("__whole.row").alias("__row")).agg(F.count(F.lit(1)).alias("n_rows"))
@@ -59,8 +64,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage before it is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; each stage before it is written as Parquet and read again, and the one before that removed."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs, path = written_at(stage(spark, docs, sf_dir), name)
+        if before:
+            removed(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
