@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import labels
-from palimpsest.operators import documents, raster
+from palimpsest.operators import documents, raster, versions
 from palimpsest.plans import views
 
 
@@ -160,7 +160,24 @@ SELECT doc_id, doc_id % 5 < 3 AS compressed, ['4E508947', '034B5004', '2FB528FD'
   octet_length(payload) >= 64 AND doc_id % 5 >= 3 AS patchable, sha256(payload) || CASE WHEN doc_id % 3 = 0 THEN '.b.patch' ELSE '.full' END AS object FROM p"""
 
 
+def patched_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as versions of streams by source, stored as snapshots and patches and replayed: chain lengths, and whether all came back."""
+    d = views.table(spark, sf_dir, "documents")
+    all_versions = d.select(F.col("source").alias("stream"), F.col("doc_id").alias("seq"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("payload"))
+    kept = versions.stored(all_versions, least=600, most=5)
+    back = versions.replayed(kept).select("stream", "seq", F.sha2("payload", 256).alias("restored"))
+    return kept.join(back, ["stream", "seq"]).select("stream", "seq", F.col("chain").alias("chain"), "chain_len", (F.col("content") == F.col("restored")).alias("same"))
+
+
+PATCHED_STREAMS = """WITH v AS (SELECT source AS stream, min(doc_id) AS seq, octet_length(encode(coalesce(text, ''))) >= 600 AND NOT starts_with(text, 'PK' || chr(3) || chr(4)) AS may
+  FROM documents GROUP BY source, text),
+r AS (SELECT *, sum(CASE WHEN may THEN 0 ELSE 1 END) OVER (PARTITION BY stream ORDER BY seq) AS run FROM v),
+n AS (SELECT *, (row_number() OVER (PARTITION BY stream, run ORDER BY seq) - 1) % 6 AS chain_len FROM r)
+SELECT stream, seq, max(CASE WHEN chain_len = 0 THEN seq END) OVER (PARTITION BY stream ORDER BY seq) AS chain, chain_len::INTEGER AS chain_len, true AS same FROM n"""
+
+
 QUERIES = {
+    "patched_streams": (patched_streams, PATCHED_STREAMS),
     "entry_reuse": (entry_reuse, ENTRY_REUSE),
     "rebuild_plan": (rebuild_plan, REBUILD_PLAN),
     "referenced_streams": (referenced_streams, REFERENCED_STREAMS),

@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import labels
-from palimpsest.operators import diff, documents, store, trees
+from palimpsest.operators import diff, document_merge, documents, store, trees
 from palimpsest.sources import archives, palettes, worktree
 
 COMMIT = "seq long, id string, message string, author string, timestamp string, parents array<string>, branch string, restored_from string"
 FILE = "commit_id string, seq long, path string, status string, content string, size long"
+INDEX = "path string, size long, mtime_ns long, content string, read_at long"
 OBJECT = "object string, size long, payload binary"
 DEFAULTS = {"chain_max": 20, "tile_size": 64, "cache_max_bytes": 256 << 20, "tile_pixel_deltas": False, "low_memory_diff": False}
 INVALID = '/\\:*?"<>|'
@@ -209,8 +210,30 @@ class Repository:
     # ---- working tree
 
     def _working(self) -> DataFrame:
-        known = self.tree(self._tip())
-        return worktree.hashed(worktree.candidates(worktree.listing(self.spark, self.root), known), self.root)
+        """(path, size, mtime_ns, content) of the working files; those whose size and time are as when they were last read, and
+        older than that reading, are not read again."""
+        listed = worktree.candidates(worktree.listing(self.spark, self.root), self.tree(self._tip()))
+        read_at = time.time_ns()
+        path = os.path.join(self.home, "index")
+        if os.path.isdir(path):
+            seen = self.spark.read.schema(INDEX).parquet(path).select("path", *[F.col(c).alias(f"__{c}") for c in ("size", "mtime_ns", "content", "read_at")])
+            both = listed.join(seen, "path", "left")
+            reads = F.coalesce(diff.needs_hash(F.col("size"), F.col("mtime_ns"), F.col("__size"), F.col("__mtime_ns"), F.col("__read_at")), F.lit(True))
+            both = trees.checkpointed(both.withColumn("__reads", reads))
+            known = both.where("not __reads").select("path", "size", "mtime_ns", F.col("__content").alias("content"))
+            fresh = worktree.hashed(both.where("__reads").select("path", "size", "mtime_ns"), self.root)
+            found = trees.checkpointed(known.unionByName(fresh))
+        else:
+            found = trees.checkpointed(worktree.hashed(listed, self.root))
+        self._keep_index(found.withColumn("read_at", F.lit(read_at).cast("long")))
+        return found
+
+    def _keep_index(self, seen: DataFrame) -> None:
+        """Replaces the index of what was read; without it a scan reads everything, so a crash in between loses nothing."""
+        path = os.path.join(self.home, "index")
+        seen.write.mode("overwrite").parquet(f"{path}.new")
+        shutil.rmtree(path, ignore_errors=True)
+        os.replace(f"{path}.new", path)
 
     def status(self, paths: list[str] | None = None) -> DataFrame:
         """(path, status) of the working tree against the current tip: U, M or D."""
@@ -398,18 +421,51 @@ class Repository:
         return self.spark.createDataFrame(rows, "seq long, id string, label string, author string, branch string, files long").orderBy(F.desc("seq"))
 
     def pop_stash(self, ident: str) -> None:
-        """Puts a stash back; paths that are dirty at all are a conflict."""
+        """Puts a stash back. Of paths that changed meanwhile, documents get the stashed layers that differ from the current tip's
+        on top of their own; any other such path refuses the whole, before anything is written."""
         with self._locked("bringing work back") as state:
             entry = next((s for s in state["stashes"] if s["id"] == ident), None)
             if entry is None:
                 raise NotFound(f"no stash {ident}")
             plan = self.spark.createDataFrame([tuple(f) for f in entry["files"]], "path string, status string, content string")
-            hit = self.status().join(plan.select("path"), "path", "left_semi").agg(F.array_join(F.array_sort(F.collect_list("path")), ", ")).first()[0]
-            if hit:
-                raise DirtyTree(f"changed meanwhile: {hit}")
-            self._restore(plan)
+            hit = trees.checkpointed(plan.join(self.status().select("path"), "path", "left_semi"))
+            drawn = F.lower("path").endswith(".kra") & (F.col("status") != "D")
+            refused = hit.where(~drawn).agg(F.array_join(F.array_sort(F.collect_list("path")), ", ")).first()[0]
+            if refused:
+                raise DirtyTree(f"changed meanwhile: {refused}")
+            merged = self._merged_layers(hit)
+            problem = merged.where("content is null").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "file", "problem"))), ", ")).first()[0]
+            if problem:
+                raise RepositoryError(problem)
+            self._restore(plan.join(hit.select("path"), "path", "left_anti"))
+            for row in merged.toLocalIterator():
+                full = os.path.join(self.root, row["file"])
+                with open(f"{full}.tmp", "wb") as out:
+                    out.write(row["content"])
+                os.replace(f"{full}.tmp", full)
             state["stashes"].remove(entry)
 
+    def _merged_layers(self, stashed: DataFrame) -> DataFrame:
+        """(file, content, problem): working documents with the stashed ones' layers."""
+        root = self.root
+
+        def load(batches):  # noqa: ANN001, ANN202
+            for batch in batches:
+                found = []
+                for path in batch["file"]:
+                    full = os.path.join(root, path)
+                    if os.path.isfile(full):
+                        with open(full, "rb") as f:
+                            found.append(f.read())
+                    else:
+                        found.append(b"")
+                yield batch.assign(base=found)
+
+        rows = self._payloads(stashed).withColumnRenamed("content", "incoming")
+        rows = rows.mapInPandas(load, "file string, incoming binary, base binary")
+        before = self._payloads(self.tree(self._tip()).join(stashed.select("path"), "path", "left_semi")).withColumnRenamed("content", "ancestor")
+        return trees.checkpointed(document_merge.merged_documents(rows.join(before, "file", "left")))
+
     def drop_stash(self, ident: str | None = None) -> int:
         """Drops one stash, or all."""
         with self._locked("dropping set-aside work") as state:

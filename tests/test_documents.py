@@ -5,17 +5,20 @@ from __future__ import annotations
 import io
 import os
 import random
+import re
 import zipfile
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from palimpsest.functions import png
 from palimpsest.operators import documents as d
-from palimpsest.operators import raster
+from palimpsest.operators import document_merge, raster, versions
 from palimpsest.repository import Locked, Repository
-from palimpsest.sources import archives
+from palimpsest.sources import archives, worktree
 
 
 def solid(*rgba):
@@ -167,6 +170,98 @@ def test_sampled_grids(spark):
     assert {(r.x, r.y) for r in raster.sampled_change_grid(old, new, sizes, ["v"]).collect() if r.changed} == {(4, 0), (4, 1), (4, 2)}
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.binary(max_size=3000), st.binary(max_size=300), st.integers(0, 3000))
+def test_patches_come_back(base, insert, at):
+    new = base[:at] + insert + base[at:]
+    assert not base or versions.patched(base, versions.patch(base, new)) == new
+
+
+def test_streams_of_snapshots_and_patches(spark):
+    rng = random.Random(2)
+    body = rng.randbytes(100_000)
+    rows = [("s", k, body[:k * 900] + b"edit" + body[k * 900:]) for k in range(30)] + [("s", 40, body[:0] + b"edit" + body), ("t", 1, b"small"), ("t", 2, b"PK\x03\x04" + body), ("t", 3, body)]
+    kept = d_checkpointed(versions.stored(spark.createDataFrame(rows, "stream string, seq long, payload binary")))
+    own = kept.where("stream = 's'").orderBy("seq").collect()
+    assert [r.chain_len for r in own] == [*range(21), *range(9)] and own[21].object.endswith(".full") and own[20].object == f"{own[20].content}.{own[19].content}.patch"
+    assert max(r.size for r in own if r.chain_len) < 2000
+    back = {(r.stream, r.seq): bytes(r.payload) for r in versions.replayed(kept).collect()}
+    assert back == {(s, k): p for s, k, p in rows if (s, k) != ("s", 40)}
+    wanted = kept.where("stream = 's' and seq = 7").select("stream", "content")
+    assert [(r.seq, bytes(r.payload)) for r in versions.reconstructed(kept, wanted).collect()] == [(7, rows[7][2])]
+    with pytest.raises(Exception, match="does not come back"):
+        versions.replayed(kept.withColumn("content", F.lit("x"))).count()
+
+
+def test_chains_by_shard_and_packs(spark, tmp_path):
+    rows = [(f"kra:f{k}:tile:e:0,0", v, f"{k} {v}".encode()) for k in range(8) for v in range(2)]
+    kept = d_checkpointed(versions.stored(spark.createDataFrame(rows, "stream string, seq long, payload binary")))
+    path = str(tmp_path / "chains")
+    versions.write_chains(kept, path)
+    versions.write_chains(kept.where("stream = 'kra:f3:tile:e:0,0' and seq = 0"), path)
+    assert versions.read_chains(spark, path).count() == 15
+    assert [r.seq for r in versions.read_chains(spark, path, ["kra:f3:tile:e:0,0"]).collect()] == [0]
+    both = versions.all_chains(versions.read_chains(spark, path), kept.where("stream = 'kra:f3:tile:e:0,0'"))
+    assert both.count() == 16
+    packs = str(tmp_path / "packs")
+    versions.write_packs(kept.select("object", "size", "data"), packs, 100)
+    (tmp_path / "packs" / "bad.parquet").write_bytes(b"no pack")
+    assert versions.pack_index(spark, packs).select("object").distinct().count() == 16 and versions.pack_index(spark, packs).select("pack").distinct().count() > 1
+
+
+def d_checkpointed(df):
+    from palimpsest.operators.trees import checkpointed
+
+    return checkpointed(df)
+
+
+def read(content):
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        return {n: archive.read(n) for n in archive.namelist()}
+
+
+def test_changed_layers_are_folded_in(spark):
+    base = document([("ink", "{1}", "layer1", [(0, 0, solid(1, 1, 1, 255))], ""), ("mine", "{9}", "layer7", [], "")])
+    merged = document_merge.merged(base, NEW, OLD)
+    entries = read(merged)
+    rows = [(n, a, b, c) for n, a, b, c in (re.search(r'name="([^"]*)" uuid="([^"]*)" filename="([^"]*)"(.*)', line).groups() for line in re.findall(r"<layer [^>]*>", entries["maindoc.xml"].decode()))]
+    assert [(n, f) for n, _, f, _ in rows] == [("ink [2]", "layer8"), ("sky", "layer9"), ("new", "layer10"), ("ink", "layer1"), ("mine", "layer7")]
+    assert len({u for _, u, _, _ in rows}) == 5 and all(re.fullmatch(r"\{[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\}", u) for _, u, _, _ in rows[:3])
+    assert entries["I/layers/layer8"] == read(NEW)["I/layers/layer1"] and entries["I/layers/layer8.defaultpixel"] == bytes([9, 8, 7, 255]) and entries["I/layers/layer7"] == read(base)["I/layers/layer7"]
+    assert next(iter(entries)) == "mimetype"
+    shuffled = document([("ink", "{1}", "layer5", [(64, 0, solid(9, 9, 9, 255)), (0, 0, solid(1, 2, 3, 255))], 'selected="true"')])
+    table = spark.createDataFrame([("a", base, shuffled, document([("ink", "{1}", "layer1", [(0, 0, solid(1, 2, 3, 255)), (64, 0, solid(9, 9, 9, 255))], "")])), ("b", base, NEW, None), ("c", b"x", NEW, None)], "file string, base binary, incoming binary, ancestor binary")
+    got = {r.file: (r.content is not None, r.problem) for r in document_merge.merged_documents(table).collect()}
+    assert got["b"] == (True, None) and got["c"][1].startswith("no readable") and got["a"][0]  # a default pixel that is new counts as a change
+
+
+def test_popping_a_stash_folds_layers(spark, tmp_path):
+    own = Repository.init(spark, str(tmp_path))
+    (tmp_path / "f.kra").write_bytes(OLD)
+    own.commit("one", "me")
+    (tmp_path / "f.kra").write_bytes(NEW)
+    ident = own.stash("me")
+    edited = document([("ink", "{1}", "layer1", [(0, 0, solid(50, 50, 50, 255))], "")])
+    (tmp_path / "f.kra").write_bytes(edited)
+    own.pop_stash(ident)
+    names = re.findall(r'<layer name="([^"]*)"', read((tmp_path / "f.kra").read_bytes())["maindoc.xml"].decode())
+    assert names == ["ink [2]", "sky", "new", "ink"] and own.stashes().count() == 0
+
+
+def test_unchanged_files_are_not_read_again(spark, tmp_path, monkeypatch):
+    own = Repository.init(spark, str(tmp_path))
+    (tmp_path / "a.gpl").write_bytes(b"one")
+    (tmp_path / "b.gpl").write_bytes(b"two")
+    for name in ("a.gpl", "b.gpl"):
+        os.utime(tmp_path / name, ns=(10**18, 10**18))
+    assert {r.path for r in own.status().collect()} == {"a.gpl", "b.gpl"}
+    asked = []
+    real = worktree.hashed
+    monkeypatch.setattr(worktree, "hashed", lambda files, root: (asked.extend(r.path for r in files.collect()), real(files, root))[1])
+    (tmp_path / "b.gpl").write_bytes(b"new")
+    assert {r.path for r in own.status().collect()} == {"a.gpl", "b.gpl"} and asked == ["b.gpl"]
+
+
 @pytest.fixture(scope="module")
 def repo(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("art")
