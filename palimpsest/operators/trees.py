@@ -42,20 +42,20 @@ def newest(commits: DataFrame, n: int, by: str = "branch", order: str = "seq") -
 
 
 def version_sizes(changes: DataFrame, by: str = "branch", path: str = "path", order: str = "seq") -> DataFrame:
-    """Bytes and files of the whole tree at each commit of a linear history.
+    """Bytes and files of the whole tree at each commit of a linear history; the rows of one commit share its totals.
 
     A running sum of what each commit adds to its path, not a fold for each commit: linear in the log.
     """
     own = Window.partitionBy(by, path).orderBy(order)
     live = F.when(F.col("status") == "D", 0).otherwise(1)
-    now = changes.withColumn("__bytes", F.col("size") * live).withColumn("__files", live)
+    now = changes.withColumn("__bytes", F.when(F.col("status") == "D", 0).otherwise(F.col("size"))).withColumn("__files", live)
     step = now.select(
         by,
         order,
         (F.col("__bytes") - F.coalesce(F.lag("__bytes").over(own), F.lit(0))).alias("__bytes"),
         (F.col("__files") - F.coalesce(F.lag("__files").over(own), F.lit(0))).alias("__files"),
     )
-    along = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy(by).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return step.select(by, order, F.sum("__bytes").over(along).alias("tree_bytes"), F.sum("__files").over(along).cast("bigint").alias("tree_files"))
 
 

@@ -621,8 +621,27 @@ class Repository:
         refs = self.files().where("content is not null").select(F.col("content").alias("object"), F.col("seq").alias("order"), "seq")
         return store.attributed_bytes(refs, self.objects().select("object", "size").dropDuplicates(["object"]), "seq")
 
+    def storage_stats(self) -> DataFrame:
+        """(id, seq, tree_bytes, tree_files, stored_bytes): for each version of the current branch's first-parent line, what a full
+        copy of it would take, and the bytes of the objects that it is the first to refer to."""
+        tip = self._tip()
+        parents = self.commits().select("id", F.get("parents", F.lit(0)).alias("parent"))
+        line = trees.first_parents(parents, tip) if tip else self.spark.createDataFrame([], "start string, ancestor string")
+        own = trees.checkpointed(self.files().join(line.select(F.col("ancestor").alias("commit_id")), "commit_id", "left_semi"))
+        ends = trees.version_sizes(own.withColumn("branch", F.lit(0))).groupBy("seq").agg(F.max("tree_bytes").alias("tree_bytes"), F.max("tree_files").alias("tree_files"))
+        stored = self.storage().select("seq", "stored_bytes")
+        named = self.commits().select("id", "seq").join(line.select(F.col("ancestor").alias("id")), "id", "left_semi")
+        return named.join(ends, "seq", "left").join(stored, "seq", "left").select("id", "seq", "tree_bytes", "tree_files", F.coalesce("stored_bytes", F.lit(0)).alias("stored_bytes"))
+
+    def storage_savings(self) -> DataFrame:
+        """(naive_bytes, actual_bytes, saved_bytes, percent) over the versions of `storage_stats`."""
+        totals = self.storage_stats().agg(F.coalesce(F.sum("tree_bytes"), F.lit(0)).alias("naive_bytes"), F.coalesce(F.sum("stored_bytes"), F.lit(0)).alias("actual_bytes"))
+        saved = totals.withColumn("saved_bytes", F.greatest(F.lit(0), F.col("naive_bytes") - F.col("actual_bytes")))
+        return saved.withColumn("percent", labels.saved_percent(F.col("actual_bytes"), F.col("naive_bytes")))
+
     def collect_garbage(self, dry_run: bool = True) -> dict[str, int]:
-        """Objects that no reachable commit and no stash refers to; without `dry_run` they are removed."""
+        """Objects that no reachable commit and no stash refers to, and leftovers of interrupted writes that are over an hour old;
+        without `dry_run` they are removed."""
         with self._locked("cleaning up") as state:
             tips = [t for t in state["tips"].values() if t]
             reached = self._reachable(tips).select(F.col("ancestor").alias("commit_id")).distinct()
@@ -638,4 +657,10 @@ class Repository:
                 os.replace(path, f"{path}.old")
                 os.replace(f"{path}.new", path)
                 shutil.rmtree(f"{path}.old")
-            return {"objects": before[0], "dead_objects": before[0] - after[0], "freed_bytes": before[1] - after[1]}
+            listed = [(os.path.join(worktree.STORE, n), os.stat(os.path.join(self.home, n))) for n in sorted(os.listdir(self.home)) if n.endswith(".tmp")]
+            files = self.spark.createDataFrame([(p, i.st_size, i.st_mtime_ns) for p, i in listed], worktree.LISTED)
+            stale = documents.stale_temporary(files, [worktree.STORE], time.time_ns()).collect()
+            for row in stale if not dry_run else ():
+                os.remove(os.path.join(self.root, row["path"]))
+            freed = before[1] - after[1] + sum(r["size"] for r in stale)
+            return {"objects": before[0], "dead_objects": before[0] - after[0], "temporary_files": len(stale), "freed_bytes": freed}

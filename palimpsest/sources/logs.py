@@ -54,3 +54,12 @@ def branches(spark: SparkSession, path: str, log: DataFrame | None = None) -> Da
         state = spark.read.schema("current string, tips map<string, string>").option("multiLine", True).json(path)
         return state.select("current", F.explode("tips").alias("name", "tip")).select("name", F.expr("nullif(tip, '')").alias("tip"), (F.col("name") == F.col("current")).alias("is_current"))
     return log.agg(F.max_by("id", "seq").alias("tip")).select(F.lit("main").alias("name"), "tip", F.lit(True).alias("is_current"))
+
+
+SAMPLES = "op string, ms double, ts long, commitId string"
+
+
+def samples(spark: SparkSession, path: str) -> DataFrame:
+    """(op, ms, ts, commit_id): timing samples, one JSON array a file; what is no such array has none."""
+    read = spark.read.schema(SAMPLES).option("multiLine", True).json(path)
+    return read.where("op is not null and ms is not null").withColumnRenamed("commitId", "commit_id")

@@ -31,7 +31,7 @@ def document(layers, palette=None, size=(128, 64), composite=None):
     """A document archive; layers are (name, uuid, filename, tiles [(x, y, stored)], attributes)."""
     xml = "".join(f'<layer name="{n}" uuid="{u}" filename="{f}" nodetype="paintlayer" {extra}/>' for n, u, f, _, extra in layers)
     parts = {
-        "mimetype": b"application/x-krita",
+        "mimetype": b"application/x-document",
         "maindoc.xml": f'<DOC><IMAGE name="I" width="{size[0]}" height="{size[1]}"><layers>{xml}</layers></IMAGE></DOC>'.encode(),
         "I/layers/layer1.defaultpixel": bytes([9, 8, 7, 255]),
     }

@@ -96,3 +96,30 @@ def test_one_writer_at_a_time(repo):
         repo.set_config(tile_size=32)
     repo.set_config(tile_size=32)
     assert repo.config()["tile_size"] == 32
+
+
+def test_storage_of_versions(repo):
+    repo.put("a.gpl", b"x" * 100)
+    repo.commit("one", "me")
+    repo.put("a.gpl", b"y" * 300)
+    repo.put("b.gpl", b"z" * 50)
+    repo.commit("two", "me")
+    got = [(r.tree_bytes, r.tree_files, r.stored_bytes) for r in repo.storage_stats().orderBy("seq").collect()]
+    assert got == [(100, 1, 100), (350, 2, 350)]
+    repo.gone("b.gpl")
+    repo.put("a.gpl", b"x" * 100)
+    repo.commit("three", "me")
+    assert [(r.tree_bytes, r.tree_files, r.stored_bytes) for r in repo.storage_stats().orderBy("seq").collect()] == [*got, (100, 1, 0)]
+    row = repo.storage_savings().first()
+    assert (row.naive_bytes, row.actual_bytes, row.saved_bytes, row.percent) == (550, 450, 100, 18)
+
+
+def test_garbage_takes_old_leftovers(repo):
+    import os
+
+    leftover = os.path.join(repo.home, "other.json.tmp")
+    open(leftover, "w").write("half")
+    assert repo.collect_garbage(dry_run=False)["temporary_files"] == 0
+    os.utime(leftover, (1, 1))
+    assert repo.collect_garbage()["temporary_files"] == 1 and os.path.exists(leftover)
+    assert repo.collect_garbage(dry_run=False)["freed_bytes"] == 4 and not os.path.exists(leftover)

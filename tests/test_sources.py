@@ -69,3 +69,9 @@ def test_the_newest_result_of_each_layer_stays(spark):
     stream.upsert_layers(batch(("a", 1, "late"), ("b", 3, "b3"), ("c", 1, "c1")), "layer_results")
     assert sorted((r.id, r.png) for r in spark.table("layer_results").collect()) == [("a", "a2"), ("b", "b3"), ("c", "c1")]
     assert [t.name for t in spark.catalog.listTables() if t.name.startswith("layer_results_")].__len__() == 1
+
+
+def test_timing_samples(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"op": "commit", "ms": 12.5, "ts": 3, "commitId": "c"}, {"op": "diff", "ms": 1, "ts": 4}]))
+    (tmp_path / "b.json").write_text("{no array")
+    assert sorted((r.op, r.ms, r.commit_id) for r in logs.samples(spark, str(tmp_path)).collect()) == [("commit", 12.5, "c"), ("diff", 1.0, None)]
