@@ -55,7 +55,7 @@ SYMBOLS = b"#*$%&|<>"
 CHUNK = 32 << 20
 BLOCK = 1 << 19
 #: Distinct n-grams that a task holds before it merges them.
-HELD = 2 << 20
+HELD = 1 << 20
 FOLDS = 2
 #: What stands before the first code point and after the last one; bits of a code point.
 BEGIN, END = 1, 2
