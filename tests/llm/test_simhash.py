@@ -82,3 +82,23 @@ def test_components_of_a_long_chain_and_a_star(spark):
     found = components(spark.createDataFrame(chain + star + [(5, 5)], "src long, dst long"))
     roots = {r.node: r.root for r in found.collect()}
     assert roots == {**{k: 0 for k in range(200)}, **{1000 + k: 1000 for k in range(300)}}
+
+
+def test_clashing_columns_very_long_texts_and_repeated_rows(spark):
+    long = "one two three four five " * 200_000
+    rows = [(k, t, "a", "b", "c", "d") for k, t in enumerate([long, long + "six", "apart entirely here now"] * 2)] + [(None, long, "a", "b", "c", "d")] * 2
+    table = spark.createDataFrame(rows, "doc_id long, text string, fp string, component string, least string, root string")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.component) for r in s.near_duplicates(table).collect())
+    assert got == [(False, 0, 0), (False, 1, 0), (False, 2, 2), (False, 3, 0), (False, 4, 0), (False, 5, 2), (True, 0, 0), (True, 0, 0)]
+
+
+@pytest.mark.parametrize(("radius", "agreeing"), [(4, 3), (4, 1), (2, 2), (0, 1)])
+def test_fingerprints_within_the_radius_share_a_band(radius, agreeing):
+    rng = random.Random(3)
+    every = s.masks(radius, agreeing)
+    for _ in range(200):
+        v = rng.getrandbits(64)
+        w = v
+        for b in rng.sample(range(64), radius):
+            w ^= 1 << b
+        assert any((v ^ w) & (m & (1 << 64) - 1) == 0 for m in every)

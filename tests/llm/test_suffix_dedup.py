@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -57,3 +58,21 @@ def test_strip_keeps_columns_and_rows(docs):
     assert s.strip(table).columns == table.columns
     assert [got[k].text for k in range(4)] == ["unique words only", "p" * 10, None, "r" * 5] and got[1].spans == "clash"
     assert s.strip(docs([])).count() == 0
+
+
+def test_very_long_texts_repeated_rows_and_clashing_columns(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(1_500_000))
+    rows = [(1, long, "a", "b"), (2, "x" * 50 + long[700_000:700_300], "a", "b")] + [(3, long[:250] + "same row", "a", "b")] * 40 + [(None, None, "a", "b")] * 2
+    table = spark.createDataFrame(rows, "doc_id long, text string, digest string, key string")
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in s.deduplicate(table).collect())
+    assert got == Counter({(1, 1_500_000, 550, 2): 1, (2, 350, 300, 1): 1, (3, 258, 258, 1): 40, (None, 0, 0, 0): 2})
+    assert s.strip(table).columns == table.columns
+
+
+def test_a_cut_whose_bytes_differ_raises(docs):
+    table = docs(["p" * 300, "q" * 300])
+    block = pa.RecordBatch.from_arrays([pa.array(["z" * 300]), pa.array([[{"start": 0, "end": 200, "digest": 1}]])], names=["text", "spans"])
+    with pytest.raises(ValueError, match="equal hashes"):
+        s._cleaned(block)
+    assert s.deduplicate(table).count() == 2
