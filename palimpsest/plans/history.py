@@ -104,6 +104,20 @@ up AS (SELECT id AS start, id AS ancestor FROM tips
 REACHABLE = f"{_CLOSURE} SELECT start, count(*) AS commits, min(ancestor) AS root, sum(ancestor)::BIGINT AS check_sum FROM up GROUP BY start"
 
 
+def first_parent_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first-parent lines of every 30th branch's tip, by pointers that double."""
+    parents = views.parents(spark, sf_dir).select("id", "parent")
+    starts = views.tips(spark, sf_dir).where("branch % 30 = 0").select("id")
+    depth = parents.count()  # no line is longer than the log
+    return trees.chains(parents, starts, min(depth, 1 << 16))
+
+
+FIRST_PARENT_CHAINS = f"""WITH RECURSIVE {views.PARENTS},
+up AS (SELECT id AS start, id AS ancestor FROM tips WHERE branch % 30 = 0
+  UNION ALL SELECT u.start, p.parent FROM up u JOIN parents p ON p.id = u.ancestor WHERE p.parent IS NOT NULL)
+SELECT start, ancestor FROM up"""
+
+
 def merge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each branch's tip against the tip of the next branch."""
     tips = views.tips(spark, sf_dir)
@@ -196,6 +210,7 @@ QUERIES = {
     "version_sizes": (version_sizes, VERSION_SIZES),
     "storage_savings": (storage_savings, STORAGE_SAVINGS),
     "reachable": (reachable, REACHABLE),
+    "first_parent_chains": (first_parent_chains, FIRST_PARENT_CHAINS),
     "merge_base": (merge_base, MERGE_BASE),
     "undo_guard": (undo_guard, UNDO_GUARD),
     "commit_ids": (commit_ids, COMMIT_IDS),

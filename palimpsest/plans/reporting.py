@@ -112,6 +112,14 @@ def retention_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.retained(views.files(spark, sf_dir), "pack", "seq", "size", 40_000).select("pack", "seq", "size", "kept")
 
 
+RETENTION_BUDGET = f"""WITH RECURSIVE {views.FILES},
+f AS (SELECT pack, seq, size, row_number() OVER (PARTITION BY pack ORDER BY seq) AS nth FROM files),
+g AS (SELECT pack, seq, size, nth, CASE WHEN size <= 40000 THEN size ELSE 0 END AS used, size <= 40000 AS kept FROM f WHERE nth = 1
+  UNION ALL SELECT f.pack, f.seq, f.size, f.nth, g.used + CASE WHEN g.used + f.size <= 40000 THEN f.size ELSE 0 END, g.used + f.size <= 40000
+  FROM g JOIN f ON f.pack = g.pack AND f.nth = g.nth + 1)
+SELECT pack, seq, size, kept FROM g"""
+
+
 def timing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = reports.timing_summary(views.samples(spark, sf_dir))
     return found.withColumn("mean_ms", F.round("mean_ms", 6))
@@ -397,7 +405,7 @@ QUERIES = {
     "gc_report": (gc_report, GC_REPORT),
     "lru_prune": (lru_prune, LRU_PRUNE),
     "pack_consolidate": (pack_consolidate, PACK_CONSOLIDATE),
-    "retention_budget": (retention_budget, None),
+    "retention_budget": (retention_budget, RETENTION_BUDGET),
     "timing_summary": (timing_summary, TIMING_SUMMARY),
     "timing_by_commit": (timing_by_commit, TIMING_BY_COMMIT),
     "version_cards": (version_cards, VERSION_CARDS),
