@@ -61,6 +61,8 @@ FOLDS = 2
 BEGIN, END = 1, 2
 POINT = np.uint64(21)
 ONE_POINT, TWO_POINTS = np.uint64((1 << 21) - 1), np.uint64((1 << 42) - 1)
+#: Of the packing of texts that are shuffled.
+LEVEL = 5
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Log-probabilities are kept to so many parts of a bit.
 STEPS = 256
@@ -431,7 +433,7 @@ def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of rows as packed record batches, with their chunk."""
     for chunk, block in chunked(batches):
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as out:
             out.write_batch(block)
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([None], pa.string()), pa.array([None], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "lang", "bucket", "blob"])
 
