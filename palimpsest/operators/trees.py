@@ -82,7 +82,7 @@ def chains(parents: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     found = starts.select(F.col("id").alias("start"), F.col("id").alias("ancestor"))
     for step in reversed(powers):
         further = found.join(step.select(F.col("id").alias("ancestor"), "parent"), "ancestor").select("start", F.col("parent").alias("ancestor"))
-        found = found.unionByName(further)
+        found = checkpointed(found.unionByName(further))  # else the plan would double with each round
     return found
 
 
