@@ -1,15 +1,16 @@
 """Streams of versions as snapshots and patches, and what they hold again.
 
 A patch is the new version compressed against the one before as its dictionary. Chains are short, at most
-MOST_PATCHES patches on a snapshot, and a chain is one group: storing and replaying are linear in its versions, and
-a long stream is many groups.
+MOST_PATCHES patches on a snapshot, and a chain lies in one task: storing and replaying are linear in its versions, and
+a long stream is spread over many tasks. Places along a stream are settled without the payloads.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from palimpsest.operators import store
 #: Smaller versions are stored whole.
 LEAST_PATCHED = 64 << 10
 LEVEL = 3
+#: Bytes that a task makes before it hands them on.
+BATCH_BYTES = 16 << 20
 
 
 def patch(base: bytes, new: bytes) -> bytes:
@@ -50,48 +53,91 @@ def stored(versions: DataFrame, least: int = LEAST_PATCHED, most: int = store.MO
     """STORED of versions (stream, seq, payload): contents that a stream has already are not stored again.
 
     `chain` is the seq of the snapshot that a version rests on. An object is a zstd snapshot, or a patch on `base`.
+    `versions` is read twice: for the places, which are narrow rows, and for the payloads, which go to their chains.
     """
     hashed = versions.select("stream", "seq", F.sha2("payload", 256).alias("content"), "payload")
-    first = store.distinct_versions(hashed)
-    lengths = store.chain_lengths(first.withColumn("__may", eligible(F.col("payload"), least)), F.col("__may"), most=most)
+    first = store.distinct_versions(hashed.select("stream", "seq", "content", eligible(F.col("payload"), least).alias("__may")))
+    lengths = store.chain_lengths(first, F.col("__may"), most=most)
     along = Window.partitionBy("stream").orderBy("seq")
     chain = F.last(F.when(F.col("chain_len") == 0, F.col("seq")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    base = F.when(F.col("chain_len") > 0, F.lag("content").over(along))
-    placed = lengths.select("stream", F.col("seq").cast("long").alias("seq"), "content", base.alias("base"), chain.cast("long").alias("chain"), "chain_len", "payload")
-    named = placed.withColumn("object", labels.object_name(F.col("content"), F.col("base")))
-    return named.groupBy("stream", "chain").applyInPandas(_store, STORED)
+    places = lengths.select("stream", "seq", "content", chain.cast("long").alias("chain"), "chain_len")
+    payloads = hashed.select(F.col("stream").alias("__stream"), F.col("seq").alias("__seq"), F.col("content").alias("__content"), "payload")
+    own = F.col("stream").eqNullSafe(F.col("__stream")) & (F.col("seq") == F.col("__seq")) & (F.col("content") == F.col("__content"))
+    whole = places.join(payloads, own, "left").select("stream", F.col("seq").cast("long").alias("seq"), "content", "chain", "chain_len", "payload")
+    made = _along_chains(whole).mapInArrow(_store, _MADE)
+    return made.select("stream", "seq", "content", "base", "chain", "chain_len", labels.object_name(F.col("content"), F.col("base")).alias("object"), "size", "data")
 
 
-def _store(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("seq")
-    data, before = [], None
-    for payload, depth in zip(rows["payload"].tolist(), rows["chain_len"].tolist(), strict=True):
-        made = zstandard.ZstdCompressor(LEVEL).compress(payload) if depth == 0 or not before else patch(before, payload)
-        data.append(made)
-        before = payload
-    return _frame(rows, ["stream", "seq", "content", "base", "chain", "chain_len", "object"], {"size": [len(d) for d in data], "data": data})
+_MADE = "stream string, seq long, content string, base string, chain long, chain_len int, size long, data binary"
+_MADE_TYPES = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+_REPLAYED = "stream string, seq long, content string, chain long, chain_len int, payload binary"
+_REPLAYED_TYPES = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary()]
 
 
-def _frame(rows: pd.DataFrame, kept: list[str], made: dict[str, list]) -> pd.DataFrame:
-    """Plain columns, as grouped maps take them."""
-    columns = {c: rows[c].tolist() for c in kept} | made
-    return pd.DataFrame({c: pd.Series([None if v != v else v for v in values], dtype=object) for c, values in columns.items()})
+def _along_chains(rows: DataFrame) -> DataFrame:
+    """`rows` with each chain in one task, in its order."""
+    return rows.repartition("stream", "chain").sortWithinPartitions("stream", "chain", "chain_len", "content")
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(column.to_pylist() for column in batch.columns), strict=True)
+
+
+def _batches(rows: Iterator[tuple], types: list[pa.DataType], names: str) -> Iterator[pa.RecordBatch]:
+    """Batches of rows whose last value is bytes, of about BATCH_BYTES each."""
+    columns = [c.split()[0] for c in names.split(", ")]
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(zip(*held, strict=True), types, strict=True)], columns)
+
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size >= BATCH_BYTES or len(held) == 10_000:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
+def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Versions chain by chain; what is held is the one before."""
+
+    def run() -> Iterator[tuple]:
+        whole = zstandard.ZstdCompressor(LEVEL)
+        last, before = None, None
+        for stream, seq, content, chain, depth, payload in _rows(batches):
+            if payload is None:
+                raise ValueError(f"version {seq} of {stream} has no payload, or another one when it is read again")
+            if (stream, seq, content) == last:
+                continue  # handed in twice
+            data = whole.compress(payload) if depth == 0 or not before else patch(before, payload)
+            yield stream, seq, content, last[2] if depth else None, chain, depth, len(data), data
+            last, before = (stream, seq, content), payload
+
+    return _batches(run(), _MADE_TYPES, _MADE)
 
 
 def replayed(found: DataFrame) -> DataFrame:
-    """(stream, seq, content, payload) of all versions of STORED; a version whose bytes are not its content raises."""
-    return found.groupBy("stream", "chain").applyInPandas(_replay, "stream string, seq long, content string, payload binary")
-
-
-def _replay(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("seq")
-    payloads, before = [], None
-    for data, depth, content in zip(rows["data"].tolist(), rows["chain_len"].tolist(), rows["content"].tolist(), strict=True):
-        before = zstandard.ZstdDecompressor().decompress(data) if depth == 0 or not before else patched(before, data)
-        if hashlib.sha256(before).hexdigest() != content:
-            raise ValueError(f"{content} does not come back from its chain")
-        payloads.append(before)
-    return _frame(rows, ["stream", "seq", "content"], {"payload": payloads})
+    """(stream, seq, content, chain, chain_len, payload) of all versions of STORED; a version whose bytes are not its content raises."""
+    return _along_chains(found.select("stream", "seq", "content", "chain", "chain_len", "data")).mapInArrow(_replay, _REPLAYED)
+
+
+def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run() -> Iterator[tuple]:
+        whole = zstandard.ZstdDecompressor()
+        own, before = None, None
+        for stream, seq, content, chain, depth, data in _rows(batches):
+            if (stream, chain) != own:
+                own, before = (stream, chain), None
+            before = whole.decompress(data) if depth == 0 or not before else patched(before, data)
+            if hashlib.sha256(before).hexdigest() != content:
+                raise ValueError(f"{content} does not come back from its chain")
+            yield stream, seq, content, chain, depth, before
+
+    return _batches(run(), _REPLAYED_TYPES, _REPLAYED)
 
 
 def reconstructed(found: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import png
 from palimpsest.operators import documents as d
 from palimpsest.operators import document_merge, raster, versions
+from palimpsest.plans import archive
 from palimpsest.repository import Locked, Repository
 from palimpsest.sources import archives, worktree
 
@@ -193,6 +194,25 @@ def test_streams_of_snapshots_and_patches(spark):
         versions.replayed(kept.withColumn("content", F.lit("x"))).count()
 
 
+def test_a_long_stream_is_placed_without_its_payloads_and_made_once(spark):
+    def nodes(plan):
+        yield plan
+        for k in range(plan.children().size()):
+            yield from nodes(plan.children().apply(k))
+
+    found = list(nodes(archive.patched_streams(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()))
+    windows = [n.output().mkString(",") for n in found if n.nodeName() == "Window"]
+    assert windows and not any("payload" in w or "text" in w for w in windows)
+    assert sum("InArrow" in n.nodeName() or "InPandas" in n.nodeName() for n in found) == 2
+
+
+def test_versions_without_a_stream_or_handed_in_twice(spark, tmp_path):
+    rows = [("s", 1, "a" * 700), ("s", 1, "a" * 700), ("s", 2, "b" * 700), (None, 3, "a" * 700), (None, 4, "c" * 700), (None, 5, "a" * 700), ("s", 6, None)]
+    spark.createDataFrame(rows, "source string, doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in archive.patched_streams(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=lambda r: r[1]) == [("s", 1, 1, 0, True), ("s", 2, 1, 1, True), (None, 3, 3, 0, True), (None, 4, 3, 1, True), ("s", 6, 6, 0, True)]
+
+
 def test_chains_by_shard_and_packs(spark, tmp_path):
     rows = [(f"kra:f{k}:tile:e:0,0", v, f"{k} {v}".encode()) for k in range(8) for v in range(2)]
     kept = d_checkpointed(versions.stored(spark.createDataFrame(rows, "stream string, seq long, payload binary")))
