@@ -6,8 +6,8 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A channel has changed when it differs by more than this.
@@ -72,24 +72,34 @@ def blocks(canvases: DataFrame, side: int) -> DataFrame:
     return cells.select("image", F.col("bx").cast("bigint").alias("bx"), F.col("by").cast("bigint").alias("by"), size("width", "bx").alias("w"), size("height", "by").alias("h"))
 
 
+#: The sides of a cell, each with the edge along it that has the cell to its right: its place in a mask is its bit.
+SIDES = ((0, 0, 1, 0), (1, 0, 1, 1), (1, 1, 0, 1), (0, 1, 0, 0))
+
+
+def _open_sides(grid: DataFrame) -> DataFrame:
+    """(image, x, y, sides): changed cells with a mask of the SIDES that no changed cell lies beyond, without those that have none.
+
+    A window over rows and one over columns, each a cell wide: the grid is made once, and no line but a row or a column is one group.
+    """
+    row, column = Window.partitionBy("image", "y").orderBy("x"), Window.partitionBy("image", "x").orderBy("y")
+    beyond = lambda along, step: F.when(F.count(F.lit(1)).over(along.rangeBetween(step, step)) == 0, 1).otherwise(0)
+    across = grid.where("changed").select("image", "x", "y", beyond(row, 1).alias("__right"), beyond(row, -1).alias("__left"))
+    both = across.select("*", beyond(column, -1).alias("__top"), beyond(column, 1).alias("__bottom"))
+    return both.select("image", "x", "y", F.expr("__top + 2 * __right + 4 * __bottom + 8 * __left").alias("sides")).where("sides > 0")
+
+
 def boundary(grid: DataFrame) -> DataFrame:
     """(image, ax, ay, bx, by): directed unit edges around changed cells, the cell to the right of each edge."""
-    cells = grid.where("changed").select("image", "x", "y")
-    sides = [(0, -1, (0, 0, 1, 0)), (1, 0, (1, 0, 1, 1)), (0, 1, (1, 1, 0, 1)), (-1, 0, (0, 1, 0, 0))]
-    out = None
-    for dx, dy, (ax, ay, bx, by) in sides:
-        neighbour = cells.select("image", (F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"))
-        open_side = cells.join(neighbour, ["image", "x", "y"], "left_anti")
-        edges = open_side.select("image", *[(F.col(c) + d).cast("int").alias(n) for c, d, n in (("x", ax, "ax"), ("y", ay, "ay"), ("x", bx, "bx"), ("y", by, "by"))])
-        out = edges if out is None else out.unionByName(edges)
-    return out
+    edge = lambda k, moves: F.when(F.expr(f"sides >> {k} & 1 = 1"), F.struct(*[(F.col(n[1]) + d).cast("int").alias(n) for n, d in zip(("ax", "ay", "bx", "by"), moves, strict=True)]))
+    return _open_sides(grid).select("image", F.inline(F.array_compact(F.array(*[edge(k, moves) for k, moves in enumerate(SIDES)]))))
 
 
 def outlines(grid: DataFrame) -> DataFrame:
     """(image, edges, loops, path): closed outlines as an SVG path; none beyond MOST_EDGES edges."""
-    edges = boundary(grid)
-    few = edges.groupBy("image").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= MOST_EDGES).select("image")
-    return edges.join(few, "image", "left_semi").groupBy("image").applyInPandas(_trace, "image long, edges long, loops long, path string")
+    cells = _open_sides(grid)
+    few = cells.groupBy("image").agg(F.sum(F.bit_count("sides")).alias("n")).where(F.col("n") <= MOST_EDGES).select("image")
+    held = cells.join(few, "image", "left_semi").groupBy("image").agg(F.collect_list(F.struct("x", "y", "sides")).alias("cells"))
+    return held.select(F.col("image").cast("long").alias("image"), "cells").mapInArrow(_trace, "image long, edges long, loops long, path string")
 
 
 def _loops(edges: list[tuple[int, int, int, int]]) -> Iterator[list[tuple[int, int]]]:
@@ -106,11 +116,21 @@ def _loops(edges: list[tuple[int, int, int, int]]) -> Iterator[list[tuple[int, i
             yield [p for k, p in enumerate(line) if not _straight(line[k - 1], p, line[(k + 1) % len(line)])]
 
 
-def _trace(edges: pd.DataFrame) -> pd.DataFrame:
-    """At most MOST_EDGES edges of one image."""
-    loops = list(_loops(list(edges[["ax", "ay", "bx", "by"]].itertuples(index=False, name=None))))
-    path = "".join("M" + "L".join(f"{x} {y}" for x, y in turns) + "Z" for turns in loops)
-    return pd.DataFrame({"image": [edges["image"].iloc[0]], "edges": [len(edges)], "loops": [len(loops)], "path": [path]})
+def _trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Images with the open cells of at most MOST_EDGES edges each, one row an image."""
+    for batch in batches:
+        lists = batch.column("cells")
+        x, y, sides = (lists.flatten().field(k).to_numpy() for k in range(3))
+        ends = np.cumsum(lists.value_lengths().to_numpy()).tolist()
+        made: dict[str, list] = {"edges": [], "loops": [], "path": []}
+        for own in map(slice, [0, *ends[:-1]], ends):
+            cells = list(zip(x[own].tolist(), y[own].tolist(), sides[own].tolist(), strict=True))
+            edges = [(cx + ax, cy + ay, cx + bx, cy + by) for k, (ax, ay, bx, by) in enumerate(SIDES) for cx, cy, mask in cells if mask >> k & 1]
+            loops = list(_loops(edges))
+            made["edges"].append(len(edges))
+            made["loops"].append(len(loops))
+            made["path"].append("".join("M" + "L".join(f"{px} {py}" for px, py in turns) + "Z" for turns in loops))
+        yield pa.RecordBatch.from_arrays([batch.column("image"), pa.array(made["edges"], pa.int64()), pa.array(made["loops"], pa.int64()), pa.array(made["path"], pa.string())], ["image", *made])
 
 
 def outline_of(grid: np.ndarray) -> str | None:

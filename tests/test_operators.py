@@ -151,6 +151,27 @@ def test_outline_of_a_square(spark):
     assert (row.edges, row.loops, row.path) == (8, 1, "M1 1L3 1L3 3L1 3Z")
 
 
+def test_edges_of_odd_grids(spark):
+    rng = random.Random(5)
+    cells = {(k, x, y) for k in (1, 2) for x in range(-3, 4) for y in range(-2, 5) if rng.random() < 0.6}
+    grid = spark.createDataFrame([(*c, True) for c in cells] + [(1, 9, 9, True), (1, 9, 9, True), (3, 0, 0, False), (4, 0, 0, None)], "image long, x int, y int, changed boolean")
+    cells |= {(1, 9, 9)}
+    sides = {(0, -1): (0, 0, 1, 0), (1, 0): (1, 0, 1, 1), (0, 1): (1, 1, 0, 1), (-1, 0): (0, 1, 0, 0)}
+    want = [(k, x + ax, y + ay, x + bx, y + by) for k, x, y in [*cells, (1, 9, 9)] for (dx, dy), (ax, ay, bx, by) in sides.items() if (k, x + dx, y + dy) not in cells]
+    assert sorted(tuple(r) for r in raster.boundary(grid).collect()) == sorted(want)
+    assert {r.image: r.edges for r in raster.outlines(grid).collect()} == {k: sum(w[0] == k for w in want) for k in (1, 2)}
+
+
+def test_outlines_make_their_grid_once(spark):
+    apart = [(1, 2 * k, 0, True) for k in range(2000)] + [(2, 2 * k, 0, True) for k in range(2001)]  # 8,000 and 8,004 edges
+    apart += [(3, x, y, True) for x in range(60) for y in range(60)]
+    grid = spark.createDataFrame(apart, "image long, x int, y int, changed boolean")
+    made = raster.outlines(grid)
+    assert sorted((r.image, r.edges, r.loops) for r in made.collect()) == [(1, 8000, 2000), (3, 240, 1)]
+    plan = made._jdf.queryExecution()
+    assert plan.optimizedPlan().collectLeaves().size() == 2 and "ReusedExchange" in plan.executedPlan().toString()
+
+
 def test_unique_names_count_up(spark):
     layers = spark.createDataFrame([(1, k, n) for k, n in enumerate(["ink", "ink", "sky", "ink [2]", "ink"])], "document long, pos long, name string")
     taken = spark.createDataFrame([(1, "sky"), (1, "sky [2]"), (2, "ink"), (1, "ink [4]")], "document long, name string")
